@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from folio.llm import sharding
+from folio.llm import mixing, quality_rules, sharding
 
 QUERIES = {
+    "op5_host_rules": quality_rules.op5_host_rules,
+    "op9_mixed": mixing.op9_mixed,
     "op3_feistel_shards": sharding.op3_feistel_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_host_rules": quality_rules.OP5_SQL,
+}
