@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folio.llm import chat_format, language_id, mixing, quality_classifier, quality_rules, sharding
+from folio.llm import chat_format, decontaminate, html_extract, language_id, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_bradley_terry": quality_classifier.op1_bradley_terry,
     "op2_offset_masks": chat_format.op2_offset_masks,
     "op8_cross_parsing": language_id.op8_cross_parsing,
+    "op4_block_labeller": html_extract.op4_block_labeller,
+    "op10_cgk_decontaminate": decontaminate.op10_cgk_decontaminate,
     "op5_host_rules": quality_rules.op5_host_rules,
     "op9_mixed": mixing.op9_mixed,
     "op3_feistel_shards": sharding.op3_feistel_shards,
