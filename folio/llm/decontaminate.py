@@ -143,9 +143,10 @@ def search(items: Items, raw: np.ndarray, off: np.ndarray):
             if (r, i, s) in tried or found.get((r, i), (m,))[0] == 0:
                 continue
             tried.add((r, i, s))
-            window = h[s : min(s + m, int(first[r + 1]))]
-            if similar(items, i, window):
-                d, n = edit_distance(items.words[i], h[s : min(s + m + e, int(first[r + 1]))])
+            wide = h[s : min(s + m + e, int(first[r + 1]))]
+            # every word of the item that the window lacks is an edit, so a match has at least m - e of them
+            if np.isin(items.words[i], wide).sum() >= m - e and similar(items, i, wide[:m]):
+                d, n = edit_distance(items.words[i], wide)
                 if d <= e and (d, s) < found.get((r, i), (m, 0))[:2]:
                     found[r, i] = (d, s, n, s - int(first[r]))
     return [(r, i, d, at, n) for (r, i), (d, _, n, at) in sorted(found.items())]  # equal sequences have equal embeddings: they pass any sampling
