@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folio.llm import chat_format, decontaminate, html_extract, language_id, mixing, ngram_join, quality_classifier, quality_rules, sharding
+from folio.llm import chat_format, decontaminate, html_extract, language_id, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_bradley_terry": quality_classifier.op1_bradley_terry,
     "op2_offset_masks": chat_format.op2_offset_masks,
+    "op6_induced_dedup": suffix_dedup.op6_induced_dedup,
     "op7_combination_prefixes": ngram_join.op7_combination_prefixes,
     "op8_cross_parsing": language_id.op8_cross_parsing,
     "op4_block_labeller": html_extract.op4_block_labeller,
