@@ -11,7 +11,11 @@ from folio.llm.common import mix, shingle_sets, small, staged, text_blocks
 from folio.llm.components import components
 
 #: A shingle of more documents than this is frequent: two frequent shingles together are one signature.
-FREQUENT = 32
+FREQUENT = 8192
+#: Words of 64 bits in a set's parity sketch: each shingle flips one bit, so two sketches differ in no more bits than their sets in shingles.
+SKETCH = 16
+#: Rounds in which a signature's members are compared with so many of them, drawn by hash, before all pairs left are.
+ROUNDS, HEADS = 2, 8
 #: Shingles whose documents are counted in one task, and shingles that are compared with one set in one task.
 COUNTED, COMPARED = 2_000_000, 1 << 18
 
@@ -61,15 +65,18 @@ def chunks(docs: DataFrame, k: int, t: int) -> DataFrame:
                 rank = np.arange(len(key)) - start[own]
                 keep = ((key & np.uint32(1)) == 0) | (rank <= size[own] - needed(size[own], t) + 1)
                 kept = np.bincount(own[keep], minlength=len(size))
+                bit = (value & np.uint64(64 * SKETCH - 1)).astype(np.int64)[number[owner] >= 0]
+                flips = np.bincount(number[owner][number[owner] >= 0] * 64 * SKETCH + bit, minlength=len(size) * 64 * SKETCH)
+                sketch = np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
                 one = lambda v, ty: pa.array([v.tolist()], pa.list_(ty))
                 ids = pa.array([batch.column(0).slice(at, len(n)).to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), ids, one(cls, pa.int64()), one(n, pa.int64()), one(cls[first[~alone]], pa.int64()), one(size, pa.int64()), one(kept, pa.int64()), pa.array([key[keep].tobytes()], pa.binary())],
-                    ["chunk", "doc_id", "doc_cls", "doc_n", "cls", "n", "kept", "keys"],
+                    [pa.array([chunk], pa.int64()), ids, one(cls, pa.int64()), one(n, pa.int64()), one(cls[first[~alone]], pa.int64()), one(size, pa.int64()), one(kept, pa.int64()), one(sketch, pa.int64()), pa.array([key[keep].tobytes()], pa.binary())],
+                    ["chunk", "doc_id", "doc_cls", "doc_n", "cls", "n", "kept", "sketches", "keys"],
                 )
                 chunk += 1
 
-    schema = "chunk long, doc_id array<long>, doc_cls array<long>, doc_n array<long>, cls array<long>, n array<long>, kept array<long>, keys binary"
+    schema = "chunk long, doc_id array<long>, doc_cls array<long>, doc_n array<long>, cls array<long>, n array<long>, kept array<long>, sketches array<long>, keys binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -115,7 +122,7 @@ def frequency_classes(table: DataFrame) -> DataFrame:
 
 
 def signatures(table: DataFrame, classes: DataFrame, t: int) -> DataFrame:
-    """(sig, frequent, cls, n): the shingles in the extended prefix of each class that others have too.
+    """(sig, frequent, cls, n, rank): the shingles in the extended prefix of each class that others have too.
 
     The order is by frequency class, then by key, odd keys last. Of two sets that reach the threshold the first n - ceil(t n / 100) + 1 shingles share
     one, and the first n - ceil(t n / 100) + 2 share two; if the shared ones are all frequent, two of them are a shared combination.
@@ -140,12 +147,13 @@ def signatures(table: DataFrame, classes: DataFrame, t: int) -> DataFrame:
                 use = (rank < n[own] - needed(n[own], t) + 2) & (band > 0)
                 frequent = (band > limit) & (band < 255)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[use].astype(np.int64)), pa.array(frequent[use]), pa.array(np.array(cls, np.int64)[own[use]] if len(n) else np.zeros(0, np.int64)), pa.array(n[own[use]])],
-                    ["sig", "frequent", "cls", "n"],
+                    [pa.array(key[use].astype(np.int64)), pa.array(frequent[use]), pa.array(np.array(cls, np.int64)[own[use]] if len(n) else np.zeros(0, np.int64)), pa.array(n[own[use]]), pa.array(rank[use])],
+                    ["sig", "frequent", "cls", "n", "rank"],
                 )
 
     joined = table.select("chunk", "cls", "n", "kept", "keys").join(classes, "chunk", "left").select("cls", "n", "kept", "keys", "classes")
-    return joined.mapInArrow(run, "sig long, frequent boolean, cls long, n long").distinct()
+    made = joined.mapInArrow(run, "sig long, frequent boolean, cls long, n long, rank long")
+    return made.groupBy("sig", "frequent", "cls", "n").agg(F.min("rank").alias("rank"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, t: int) -> DataFrame:
@@ -200,10 +208,16 @@ def _fit(a, b, t: int):
     return 100 * F.least(a, b) >= t * F.greatest(a, b)
 
 
+def _near(a, b, na, nb, t: int):
+    """May sets with these sketches reach the threshold? They differ in (100 - t) / (100 + t) of their shingles at most."""
+    bits = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH)), F.lit(0))
+    return (100 + t) * bits <= (100 - t) * (na + nb)
+
+
 def links(docs: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     """(documents with class and size, links between classes that connect all that are connected).
 
-    First each signature's members are compared with one of them, and the linked ones are joined to components. Then whatever pairs a signature still has
+    First each signature's members are compared with one of them, and then with ROUNDS others, and the linked ones are joined to components. Then whatever pairs a signature still has
     between different components are compared: members of rare signatures all, those of frequent ones if they share two.
     """
     table = staged(chunks(docs, k, t), "chunks")
@@ -211,23 +225,47 @@ def links(docs: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     owners = owned.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
     sigs = staged(signatures(table, frequency_classes(table), t), "signatures")
+    cut = F.transform(F.sequence(F.lit(1), F.size("cls")), lambda i: F.slice("sketches", (i - 1) * SKETCH + 1, SKETCH))
+    sketched = table.filter(F.size("cls") > 0).select(F.explode(F.arrays_zip("cls", cut.alias("s"))).alias("z")).select("z.cls", F.col("z.s").alias("s"))
+    sketched = staged(sketched.groupBy("cls").agg(F.first("s").alias("s")), "sketches")
+    of = lambda name: sketched.select(F.col("cls").alias(name), F.col("s").alias(f"s{name}"))
+
     heads = sigs.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("sig", F.col("head.cls").alias("a"), F.col("head.n").alias("na"))
-    star = sigs.join(heads, "sig").filter(F.col("a") != F.col("cls")).filter(_fit("n", "na", t)).select("a", F.col("cls").alias("b"), "n").distinct()
+    star = sigs.join(heads, "sig").filter(F.col("a") != F.col("cls")).filter(_fit("n", "na", t)).select("a", F.col("cls").alias("b"), "na", "n").distinct()
+    star = star.join(of("a"), "a").join(of("b"), "b").filter(_near(F.col("sa"), F.col("sb"), F.col("na"), F.col("n"), t)).select("a", "b", "n")
     star = staged(star, "star")
     first = verified(star, docs, owners, k, t)
 
-    comps = components(first)
-    open_ = sigs.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
-    open_ = staged(open_.join(mixed, "sig", "left_semi"), "open")
-    several = open_.filter("frequent").groupBy("cls", "n", "comp").agg(F.sort_array(F.collect_set("sig")).alias("s"))
-    left = several.select("cls", "n", "comp", "s", F.posexplode("s").alias("i", "x"))
-    combined = left.select("cls", "n", "comp", "x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y")).select(F.xxhash64("x", "y").alias("sig"), F.lit(True).alias("combined"), "cls", "n", "comp")
-    both = open_.filter("not frequent").select("sig", F.lit(False).alias("combined"), "cls", "n", "comp").union(combined)
-    other = both.select("sig", "combined", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    rest = both.join(other, ["sig", "combined"]).filter("ca < comp").filter(_fit("n", "na", t))
-    rest = rest.select("a", F.col("cls").alias("b"), "n").distinct()
-    rest = staged(rest.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
+    comps, open_ = components(first), None
+    for turn in range(ROUNDS + 1):
+        members = sigs.join(comps.join(comps.groupBy("comp").agg(F.count("*").alias("members")), "comp").withColumnRenamed("node", "cls"), "cls", "left")
+        members = members.withColumn("comp", F.coalesce("comp", "cls")).withColumn("members", F.coalesce("members", F.lit(1)))
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
+        open_ = staged(members.join(mixed, "sig", "left_semi").join(sketched, "cls"), "open")
+        if turn < ROUNDS:  # other members of each signature, first of its largest component, for the rest to be compared with
+            draw = lambda j: F.struct(-F.col("members") if turn % 2 == 0 else F.lit(0).cast("long"), F.xxhash64(F.lit(turn), F.lit(j), "sig", "cls"))  # noqa: E731, B023
+            head = F.struct("cls", "n", "comp", "s")
+            heads = open_.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(head, draw(j)) for j in range(HEADS)))).alias("heads"))
+            again = open_.join(heads, "sig").select("cls", "n", "comp", "s", F.explode("heads").alias("head"))
+            again = again.filter((F.col("comp") != F.col("head.comp")) & _fit("n", F.col("head.n"), t))
+            again = again.filter(_near(F.col("s"), F.col("head.s"), F.col("n"), F.col("head.n"), t))
+            again = again.select(F.col("head.cls").alias("a"), F.col("cls").alias("b"), "n").distinct()
+            again = staged(again.join(star.select("a", "b").union(star.select("b", "a")), ["a", "b"], "left_anti"), "star")
+            first = first.union(verified(again, docs, owners, k, t))
+            star, comps = star.union(again), components(first)
+    several = open_.filter("frequent").groupBy("cls", "n", "comp").agg(F.sort_array(F.collect_set("sig")).alias("all"), F.first("s").alias("s"))
+    left = several.select("cls", "n", "comp", "s", "all", F.posexplode("all").alias("i", "x"))
+    combined = left.select("cls", "n", "comp", "s", "x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
+    combined = combined.select(F.xxhash64("x", "y").alias("sig"), F.lit(True).alias("combined"), "cls", "n", "comp", F.lit(0).cast("long").alias("rank"), "s")
+    both = open_.filter("not frequent").select("sig", F.lit(False).alias("combined"), "cls", "n", "comp", "rank", "s").union(combined)
+    other = both.select("sig", "combined", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "comp", "rank", "s")))
+    size = F.col("n") + F.col("n_a")
+    # the first shared shingle leaves room for all that must be shared
+    room = (100 + t) * F.least(F.col("n") - F.col("rank"), F.col("n_a") - F.col("rank_a")) >= t * size
+    rest = both.alias("x").join(other.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.combined") == F.col("y.combined")) & (F.col("comp_a") < F.col("comp")) & room & _near(F.col("s"), F.col("s_a"), F.col("n"), F.col("n_a"), t))
+    rest = rest.select(F.col("cls_a").alias("a"), F.col("cls").alias("b"), "n").distinct()
+    known = star.select("a", "b").union(star.select("b", "a"))
+    rest = staged(rest.join(known, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return owned, comps
     return owned, components(first.union(verified(rest, docs, owners, k, t)))

@@ -1,6 +1,8 @@
-"""All queries of the engine with their oracle SQL, gathered from the operator modules."""
+"""All queries of the engine with their oracle SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folio.plans import store_queries, text_queries
+
+QUERIES = text_queries.QUERIES | store_queries.QUERIES
+ORACLES = text_queries.ORACLES | store_queries.ORACLES
