@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import store_queries, text_queries
+from folio.plans import text_queries
 
-QUERIES = text_queries.QUERIES | store_queries.QUERIES
-ORACLES = text_queries.ORACLES | store_queries.ORACLES
+QUERIES = dict(text_queries.QUERIES)
+ORACLES = dict(text_queries.ORACLES)
