@@ -42,13 +42,13 @@ CLASSIFIED = f"""WITH {DOCS}, scored AS (SELECT *, {DENSITIES}, {FENCES} AS fenc
   SELECT *, list_sort(list_filter({LABEL_LIST}, lambda x: x IS NOT NULL)) AS l FROM scored
 ), chunked AS (SELECT *, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'foundation' END AS labels2 FROM found), hand(title, labels1) AS (VALUES
   {", ".join(f"({quoted(t)}, {quoted(','.join(ls))})" for t, ls in P.LABELS)}
-), both AS (
+), labelled AS (
   SELECT c.*, labels1, coalesce(labels1, labels2) AS labels, CASE WHEN labels1 IS NULL THEN 2 ELSE 1 END AS tier
   FROM (SELECT *, regexp_replace(regexp_extract(source_path, '[^/]*$'), '\\.[^.]+$', '') AS title FROM chunked) c LEFT JOIN hand USING (title)
 )"""
 ROUTED = f"""{CLASSIFIED}, routed AS (
   SELECT *, CASE WHEN list_has_any(string_split(labels, ','), ['software', 'python']) OR fences >= 1 OR d_software >= 0.3 THEN 'software'
-    WHEN list_has_any(string_split(labels, ','), ['math', 'discrete_math']) OR d_math >= 1.0 THEN 'math' ELSE 'selfhelp' END AS route FROM both
+    WHEN list_has_any(string_split(labels, ','), ['math', 'discrete_math']) OR d_math >= 1.0 THEN 'math' ELSE 'selfhelp' END AS route FROM labelled
 )"""
 joined = lambda c: F.array_join(c, ",")
 
@@ -63,33 +63,33 @@ def route_documents(spark, sf):
     return classify.route(documents(spark, sf)).select("doc_id", "route")
 
 
-@query("route_signals", f"{CLASSIFIED} SELECT doc_id, round(d_math, 6) AS math, round(d_software, 6) AS software, round(d_python, 6) AS python, fences FROM both")
+@query("route_signals", f"{CLASSIFIED} SELECT doc_id, round(d_math, 6) AS math, round(d_software, 6) AS software, round(d_python, 6) AS python, fences FROM labelled")
 def route_signals(spark, sf):
     out = classify.with_fences(classify.with_densities(documents(spark, sf)))
     return out.select("doc_id", *(F.round(f"d_{t}", 6).alias(t) for t in ("math", "software", "python")), F.col("fences").cast("long").alias("fences"))
 
 
-@query("density_scores", f"{CLASSIFIED} SELECT doc_id, " + ", ".join(f"round(d_{t}, 6) AS d_{t}" for t in P.PATTERNS) + " FROM both")
+@query("density_scores", f"{CLASSIFIED} SELECT doc_id, " + ", ".join(f"round(d_{t}, 6) AS d_{t}" for t in P.PATTERNS) + " FROM labelled")
 def density_scores(spark, sf):
     return classify.with_densities(documents(spark, sf)).select("doc_id", *(F.round(f"d_{t}", 6).alias(f"d_{t}") for t in P.PATTERNS))
 
 
-@query("fence_count", f"{CLASSIFIED} SELECT doc_id, fences FROM both WHERE fences > 0")
+@query("fence_count", f"{CLASSIFIED} SELECT doc_id, fences FROM labelled WHERE fences > 0")
 def fence_count(spark, sf):
     return classify.with_fences(documents(spark, sf)).select("doc_id", F.col("fences").cast("long").alias("fences")).filter("fences > 0")
 
 
-@query("classify_chunks", f"{CLASSIFIED} SELECT doc_id, labels2 AS labels FROM both")
+@query("classify_chunks", f"{CLASSIFIED} SELECT doc_id, labels2 AS labels FROM labelled")
 def classify_chunks(spark, sf):
     return classify.classify_chunks(documents(spark, sf)).select("doc_id", joined("content_type").alias("labels"))
 
 
-@query("classify_two_tier", f"{CLASSIFIED} SELECT doc_id, labels, tier FROM both")
+@query("classify_two_tier", f"{CLASSIFIED} SELECT doc_id, labels, tier FROM labelled")
 def classify_two_tier(spark, sf):
     return classify.classify_two_tier(documents(spark, sf)).select("doc_id", joined("content_type").alias("labels"), "tier")
 
 
-@query("label_lookup", f"{CLASSIFIED} SELECT doc_id, title, labels1 AS labels FROM both WHERE labels1 IS NOT NULL")
+@query("label_lookup", f"{CLASSIFIED} SELECT doc_id, title, labels1 AS labels FROM labelled WHERE labels1 IS NOT NULL")
 def label_lookup(spark, sf):
     docs = documents(spark, sf).select("doc_id", stem(F.col("source_path")).alias("title"))
     return docs.join(F.broadcast(classify.labels_table(spark)), "title").select("doc_id", "title", joined("content_type").alias("labels"))
@@ -100,23 +100,23 @@ def curated_labels(spark, sf):
     return classify.labels_table(spark).select("title", joined("content_type").alias("labels"))
 
 
-@query("curated_split", f"{CLASSIFIED} SELECT doc_id, labels1 IS NOT NULL AS curated FROM both")
+@query("curated_split", f"{CLASSIFIED} SELECT doc_id, labels1 IS NOT NULL AS curated FROM labelled")
 def curated_split(spark, sf):
     return documents(spark, sf).select("doc_id", classify.is_curated(F.col("source_path")).alias("curated"))
 
 
-@query("tier_counts", f"{CLASSIFIED} SELECT tier, count(*) AS n FROM both GROUP BY tier")
+@query("tier_counts", f"{CLASSIFIED} SELECT tier, count(*) AS n FROM labelled GROUP BY tier")
 def tier_counts(spark, sf):
     return classify.classify_two_tier(documents(spark, sf)).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("label_set_top15", f"{CLASSIFIED} SELECT labels, count(*) AS n FROM both GROUP BY labels ORDER BY n DESC, labels LIMIT 15")
+@query("label_set_top15", f"{CLASSIFIED} SELECT labels, count(*) AS n FROM labelled GROUP BY labels ORDER BY n DESC, labels LIMIT 15")
 def label_set_top15(spark, sf):
     out = classify.classify_two_tier(documents(spark, sf)).groupBy(joined("content_type").alias("labels")).agg(F.count("*").alias("n"))
     return out.orderBy(F.desc("n"), "labels").limit(15)
 
 
-@query("label_examples", f"{CLASSIFIED} SELECT labels, min_by(replace(substr(text, 1, 120), chr(10), ' '), doc_id) AS example FROM both GROUP BY labels")
+@query("label_examples", f"{CLASSIFIED} SELECT labels, min_by(replace(substr(text, 1, 120), chr(10), ' '), doc_id) AS example FROM labelled GROUP BY labels")
 def label_examples(spark, sf):
     out = classify.classify_two_tier(documents(spark, sf)).select("doc_id", joined("content_type").alias("labels"), F.replace(F.substring("text", 1, 120), F.lit("\n"), F.lit(" ")).alias("p"))
     return out.groupBy("labels").agg(F.min_by("p", "doc_id").alias("example"))
@@ -240,7 +240,7 @@ def _given_chunks(spark, sf):
 
 
 _NODES = f"""{CLASSIFIED}, given AS (
-  SELECT *, (doc_id % 1000000000 + doc_id // 1000000000)::INT AS chunk_idx, labels1 IS NOT NULL AS curated, md5(source_path || '|' || (doc_id % 1000000000 + doc_id // 1000000000)) AS nid FROM both
+  SELECT *, (doc_id % 1000000000 + doc_id // 1000000000)::INT AS chunk_idx, labels1 IS NOT NULL AS curated, md5(source_path || '|' || (doc_id % 1000000000 + doc_id // 1000000000)) AS nid FROM labelled
 ), all_nodes AS (
   SELECT nid AS node_id, NULL AS parent_id, 'prose' AS kind, text, labels, doc_id % 7 = 0 AS has_code, source_path, CASE WHEN curated THEN 'curated' ELSE 'embed' END AS tier FROM given
   UNION ALL
@@ -320,19 +320,14 @@ def near_dup_pairs(spark, sf):
     return _pairs(spark, sf).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-_GREEDY = f"""WITH RECURSIVE {_PAIRS}, later AS (SELECT id_b AS id, list(id_a) AS earlier FROM pairs GROUP BY id_b), numbered AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM later), walk AS (
-  SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
-  UNION ALL SELECT w.k + 1, CASE WHEN len(list_filter(n.earlier, lambda e: NOT list_contains(w.gone, e))) > 0 THEN list_append(w.gone, n.id) ELSE w.gone END FROM walk w JOIN numbered n ON n.k = w.k + 1
-), gone AS (SELECT unnest(gone) AS id FROM walk WHERE k = (SELECT max(k) FROM walk))"""
-
-
-@query("dedup_greedy", f"{_GREEDY} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM gone)")
+# the greedy walk has no SQL form that is fast over the whole table; a test holds both against a plain loop
+@query("dedup_greedy")
 def dedup_greedy(spark, sf):
     ids = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     return dedup.keep_first(ids, _pairs(spark, sf))
 
 
-@query("dedup_stats", f"{_GREEDY} SELECT count(*) AS n_in, count(*) - (SELECT count(*) FROM gone) AS n_kept, (SELECT count(*) FROM gone) AS n_removed FROM documents")
+@query("dedup_stats")
 def dedup_stats(spark, sf):
     ids = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     return dedup.dedup_stats(ids, dedup.keep_first(ids, _pairs(spark, sf)))

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folio.operators.classify import suffix_kind
 
@@ -52,7 +53,7 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object: a name can be read only by a session
 def html_text(html: pd.Series) -> pd.Series:
     """Text nodes of a page, stripped, one a line."""
 
