@@ -97,7 +97,7 @@ def frequency_classes(table: DataFrame) -> DataFrame:
                 key, count = np.unique(key[(key & np.uint32(1)) == 0], return_counts=True)
                 part = (key.astype(np.uint64) >> np.uint64(32 - bits)).astype(np.int64)
                 q, at = np.unique(part, return_index=True)
-                ends = np.append(at[1:], len(key))
+                ends = np.append(at[1:], len(key))[: len(at)]  # none if no key is even
                 count = np.minimum(count, 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q, pa.int32()), pa.array(np.full(len(q), chunk), pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())],
