@@ -13,6 +13,8 @@ BLOCKS = 4096
 PASSES = 3
 #: A uniform number is made of this many hash bits.
 BITS = 53
+#: Documents that are added one by one where whole blocks and the last block's documents leave words missing.
+TOP_UPS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -75,8 +77,8 @@ def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: in
     """Columns of ``docs`` (those in ``carry``, or all) plus ``size``, ``source_size``, ``target``, ``taken`` and ``shards`` (the output shard of each copy taken).
 
     A source's documents fall into blocks by hash and the blocks into a hashed order. The source gives whole passes over its blocks and then the first
-    blocks of another pass up to its target; in the block where the target falls documents are taken in hashed order, and last the one document of the
-    source that comes nearest to what is missing. The splitting tree deals each source's block draws to the output shards; draws are used in order, so
+    blocks of another pass up to its target; in the block where the target falls documents are taken in hashed order, and last, one after another, up to
+    TOP_UPS documents of the source that are in fewer than ``passes`` times and come nearest to what is missing. The splitting tree deals each source's block draws to the output shards; draws are used in order, so
     shards get disjoint ones. Everything is a hash of the rows: reruns agree. Null text has no words, a null source is a source of its own, rows of
     no words are taken like others, equal rows are dealt each (which of them is taken twice is left open, they being equal), an empty table gives an
     empty result, and clashing columns of ``docs`` are replaced.
@@ -122,16 +124,19 @@ def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: in
     split = split.withColumn("_extra", (F.sum("size").over(within) <= F.col("room")).cast("int"))
     rows = staged(rows.filter("state <> 1").withColumn("_extra", F.when(F.col("state") == 2, 1).otherwise(0)).unionByName(split), "drawn")
 
-    # then the one document of the source that comes nearest to what is missing
+    # then, up to TOP_UPS times, the one document of the source that comes nearest to what is still missing
     missing = rows.filter("state = 1").groupBy("_key").agg((F.first("room") - F.sum(F.col("_extra") * F.col("size"))).alias("missing"))
-    off = F.abs(F.col("size") - F.col("missing"))
-    fit = rows.filter("_extra = 0").join(small(missing), "_key").filter(off < F.col("missing"))
-    fit = fit.groupBy("_key").agg(F.min_by("_id", F.struct(off, "_h", "_id")).alias("_fit"))
-    rows = rows.join(small(fit), "_key", "left").withColumn("_extra", F.when(F.col("_id") == F.col("_fit"), 1).otherwise(F.col("_extra")))
+    for _ in range(TOP_UPS):
+        off = F.abs(F.col("size") - F.col("missing"))
+        fit = rows.filter(F.col("whole") + F.col("_extra") < passes).join(small(missing), "_key").filter(off < F.col("missing"))
+        fit = fit.groupBy("_key").agg(F.min_by(F.struct("_id", "size", "missing"), F.struct(off, "_h", "_id")).alias("f"))
+        fit = staged(fit.select("_key", F.col("f._id").alias("_fit"), (F.col("f.missing") - F.col("f.size")).alias("missing")), "fit")
+        rows = rows.join(small(fit.select("_key", "_fit")), "_key", "left").withColumn("_extra", F.when(F.col("_id") == F.col("_fit"), F.col("_extra") + 1).otherwise(F.col("_extra"))).drop("_fit")
+        missing = fit.select("_key", "missing").filter("missing > 0")
 
     copies = F.col("whole") + F.col("_extra")
     number = F.sequence(F.lit(0).cast("long"), copies - 1)
-    place = lambda e: e * F.col("n_used") + F.when(e == F.col("whole"), F.least("turn", "edge")).otherwise(F.col("turn"))
+    place = lambda e: F.least(e, "whole") * F.col("n_used") + F.when(e >= F.col("whole"), F.least("turn", "edge")).otherwise(F.col("turn"))
     shard_of = lambda e: F.size(F.filter("ends", lambda end: end <= place(e)))
     shards = F.when(copies > 0, F.transform(number, shard_of)).otherwise(F.array().cast("array<int>"))
     return rows.select(*cols, (copies * F.col("size")).alias("taken"), shards.alias("shards"))
