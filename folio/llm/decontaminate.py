@@ -63,18 +63,28 @@ def hits(items: Items, h: np.ndarray, row: np.ndarray):
 
 
 def candidates(items: Items, h: np.ndarray, row: np.ndarray):
-    """Windows that may match: those with enough item grams within the edits' drift. No match is lost here."""
+    """(row, item, first start, last start) of windows that may match, merged to intervals that do not overlap within a row and item. No match is lost here.
+
+    The intact grams of a match say starts within the edits' number of places of its own start, to either side: from the least of them on, enough lie
+    within twice that number, and the match itself starts within that number of it.
+    """
     owner, item, start = hits(items, h, row)
     if not len(owner):
         return owner, item, start, start
     order = np.lexsort((start, item, owner))
     owner, item, start = owner[order], item[order], start[order]
     group = np.cumsum(np.concatenate([[0], (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])]))
-    key = group * (len(h) * 4 + 4) + start + len(h)
-    # grams of a match start within the edits' number of places of its own start, to either side
+    reach = len(h) + int(items.size.max())  # an item may be longer than the block: starts lie this far out at most
+    key = group * (4 * reach) + start + reach
     n = np.searchsorted(key, key + 2 * items.edits[item], "right") - np.arange(len(key))
     good = np.flatnonzero(n >= items.least[item])
-    return owner[good], item[good], start[good], np.minimum(start[good] + 2 * items.edits[item[good]], len(h))
+    owner, item, start, group = owner[good], item[good], start[good], group[good]
+    lo, hi = start - items.edits[item], start + items.edits[item]
+    fresh = np.ones(len(good), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (lo[1:] > hi[:-1] + 1)
+    at = np.flatnonzero(fresh)
+    last = np.append(at[1:], len(good))[: len(at)] - 1
+    return owner[at], item[at], lo[at], hi[last]
 
 
 def embed(h: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
@@ -130,7 +140,6 @@ def search(items: Items, raw: np.ndarray, off: np.ndarray):
     _, _, h, row = words(raw, off, alnum=True)
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(off) - 1))]).astype(np.int64)
     found: dict[tuple[int, int], tuple] = {}
-    tried = set()
     regions = [x.tolist() for x in candidates(items, h, row)]
     for r, i, lo, hi in zip(*regions, strict=True):  # equal windows first: nothing can come nearer
         m = int(items.size[i])
@@ -140,9 +149,8 @@ def search(items: Items, raw: np.ndarray, off: np.ndarray):
     for r, i, lo, hi in zip(*regions, strict=True):
         m, e = int(items.size[i]), int(items.edits[i])
         for s in range(max(lo, int(first[r])), min(hi, int(first[r + 1]) - m + e) + 1):
-            if (r, i, s) in tried or found.get((r, i), (m,))[0] == 0:
+            if found.get((r, i), (m,))[0] == 0:
                 continue
-            tried.add((r, i, s))
             wide = h[s : min(s + m + e, int(first[r + 1]))]
             # every word of the item that the window lacks is an edit, so a match has at least m - e of them
             if np.isin(items.words[i], wide).sum() >= m - e and similar(items, i, wide[:m]):

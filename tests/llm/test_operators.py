@@ -350,6 +350,52 @@ def test_decontamination_brute_force(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def window_starts(a, b, e):
+    """Starts in b of windows within e edits of a; the distance is that of a to the best prefix of what follows."""
+    out = []
+    for s in range(len(b)):
+        last = list(range(len(b) - s + 1))
+        for w in a:
+            now = [last[0] + 1]
+            for j in range(1, len(last)):
+                now.append(min(last[j - 1] + (b[s + j - 1] != w), last[j] + 1, now[j - 1] + 1))
+            last = now
+        if min(last) <= e:
+            out.append(s)
+    return out
+
+
+def hashed(docs):
+    raw = [" ".join(d).encode() for d in docs]
+    return decontaminate.words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), alnum=True)[2:]
+
+
+def test_decontamination_candidates_lose_no_window():
+    rng = random.Random(4)
+    for m in (4, 6, 8, 15, 23, 40):
+        item, e = [f"w{j % max(5, m - 3)}" for j in range(m)], m // 5 if m >= 6 else 0
+        docs = []
+        for _ in range(25):
+            d = list(item)
+            for _ in range(e):
+                at, what = rng.choice([rng.randrange(len(d)), min(2, len(d) - 1)]), rng.random()
+                d[at : at + 1] = [] if what < 0.3 else ["x"] if what < 0.6 else ["y", d[at]]
+            docs.append([f"z{j}" for j in range(rng.randrange(4))] + d + [f"z{j}" for j in range(rng.randrange(4))])
+        items = decontaminate.Items([(1, " ".join(item)), (2, " ".join(f"u{j}" for j in range(300)))])
+        for block in [docs, *([d] for d in docs)]:
+            h, row = hashed(block)
+            first = np.searchsorted(row, np.arange(len(block)))
+            got = {(r, s) for r, i, lo, hi in zip(*(x.tolist() for x in decontaminate.candidates(items, h, row)), strict=True) for s in range(lo - first[r], hi - first[r] + 1) if i == 0}
+            assert {(r, s) for r, d in enumerate(block) for s in window_starts(item, d, e)} <= got, m
+
+
+def test_decontamination_insertion_near_the_start(spark):
+    item = [f"w{j}" for j in range(8)]
+    docs = texts_of(spark, [(1, " ".join([*item[:2], "x", *item[2:]]), "s")])
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.matches(docs, bench).collect()] == [(1, 5, 1, 0, 9)]
+
+
 def test_decontamination_odd_inputs(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "dup row here and there"), (4, "one")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.matches(odd(spark), items).collect()} >= {4, 5, 6, 9}
