@@ -12,7 +12,7 @@ from folio.llm.common import grams, mix, text_blocks, words
 EDIT_SHARE = 0.2
 #: Items under so many words must occur word for word; from six words on, a match leaves three words in a row untouched.
 GRAM, SHORT = 3, 6
-#: Bit-sampling: so many embeddings, so many sampled bits each; RECALL is what their number is planned for.
+#: Bit-sampling: so many embeddings, so many sampled bits each; RECALL is what their number is planned for. They choose the windows that are verified first, no more.
 BITS, RECALL, MOST_TABLES = 3, 0.999, 512
 #: Items are searched in blocks of so many.
 ITEM_BLOCK = 20_000
@@ -100,7 +100,7 @@ def embed(h: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
 
 
 def n_tables(edits: int, size: int) -> int:
-    """Embeddings needed for the planned recall: k edits are taken to change min(0.75, 3k/m) of an embedding."""
+    """Embeddings that are tried: k edits are taken to change min(0.75, 3k/m) of an embedding. Deletions can change more, so nothing is dropped by this."""
     agree = (1 - min(0.75, 3 * edits / max(1, size))) ** BITS
     return int(min(MOST_TABLES, max(1, np.ceil(np.log(1 - RECALL) / np.log(1 - agree))))) if agree < 1 else 1
 
@@ -136,7 +136,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def search(items: Items, raw: np.ndarray, off: np.ndarray):
-    """(row, item, edits, first word, words) of the best match of each item in each row of a block of texts."""
+    """(row, item, edits, first word, words) of the best match of each item in each row of a block of texts.
+
+    Of a region's windows those that agree with the item in an embedding's sampled places are verified first. Sampling misses some windows at the full
+    number of edits, so all others are verified too, unless they lack too many of the item's words to be better than what was found.
+    """
     _, _, h, row = words(raw, off, alnum=True)
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(off) - 1))]).astype(np.int64)
     found: dict[tuple[int, int], tuple] = {}
@@ -148,23 +152,27 @@ def search(items: Items, raw: np.ndarray, off: np.ndarray):
                 found[r, i] = (0, s, m, s - int(first[r]))
     for r, i, lo, hi in zip(*regions, strict=True):
         m, e = int(items.size[i]), int(items.edits[i])
-        for s in range(max(lo, int(first[r])), min(hi, int(first[r + 1]) - m + e) + 1):
-            if found.get((r, i), (m,))[0] == 0:
-                continue
-            wide = h[s : min(s + m + e, int(first[r + 1]))]
-            # every word of the item that the window lacks is an edit, so a match has at least m - e of them
-            if np.isin(items.words[i], wide).sum() >= m - e and similar(items, i, wide[:m]):
-                d, n = edit_distance(items.words[i], wide)
+        if not e or found.get((r, i), (m,))[0] == 0:
+            continue
+        end, near, far = int(first[r + 1]), [], []
+        for s in range(max(lo, int(first[r])), min(hi, end - m + e) + 1):
+            # every word of the item that the window lacks is an edit
+            lacks = m - int(np.isin(items.words[i], h[s : min(s + m + e, end)]).sum())
+            if lacks <= e:
+                (near if similar(items, i, h[s : min(s + m, end)]) else far).append((lacks, s))
+        for lacks, s in near + sorted(far):
+            if (lacks, s) < found.get((r, i), (m, 0))[:2]:
+                d, n = edit_distance(items.words[i], h[s : min(s + m + e, end)])
                 if d <= e and (d, s) < found.get((r, i), (m, 0))[:2]:
                     found[r, i] = (d, s, n, s - int(first[r]))
-    return [(r, i, d, at, n) for (r, i), (d, _, n, at) in sorted(found.items())]  # equal sequences have equal embeddings: they pass any sampling
+    return [(r, i, d, at, n) for (r, i), (d, _, n, at) in sorted(found.items())]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words): the best match of each benchmark item in each document that has one.
 
     Words are runs of letters, digits and non-ASCII signs, A-Z as a-z. All windows of all documents are searched: grams find the places where a match is
-    possible at all, the embedding's sampled places choose among the windows there, the edit distance decides. The items are the stated query set and
+    possible at all, the embedding's sampled places choose the windows there that are verified first, the edit distance decides on all. The items are the stated query set and
     are searched in blocks. Null and empty texts and items without a word match nothing; repeated documents and items are each reported, ties in
     edits go to the first window; empty tables give an empty result; other columns are not read.
     """

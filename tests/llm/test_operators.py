@@ -396,6 +396,22 @@ def test_decontamination_insertion_near_the_start(spark):
     assert [tuple(r) for r in decontaminate.matches(docs, bench).collect()] == [(1, 5, 1, 0, 9)]
 
 
+def test_decontamination_recall_at_full_budget():
+    rng = random.Random(6)
+    for m in (16, 40, 59, 60):
+        item = [f"w{j}" for j in range(m)]
+        items = decontaminate.Items([(1, " ".join(item))])
+        docs = []
+        for turn in range(120):
+            d = list(item)
+            for at in sorted(rng.sample(range(m), m // 5), reverse=True):
+                d[at : at + 1] = ([], ["x"], [d[at], "y"])[turn % 3]
+            docs.append([f"a{j}" for j in range(20)] + d + [f"b{j}" for j in range(20)])
+        raw = [" ".join(d).encode() for d in docs]
+        got = decontaminate.search(items, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [r for r, *_ in got] == list(range(120)), (m, 120 - len(got))
+
+
 def test_decontamination_odd_inputs(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "dup row here and there"), (4, "one")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.matches(odd(spark), items).collect()} >= {4, 5, 6, 9}
