@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folio.functions.text import stem, ustrip
@@ -126,3 +127,14 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
         add(i)
         ingest.ingest(ingest.documents_stream(spark, str(tmp_path / "in")), out, str(tmp_path / "cp")).awaitTermination()
         assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == list(range(1, i + 1))
+
+
+def test_lsh_candidates_are_all_band_collisions(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BUCKET", 3, raising=False)
+    rng, width = np.random.default_rng(2), dedup.PERMS // dedup.BANDS
+    # each band has one of few values, so buckets are large and a bucket's head is not alike to all of its members in other bands
+    bands = {i: rng.integers(0, 6, dedup.BANDS).tolist() for i in range(40)} | {50: [7] * dedup.BANDS, 51: [7] * dedup.BANDS, 52: [7] * dedup.BANDS}
+    rows = [(i, 1, [v for v in b for _ in range(width)]) for i, b in bands.items()] + [(60, 0, [])]
+    got = [tuple(r) for r in dedup.lsh_candidates(spark.createDataFrame(rows, "id long, n int, signature array<long>")).collect()]
+    want = {(i, j) for i in bands for j in bands if i < j and any(x == y for x, y in zip(bands[i], bands[j], strict=True))}
+    assert len(got) == len(set(got)) and set(got) == want
