@@ -20,6 +20,11 @@ ROUNDS, HEADS = 2, 8
 COUNTED, COMPARED = 2_000_000, 1 << 18
 
 
+def row_key(docs: DataFrame):
+    """A key of a row that is never null and that rows of other texts don't share, whatever their doc_id."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def needed(n, t: int):
     """Shingles that a set of n shares with any set of Jaccard similarity t / 100 or more: ceil(t n / 100)."""
     return (t * n + 99) // 100
@@ -37,7 +42,7 @@ def _sets(column, k: int):
 
 
 def chunks(docs: DataFrame, k: int, t: int) -> DataFrame:
-    """Texts as chunks: the documents' classes and sizes, and for each class in the chunk 32-bit keys of its shingles.
+    """Texts as chunks: the documents' row keys, classes and sizes, and for each class in the chunk 32-bit keys of its shingles.
 
     Every other key is kept, those with an even number; they come first in the common order of shingles. Where they are fewer than the prefix, the
     smallest odd ones follow.
@@ -69,15 +74,15 @@ def chunks(docs: DataFrame, k: int, t: int) -> DataFrame:
                 flips = np.bincount(number[owner][number[owner] >= 0] * 64 * SKETCH + bit, minlength=len(size) * 64 * SKETCH)
                 sketch = np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
                 one = lambda v, ty: pa.array([v.tolist()], pa.list_(ty))
-                ids = pa.array([batch.column(0).slice(at, len(n)).to_pylist()], pa.list_(pa.int64()))
+                ids, rows = (pa.array([batch.column(i).slice(at, len(n)).to_pylist()], pa.list_(pa.int64())) for i in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), ids, one(cls, pa.int64()), one(n, pa.int64()), one(cls[first[~alone]], pa.int64()), one(size, pa.int64()), one(kept, pa.int64()), one(sketch, pa.int64()), pa.array([key[keep].tobytes()], pa.binary())],
-                    ["chunk", "doc_id", "doc_cls", "doc_n", "cls", "n", "kept", "sketches", "keys"],
+                    [pa.array([chunk], pa.int64()), ids, rows, one(cls, pa.int64()), one(n, pa.int64()), one(cls[first[~alone]], pa.int64()), one(size, pa.int64()), one(kept, pa.int64()), one(sketch, pa.int64()), pa.array([key[keep].tobytes()], pa.binary())],
+                    ["chunk", "doc_id", "doc_row", "doc_cls", "doc_n", "cls", "n", "kept", "sketches", "keys"],
                 )
                 chunk += 1
 
-    schema = "chunk long, doc_id array<long>, doc_cls array<long>, doc_n array<long>, cls array<long>, n array<long>, kept array<long>, sketches array<long>, keys binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "chunk long, doc_id array<long>, doc_row array<long>, doc_cls array<long>, doc_n array<long>, cls array<long>, n array<long>, kept array<long>, sketches array<long>, keys binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", row_key(docs)).mapInArrow(run, schema)
 
 
 def frequency_classes(table: DataFrame) -> DataFrame:
@@ -159,14 +164,14 @@ def signatures(table: DataFrame, classes: DataFrame, t: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, t: int) -> DataFrame:
     """(a, b, n: size of b) -> links (a, b): the pairs of classes whose sets reach the threshold.
 
-    One document of each class (``owners``: cls, doc_id) is read again and its whole set goes to the tasks of the sets it is compared with; a set with
+    One document of each class (``owners``: cls, row) is read again and its whole set goes to the tasks of the sets it is compared with; a set with
     many partners has several tasks.
     """
     tasks = pairs.groupBy("a").agg(F.ceil(F.sum("n") / COMPARED).alias("tasks"))
     sent = pairs.join(tasks, "a").select(F.col("b").alias("cls"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), "tasks").alias("task"), F.lit(False).alias("own"))
     own = tasks.select(F.col("a").alias("cls"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(True).alias("own"))
     need = sent.union(own).groupBy("cls").agg(F.collect_list(F.struct("center", "task", "own")).alias("to")).join(owners, "cls")
-    need = staged(need.select("doc_id", "cls", "to"), "need")
+    need = staged(need.select("row", "cls", "to"), "need")
 
     def send(batches):
         import pyarrow as pa
@@ -199,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, t: in
         a = group.column("center")[0].as_py()
         return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(need), "doc_id").select("text", "cls", "to")
+    texts = docs.select(row_key(docs).alias("row"), "text").join(small(need), "row").select("text", "cls", "to")
     out = texts.mapInArrow(send, "center long, task long, cls long, own boolean, body binary").groupBy("center", "task").applyInArrow(compare, "a long, b long")
     return staged(out.distinct(), "verified")
 
@@ -215,14 +220,14 @@ def _near(a, b, na, nb, t: int):
 
 
 def links(docs: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with class and size, links between classes that connect all that are connected).
+    """(documents with row key, class and size, links between classes that connect all that are connected).
 
     First each signature's members are compared with one of them, and then with ROUNDS others, and the linked ones are joined to components. Then whatever pairs a signature still has
     between different components are compared: members of rare signatures all, those of frequent ones if they share two.
     """
     table = staged(chunks(docs, k, t), "chunks")
-    owned = table.select(F.explode(F.arrays_zip("doc_id", "doc_cls", "doc_n")).alias("d")).select("d.doc_id", F.col("d.doc_cls").alias("cls"), F.col("d.doc_n").alias("n"))
-    owners = owned.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    owned = table.select(F.explode(F.arrays_zip("doc_id", "doc_row", "doc_cls", "doc_n")).alias("d")).select("d.doc_id", F.col("d.doc_row").alias("row"), F.col("d.doc_cls").alias("cls"), F.col("d.doc_n").alias("n"))
+    owners = owned.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"))
 
     sigs = staged(signatures(table, frequency_classes(table), t), "signatures")
     cut = F.transform(F.sequence(F.lit(1), F.size("cls")), lambda i: F.slice("sketches", (i - 1) * SKETCH + 1, SKETCH))
@@ -287,9 +292,16 @@ def join_components(docs: DataFrame, k: int = 4, t: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
-    """The documents of lowest doc_id of each component, columns as they are; of repeated rows of one doc_id and text one stays."""
-    keep = join_components(docs, k, t).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """The document of lowest doc_id of each component, columns as they are; of repeated rows of one doc_id and text one stays.
+
+    Rows are told apart by doc_id and text. A null doc_id comes after all others, so it stays if its component has no other; if one doc_id has several texts,
+    each is judged by its own component. Documents without words all stay.
+    """
+    owned, comps = links(docs, k, t)
+    placed = owned.filter("n > 0").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    best = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("_row")).select("_row")
+    keep = best.union(owned.filter("n = 0").select("row")).distinct()
+    return docs.join(keep, row_key(docs) == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def op7_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

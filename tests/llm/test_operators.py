@@ -230,6 +230,24 @@ def test_join_brute_force(spark, monkeypatch, k, t, frequent):
     assert got == brute_components(rows, k, t)
 
 
+def test_one_of_each_null_and_repeated_ids(spark):
+    text = lambda w, n=40: " ".join(f"{w}{j}" for j in range(n))
+    a, b, c, d, e, f = (text(w) for w in "abcdef")
+    rows = [(1, a), (None, a + " end"), (None, b), (None, c), (None, c + " end"), (None, None), (None, ""), (5, d), (5, a + " more"), (7, e), (7, e + " end"), (8, f), (8, f), (None, f)]
+    got = [(r.doc_id, r.text) for r in ngram_join.one_of_each(texts_of(spark, [(i, t, "s") for i, t in rows])).collect()]
+    c_kept, e_kept = [x for x in got if (x[1] or "").startswith("c")], [x for x in got if (x[1] or "").startswith("e")]
+    assert len(c_kept) == len(e_kept) == 1
+    assert sorted(map(str, set(got) - {*c_kept, *e_kept})) == sorted(map(str, [(1, a), (None, b), (None, None), (None, ""), (5, d), (8, f)])) and len(got) == 8
+
+
+def test_join_links_through_null_ids(spark):
+    words = [f"w{j}" for j in range(60)]
+    near = lambda n: " ".join(words[:-n] + [f"x{j}" for j in range(n)])
+    rows = [(1, " ".join(words)), (None, near(3)), (2, " ".join([*words[:-3], "x0", "x1", "x2"][3:]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.join_components(texts_of(spark, [(i, t, "s") for i, t in rows]), 4, 85).collect()}
+    assert got == {1: 1, 2: 1, None: 1}
+
+
 def test_join_odd_inputs(spark):
     assert ngram_join.join_components(odd(spark)).count() == 10
     assert ngram_join.join_components(empty(spark)).count() == 0
