@@ -17,6 +17,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style template noscript head title iframe svg canvas object select option textarea".split())
 #: A start tag here ends an open paragraph or item of its kind.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Start tags that an open head holds; start tags at which an element without an end tag whose content is no text ends.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+BLOCK = ENDS_P | frozenset("body caption dd dt figcaption legend li summary tbody td tfoot th thead tr".split())
 _SPACE = re.compile(r"\s+")
 
 PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 64, 32, 6, 16
@@ -25,26 +28,70 @@ INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
 PAGES, STEPS = 64, 4096
 
 
-class _Leaves(HTMLParser):
-    """The leaf sequence of a page: (tag path, text) of each run of text between block boundaries."""
+class _Silent(HTMLParser):
+    """Numbers of the silent elements, in order of their start tags, that have no end tag."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.n, self.waiting = 0, {t: [] for t in SILENT}
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SILENT:
+            self.waiting[tag].append(self.n)
+            self.n += 1
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if self.waiting.get(tag):
+            self.waiting[tag].pop()
+
+
+class _Leaves(HTMLParser):
+    """The leaf sequence of a page: (tag path, text) of each run of text between block boundaries.
+
+    An open head ends at whatever a head can't hold, a silent element without an end tag at the next block.
+    """
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.html, self.never, self.seen = html, None, 0
         self.path, self.parts, self.leaves, self.silent = [], [], [], 0
 
+    def _unclosed(self, at) -> bool:
+        if self.never is None:
+            p = _Silent()
+            p.feed(self.html)
+            p.close()
+            self.never = {n for left in p.waiting.values() for n in left}
+        return self.path[at][2] in self.never
+
+    def _end_silent(self, tag):
+        silent = [at for at, (t, _, _) in enumerate(self.path) if t in SILENT]
+        head = next((at for at in silent if self.path[at][0] == "head"), None)
+        if head is not None and tag not in HEAD and all(self._unclosed(at) for at in silent if at > head):
+            self._close(head)
+        elif tag in BLOCK:
+            at = next((at for at in silent if at != head and self._unclosed(at)), None)
+            if at is not None:
+                self._close(at)
+
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
         if text:
-            self.leaves.append((tuple(p for _, p in self.path), text))
+            self.leaves.append((tuple(p for _, p, _ in self.path), text))
         self.parts = []
 
     def _close(self, at):
-        if any(t not in INLINE for t, _ in self.path[at:]):
+        if any(t not in INLINE for t, *_ in self.path[at:]):
             self.flush()
-        self.silent -= sum(t in SILENT for t, _ in self.path[at:])
+        self.silent -= sum(t in SILENT for t, *_ in self.path[at:])
         del self.path[at:]
 
     def handle_starttag(self, tag, attrs):
+        if self.silent:
+            self._end_silent(tag)
         if tag not in INLINE:
             self.flush()
         if tag in ENDS_P or tag == "li":
@@ -60,10 +107,14 @@ class _Leaves(HTMLParser):
             return
         names = [v for k, v in attrs if k in ("class", "id", "role") and v]
         marks = re.findall(r"[a-z]+", " ".join(names).lower())
-        self.path.append((tag, (tag, *marks)))
-        self.silent += tag in SILENT
+        self.path.append((tag, (tag, *marks), self.seen))
+        if tag in SILENT:
+            self.silent += 1
+            self.seen += 1
 
     def handle_startendtag(self, tag, attrs):
+        if self.silent:
+            self._end_silent(tag)
         if tag not in INLINE:
             self.flush()
 
@@ -76,12 +127,14 @@ class _Leaves(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
+        if self.silent and self.path[-1][0] == "head" and data.strip(" \t\n\f\r"):
+            self._close(len(self.path) - 1)
         if not self.silent:
             self.parts.append(data)
 
 
 def leaves(html: str) -> list[tuple[tuple, str]]:
-    p = _Leaves()
+    p = _Leaves(html)
     p.feed(html)
     p.close()
     p.flush()

@@ -139,6 +139,26 @@ def test_made_pages_are_read():
     assert right / total > 0.97
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><head><title>t</title><body><article><p>one</article>", ["one"]),
+        ("<html><head><title>t</title><meta charset=x><script>s</script><article><p>one</p></article>", ["one"]),
+        ("<head><title>t</title><noscript><link></noscript><template><p>no</p></template><style>s</style><p>one", ["one"]),
+        ("<head><title>t</title>one<p>two", ["one", "two"]),
+        ("<head><title>t</title><img>one<p>two", ["one", "two"]),
+        ("<head><title>t</title><br/>one", ["one"]),
+        ("<head><noscript><link><body><p>one", ["one"]),
+        ("<body><div><select><option>no<p>one</p><p>two</p></div>", ["one", "two"]),
+        ("<body><noscript>no<img><div>one</div><noscript><p>no</p></noscript><p>two", ["one", "two"]),
+        ("<body><noscript><div><p>no</p></div></noscript><svg><title>no</title></svg><p>one", ["one"]),
+        ("<head><title>t</title></head><body><select><option>no<option>no</select><p>one</p>", ["one"]),
+    ],
+)
+def test_pages_with_silent_elements_left_open(html, want):
+    assert [t for _, t in html_extract.leaves(html)] == want
+
+
 def test_pages_odd_inputs(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<article><p>a &amp; b&nbsp;&eacute;\n c <b>d</b></p><p>One more sentence here.</p><script>x</script></article>"), (4, "u", "<div <<p>>broken"), (None, "u", "<nav><li>Home</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
