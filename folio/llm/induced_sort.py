@@ -1,4 +1,4 @@
-"""External suffix sorting by recursive induction, with queues that spill to disk."""
+"""Suffix sorting of a shard in memory by recursive induction; only the queues spill to disk. The external form is not built (README)."""
 
 from __future__ import annotations
 
