@@ -1,192 +1,531 @@
-"""Suffix sorting of a shard in memory by recursive induction; only the queues spill to disk. The external form is not built (README)."""
+"""External suffix sorting by recursive induction, with common-prefix values.
+
+Text, types, orders and queues lie in files of a task's scratch folder and are worked on in batches; memory holds a bounded number of tuples. A tuple
+(symbol, position, prefix) stands for a suffix and what it has in common with the tuple of the same symbol before it: a suffix that is brought by its
+successor has one symbol more in common with its neighbour than the successors have, the least of all prefixes between them.
+"""
 
 from __future__ import annotations
 
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Suffixes whose order is settled in memory at once; a text of more is sorted in ranges of first symbols.
-IN_MEMORY = 1 << 21
+#: Tuples that the queues hold in memory, and suffixes that are worked on at once.
+IN_MEMORY, BATCH = 1 << 18, 1 << 17
+#: A symbol that follows itself so often has a range of its own.
+LONG_RUN = 32
+#: Larger than any common prefix.
+ENDLESS = 1 << 30
+
+
+class Disk:
+    """Scratch files of one sort, and the bounds of what is in memory."""
+
+    def __init__(self, folder: str, bound: int = IN_MEMORY, batch: int = BATCH):
+        self.folder, self.bound, self.batch, self.n, self.spilled = folder, bound, batch, 0, 0
+
+    def name(self) -> str:
+        self.n += 1
+        return f"{self.folder}/{self.n}"
+
+    def array(self, dtype, *shape: int) -> np.ndarray:
+        """An array in a file, zero at first; the file goes with its last view."""
+        path = self.name()
+        made = np.memmap(path, dtype, "w+", shape=tuple(max(1, s) for s in shape))
+        os.remove(path)
+        return made.view(np.ndarray)[: shape[0]]
 
+    def parts(self, n: int) -> Iterator[tuple[int, int]]:
+        for a in range(0, n, self.batch):
+            yield a, min(n, a + self.batch)
 
-class RangeQueue:
-    """A priority queue of suffixes by range of first symbol, on disk beyond a bound.
 
-    Induction takes ranges in rising order and adds suffixes in the order of their sources to ranges not yet taken, so a range's content, in order of
-    arrival, is in order of rank. What is in memory beyond the bound goes to one file a range.
+class Queues:
+    """First-in-first-out queues of tuples, one for each range of symbols: together a priority queue, for ranges are taken in rising order.
+
+    What is in memory beyond the bound goes to one file a queue.
     """
 
-    def __init__(self, ends: np.ndarray, folder: str, bound: int = IN_MEMORY):
-        self.ends, self.folder, self.bound = ends, folder, bound
-        self.parts: list[list[np.ndarray]] = [[] for _ in ends]
-        self.held, self.on_disk = 0, [False] * len(ends)
-
-    def push(self, pos: np.ndarray, sym: np.ndarray) -> None:
-        into = np.searchsorted(self.ends, sym, "right")
-        for r in np.unique(into).tolist():
-            self.parts[r].append(pos[into == r])
-        self.held += len(pos)
-        if self.held > self.bound:
-            for r, parts in enumerate(self.parts):
+    def __init__(self, disk: Disk, n: int):
+        self.disk, self.parts, self.files, self.held = disk, [[] for _ in range(n)], [None] * n, 0
+
+    def push(self, q: int, tuples: np.ndarray) -> None:
+        self.parts[q].append(tuples)
+        self.held += len(tuples)
+        if self.held > self.disk.bound:
+            for i, parts in enumerate(self.parts):
                 if parts:
-                    with open(self._file(r), "ab") as f:
+                    self.files[i] = self.files[i] or self.disk.name()
+                    with open(self.files[i], "ab") as f:
                         np.concatenate(parts).tofile(f)
-                    self.parts[r], self.on_disk[r] = [], True
+                    self.parts[i] = []
+            self.disk.spilled += self.held
             self.held = 0
 
-    def pop(self, r: int) -> np.ndarray:
-        parts = [np.fromfile(self._file(r), np.int64)] if self.on_disk[r] else []
-        self.held -= sum(map(len, self.parts[r]))
-        parts, self.parts[r] = parts + self.parts[r], []
-        if self.on_disk[r]:
-            os.remove(self._file(r))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    def pop(self, q: int) -> Iterator[np.ndarray]:
+        """The queue's tuples in batches; they leave it."""
+        if self.files[q]:
+            with open(self.files[q], "rb") as f:
+                while len(part := np.fromfile(f, np.int64, 3 * self.disk.batch)):
+                    yield part.reshape(-1, 3)
+            os.remove(self.files[q])
+            self.files[q] = None
+        parts, self.parts[q] = self.parts[q], []
+        self.held -= sum(map(len, parts))
+        for part in parts:
+            for a in range(0, len(part), self.disk.batch):
+                yield part[a : a + self.disk.batch]
+
 
-    def _file(self, r: int) -> str:
-        return f"{self.folder}/queue-{id(self)}-{r}"
+class Minima:
+    """Least values of ranges of an array."""
 
+    def __init__(self, v: np.ndarray):
+        self.levels, span = [v], 1
+        while 2 * span <= len(v):
+            self.levels.append(np.minimum(self.levels[-1][:-span], self.levels[-1][span:]))
+            span *= 2
 
-def _ranges(sym: np.ndarray, bound: int) -> np.ndarray:
-    """Upper ends of ranges of symbols with about ``bound`` suffixes each."""
-    values, counts = np.unique(sym, return_counts=True)
-    part = np.cumsum(counts) // bound
-    last = np.append(part[1:] != part[:-1], True)
-    return values[last] + 1
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """min(v[a:b]); ENDLESS where that is empty."""
+        width = b - a
+        level = np.frexp(np.maximum(width, 1).astype(float))[1] - 1
+        out = np.full(len(a), ENDLESS, np.int64)
+        for k in np.unique(level[width > 0]).tolist():
+            at = np.flatnonzero((level == k) & (width > 0))
+            v = self.levels[k]
+            out[at] = np.minimum(v[a[at]], v[b[at] - (1 << k)])
+        return out
 
 
-def induce(sym: np.ndarray, seeds: np.ndarray, wanted: np.ndarray, first: np.ndarray, folder: str, bound: int) -> np.ndarray:
-    """The wanted suffixes in rising order of ``sym``, induced from sorted seeds.
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = ENDLESS) -> np.ndarray:
+    """Symbols that the suffixes at a and b have in common, compared one after another."""
+    n, out, alive, width = len(text), np.zeros(len(a), np.int64), np.arange(len(a)), 4
+    while len(alive):
+        x, y = (p[alive, None] + out[alive, None] + np.arange(width) for p in (a, b))
+        same = (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (x < n) & (y < n)
+        more = np.where(same.all(1), width, same.argmin(1))
+        out[alive] += more
+        alive = alive[(more == width) & (out[alive] < cap)]
+        width = min(64, 2 * width)
+    return np.minimum(out, cap)
+
+
+def _types(text: np.ndarray, disk: Disk) -> tuple[np.ndarray, np.ndarray]:
+    """Is a suffix smaller than the next one? And how often does its first symbol stand just before it?"""
+    n = len(text)
+    small, run = disk.array(bool, n), disk.array(np.int32, n)
+    follows, next_ = False, -1  # of the suffix after the part; the end is smaller than any symbol
+    for a, b in reversed(list(disk.parts(n))):
+        t = text[a:b].astype(np.int64)
+        after = np.append(t[1:], next_)
+        differs = np.flatnonzero(t != after)
+        at = np.searchsorted(differs, np.arange(b - a))
+        own = np.append(t[differs] < after[differs], follows)
+        small[a:b] = own[at]
+        follows, next_ = bool(small[a]), int(t[0])
+    last, count = -1, 0
+    for a, b in disk.parts(n):
+        t = text[a:b].astype(np.int64)
+        fresh = t != np.append(last, t[:-1])
+        head = np.maximum.accumulate(np.where(fresh, np.arange(b - a), -count - 1 if not fresh[0] else 0))
+        run[a:b] = np.arange(b - a) - head
+        last, count = int(t[-1]), int(run[b - 1])
+    return small, run
 
-    A suffix that is taken from the queue, or a seed, brings the suffix before it if that is wanted; of suffixes with equal first symbol the induced
-    ones come first, in the order of their sources, then the seeds. ``first`` are wanted suffixes without a source.
+
+def _packed(text, small, start, length, depth: int, width: int, bits: int) -> np.ndarray:
+    out = np.zeros(len(start), np.int64)
+    for k in range(depth, depth + width):
+        at = np.minimum(start + k, len(text) - 1)
+        out = (out << bits) | np.where(k < length, text[at].astype(np.int64) * 2 + small[at] + 1, 0)
+    return out
+
+
+def names(text: np.ndarray, small: np.ndarray, star: np.ndarray, disk: Disk) -> tuple[np.ndarray, int]:
+    """Order-keeping names of the substrings, of symbols with their types, from each star to the next, both included; and how many names there are.
+
+    Substrings are dealt to files by their next symbols until a file fits into memory.
     """
-    ends = _ranges(sym, bound)
-    queue = RangeQueue(ends, folder, bound)
-    queue.push(first, sym[first])
-    cut = np.searchsorted(sym[seeds], np.concatenate([[np.iinfo(np.int64).min], ends]))
-    out = []
-    for r, end in enumerate(ends.tolist()):
-        known, own = queue.pop(r), seeds[cut[r] : cut[r + 1]]
-        pos, kind = [known, own], [np.zeros(len(known), np.int64), np.full(len(own), 2)]
-        key = [np.arange(len(known)), np.arange(len(own))]
-        at, frontier, total = 0, np.concatenate([known, own]), len(known) + len(own)
-        while len(frontier):  # suffixes induced inside the range, by steps from their source
+    top = max(int(text[a:b].max()) for a, b in disk.parts(len(text)))
+    bits = (2 * top + 2).bit_length()
+    width = max(1, 62 // bits)
+    name, used = disk.array(np.int32, len(star)), 0
+
+    def of(index):
+        start = star[index]
+        return start, np.where(index + 1 < len(star), star[np.minimum(index + 1, len(star) - 1)] + 1, len(text)) - start
+
+    def settle(index: np.ndarray, depth: int) -> None:
+        nonlocal used
+        start, length = of(index)
+        group, todo = np.zeros(len(index), np.int64), np.arange(len(index))
+        while len(todo):  # groups count the smaller ones; only ties are looked at again
+            key = _packed(text, small, start[todo], length[todo], depth, width, bits)
+            by = np.lexsort((key, group[todo]))
+            g, k = group[todo][by], key[by]
+            first = np.append(True, g[1:] != g[:-1])
+            fresh = first | np.append(True, k[1:] != k[:-1])
+            place = np.arange(len(by))
+            group[todo[by]] = g + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
+            depth += width
+            todo = todo[by[~fresh | np.append(~fresh[1:], False)]]
+            if not (length[todo] > depth).any():
+                break
+        values, dense = np.unique(group, return_inverse=True)
+        name[index] = used + dense
+        used += len(values)
+
+    def deal(queue: Queues, q: int, n: int, depth: int) -> None:
+        nonlocal used
+        if n <= disk.bound:
+            parts = [p[:, 0] for p in queue.pop(q)]
+            if parts:
+                settle(np.concatenate(parts), depth)
+            return
+        keys, ends = disk.array(np.int64, n, 3), 0
+        for part in queue.pop(q):
+            start, length = of(part[:, 0])
+            keys[ends : ends + len(part)] = np.column_stack([_packed(text, small, start, length, depth, width, bits), part[:, 0], length])
+            ends += len(part)
+        cut = np.unique(keys[:: max(1, n // 64), 0])
+        lower, size, going = Queues(disk, 2 * len(cut) + 1), np.zeros(2 * len(cut) + 1, np.int64), np.zeros(2 * len(cut) + 1, bool)
+        for a, b in disk.parts(n):
+            key, index, length = keys[a:b].T
+            into = np.searchsorted(cut, key, "left") + np.searchsorted(cut, key, "right")
+            for i in np.unique(into).tolist():
+                mine = index[into == i]
+                lower.push(i, np.column_stack([mine, mine, mine]))
+                size[i] += len(mine)
+                going[i] |= bool((length[into == i] > depth + width).any())
+        for i in range(len(size)):
+            if i % 2 == 0 or going[i]:
+                deal(lower, i, int(size[i]), depth + width * (i % 2))
+            elif size[i]:  # one key, and nothing after it
+                for part in lower.pop(i):
+                    name[part[:, 0]] = used
+                used += 1
+
+    every = Queues(disk, 1)
+    for a, b in disk.parts(len(star)):
+        index = np.arange(a, b)
+        every.push(0, np.column_stack([index, index, index]))
+    deal(every, 0, len(star), 0)
+    return name, used
+
+
+class Induction:
+    """One pass over the suffixes in rising order of their symbols, which brings all suffixes of one type from sorted seeds of the other.
+
+    A suffix taken from its queue, or a seed, brings the suffix before it if that is of the wanted type. Of suffixes with equal first symbol the induced ones
+    come first, in the order of those that brought them, then the seeds. The pass that goes down in the text's order counts symbols from the top.
+    """
+
+    def __init__(self, text, small, run, kind: bool, seeds: np.ndarray, disk: Disk, cap: int):
+        self.text, self.small, self.run, self.kind, self.seeds, self.disk, self.cap = text, small, run, kind, seeds, disk, cap
+        self.top = max(int(text[a:b].max()) for a, b in disk.parts(len(text)))
+        self.ends, self.lone = self._ranges()
+        self.queues = Queues(disk, len(self.ends))
+        # for each symbol: the batch of its last tuple, and the least prefix from there to that batch's end
+        self.last, self.carry = disk.array(np.int32, self.top + 1), disk.array(np.int64, self.top + 1)
+        self.turn, self.since = 1, np.full(1024, ENDLESS, np.int64)  # since: least prefix of all batches from one on; batch 0 is the end of the text
+        wanted = sum(int((small[a:b] == kind).sum()) for a, b in disk.parts(len(text)))
+        self.out, self.n_out = disk.array(np.int64, wanted, 3), 0
+
+    def key(self, pos: np.ndarray) -> np.ndarray:
+        s = self.text[pos].astype(np.int64)
+        return self.top - s if self.kind else s
+
+    def _ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of ranges of symbols of about half a batch each, and which hold one symbol only."""
+        count, own = self.disk.array(np.int64, self.top + 1), self.disk.array(bool, self.top + 1)
+        for a, b in self.disk.parts(len(self.text)):
+            s, c = np.unique(self.key(np.arange(a, b)), return_counts=True)
+            count[s] += c
+            own[self.key(a + np.flatnonzero(self.run[a:b] == LONG_RUN))] = True
+        room = max(1, self.disk.batch // 2)
+        ends, lone = [], []
+        for a, b in self.disk.parts(self.top + 1):
+            c, alone = count[a:b], own[a:b] | (count[a:b] > room)
+            part = np.cumsum(np.where(alone, 0, c)) // room
+            cut = np.append((part[1:] != part[:-1]) | alone[1:] | alone[:-1], True)
+            ends.append(a + np.flatnonzero(cut) + 1)
+            lone.append(np.diff(np.append(a, ends[-1])) == 1)
+        return np.concatenate(ends), np.concatenate(lone)
+
+    def _since(self, symbol: np.ndarray) -> np.ndarray:
+        """The least prefix since each symbol's last tuple, up to this batch; -1: there is no such tuple."""
+        last = self.last[symbol].astype(np.int64) - 1
+        return np.where(last < 0, -1, np.minimum(self.carry[symbol], self.since[np.maximum(last, 0) + 1]))
+
+    def _take(self, pos: np.ndarray, prefix: np.ndarray, above: int, emit: np.ndarray | bool = True) -> None:
+        """Suffixes in order: the wanted ones go out, and those before them, if their symbol is ``above`` or more, to their queues."""
+        if not len(pos):
+            return
+        if emit is not False:
+            p, v = (pos, prefix) if emit is True else (pos[emit], prefix[emit])
+            self.out[self.n_out : self.n_out + len(p)] = np.column_stack([self.text[p], p, v])
+            self.n_out += len(p)
+        rank = np.flatnonzero(pos > 0)
+        before = pos[rank] - 1
+        symbol = self.key(before)
+        use = (self.small[before] == self.kind) & (symbol >= above)
+        rank, before, symbol = rank[use], before[use], symbol[use]
+        if len(rank):
+            by = np.argsort(symbol, kind="stable")
+            rank, before, symbol = rank[by], before[by], symbol[by]
+            fresh = np.append(True, symbol[1:] != symbol[:-1])
+            least = Minima(prefix)
+            found = least.of(np.where(fresh, 0, np.append(0, rank[:-1]) + 1), rank + 1)
+            head = np.flatnonzero(fresh)
+            tail = np.append(head[1:], len(rank)) - 1
+            found[head] = np.minimum(found[head], self._since(symbol[head]))
+            self.carry[symbol[head]] = least.of(rank[tail] + 1, np.full(len(tail), len(pos)))
+            self.last[symbol[head]] = self.turn + 1
+            self._push(np.column_stack([symbol, before, np.minimum(self.cap, found + 1)]))
+        self.since[: self.turn + 1] = np.minimum(self.since[: self.turn + 1], prefix.min())
+        self.turn += 1
+        if self.turn + 2 > len(self.since):
+            self.since = np.append(self.since, np.full(len(self.since), ENDLESS))
+
+    def _push(self, tuples: np.ndarray) -> None:
+        into = np.searchsorted(self.ends, tuples[:, 0], "right")
+        cut = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(into)).tolist(), strict=True):
+            self.queues.push(int(into[a]), tuples[a:b])
+
+    def run_through(self, first: int | None) -> np.ndarray:
+        """All wanted suffixes in order: (text's symbol, position, prefix). ``first`` is a wanted suffix that nothing brings."""
+        if first is not None:
+            symbol = self.key(np.array([first]))
+            self._push(np.column_stack([symbol, [first], [0]]))
+            self.last[symbol], self.carry[symbol] = 1, 0
+        at = 0
+        for r, end in enumerate(self.ends.tolist()):
+            upto = self._seeds_to(at, end)
+            (self._one if self.lone[r] else self._several)(r, end, at, upto)
+            at = upto
+        return self.out[: self.n_out]
+
+    def _seeds_to(self, at: int, end: int) -> int:
+        """Where the seeds of symbols from ``end`` on begin."""
+        low, high = at, len(self.seeds)
+        while low < high:
+            middle = (low + high) // 2
+            symbol = int(self.seeds[middle, 0])
+            if (self.top - symbol if self.kind else symbol) < end:
+                low = middle + 1
+            else:
+                high = middle
+        return low
+
+    def _one(self, r: int, end: int, at: int, upto: int) -> None:
+        """A range of one symbol: its tuples as they came; then those before them with the same symbol, once more for each repetition; then the seeds."""
+        batch, final, later, carry = self.disk.batch, None, Queues(self.disk, 1), ENDLESS
+        n_later = 0
+        for part in self.queues.pop(r):
+            pos, prefix = part[:, 1], part[:, 2]
+            self._take(pos, prefix, end)
+            final = int(pos[-1])
+            more, carry = self._survivors(pos, self.run[pos].astype(np.int64), prefix, 0, carry)
+            later.push(0, more)
+            n_later += len(more)
+        level = 0
+        while n_later > batch:  # level by level, from file to file
+            level, again, carry, n_again, head = level + 1, Queues(self.disk, 1), ENDLESS, 0, True
+            for part in later.pop(0):
+                pos, times, prefix = part.T
+                value = np.minimum(self.cap, prefix + level)
+                if head:
+                    value[0], head = min(level, self.cap), False
+                self._take(pos - level, value, end)
+                final = int(pos[-1]) - level
+                more, carry = self._survivors(pos, times, prefix, level, carry)
+                again.push(0, more)
+                n_again += len(more)
+            later, n_later = again, n_again
+        rest = list(later.pop(0))
+        pos, times, prefix = np.concatenate(rest).T if rest else np.zeros((3, 0), np.int64)
+        while len(pos):  # few enough: many levels at once
+            left, least = times - level, Minima(prefix)
+            low, high = 1, int(left.max())
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if np.minimum(left, middle).sum() <= batch else (low, middle - 1)
+            n = np.minimum(left, low)
+            index = np.repeat(np.arange(len(pos)), n)
+            up = np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n) + 1
+            by = np.argsort(up, kind="stable")
+            index, up = index[by], up[by]
+            head = np.append(True, up[1:] != up[:-1])
+            value = least.of(np.where(head, 0, np.append(0, index[:-1]) + 1), index + 1)
+            value = np.where(head, 0, value) + level + up
+            self._take(pos[index] - level - up, np.minimum(self.cap, value), end)
+            final = int(pos[index[-1]] - level - up[-1])
+            level += low
+            more, _ = self._survivors(pos, times, prefix, level, ENDLESS)
+            pos, times, prefix = more.T
+        for a in range(at, upto, batch):
+            part = np.array(self.seeds[a : min(upto, a + batch)])
+            if a == at:
+                part[0, 2] = 0 if final is None else common(self.text, np.array([final]), part[:1, 1], self.cap)[0]
+            self._take(part[:, 1], part[:, 2], end, False)
+
+    @staticmethod
+    def _survivors(pos, times, prefix, level: int, carry: int) -> tuple[np.ndarray, int]:
+        """Tuples whose symbol stands before them once more, with the least prefix since the one before; and the least prefix after the last."""
+        kept = np.flatnonzero(times > level)
+        if not len(kept):
+            return np.zeros((0, 3), np.int64), min(carry, int(prefix.min()))
+        value = np.minimum.reduceat(prefix[: kept[-1] + 1], np.append(0, kept[:-1] + 1))
+        value[0] = min(carry, value[0])
+        after = prefix[kept[-1] + 1 :]
+        return np.column_stack([pos[kept], times[kept], value]), int(after.min()) if len(after) else ENDLESS
+
+    def _several(self, r: int, end: int, at: int, upto: int) -> None:
+        """A range of several symbols, all in memory: suffixes that are brought inside the range are found step by step and placed by doubling."""
+        known = np.concatenate([*self.queues.pop(r), np.zeros((0, 3), np.int64)])
+        own = np.array(self.seeds[at:upto])
+        pos, kind, source = [known[:, 1], own[:, 1]], [np.zeros(len(known), np.int64), np.full(len(own), 2)], [np.arange(len(known)), np.arange(len(own))]
+        n, total, frontier = 0, len(known) + len(own), np.concatenate(pos)
+        while len(frontier):
             before = np.maximum(frontier - 1, 0)
-            inside = (frontier > 0) & wanted[before] & (sym[before] < end)
-            src = np.flatnonzero(inside) + at
-            at, frontier = total, before[inside]
+            inside = (frontier > 0) & (self.small[before] == self.kind) & (self.key(before) < end)
+            source.append(np.flatnonzero(inside) + n)
+            n, frontier = total, before[inside]
             total += len(frontier)
             pos.append(frontier)
             kind.append(np.ones(len(frontier), np.int64))
-            key.append(src)
-        pos, kind, key = np.concatenate(pos), np.concatenate(kind), np.concatenate(key)
+        pos, kind, source = np.concatenate(pos), np.concatenate(kind), np.concatenate(source)
         if not len(pos):
-            continue
-        made = kind == 1
-        # known suffixes and seeds have their order; those between compare by symbol, then by source: ranks are doubled along the sources
-        major = np.unique(sym[pos], return_inverse=True)[1].astype(np.int64) * 3 + kind
-        rank = np.unique((major << 32) | np.where(made, 0, key), return_inverse=True)[1]
-        jump = np.where(made, key, np.arange(len(key)))
-        while len(rank) and rank.max() + 1 < len(rank):
-            rank = np.unique((rank << 32) | rank[jump], return_inverse=True)[1]
+            return
+        symbol, made = self.key(pos), kind == 1
+        # tuples and seeds have their order; what was brought inside compares by symbol, then by its source: ranks are doubled along the sources
+        dense = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
+        rank = np.unique(((dense * 3 + kind) << 31) | np.where(made, 0, source), return_inverse=True)[1]
+        jump = np.where(made, source, np.arange(len(source)))
+        while rank.max() + 1 < len(rank):
+            rank = np.unique((rank << 31) | rank[jump], return_inverse=True)[1]
             jump = jump[jump]
         order = np.empty(len(rank), np.int64)
         order[rank] = np.arange(len(rank))
-        pos, kind = pos[order], kind[order]
-        out.append(pos[kind < 2])
-        before = np.maximum(pos - 1, 0)
-        later = (pos > 0) & wanted[before] & (sym[before] >= end)
-        queue.push(before[later], sym[before[later]])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _names(text: np.ndarray, small: np.ndarray, star: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Order-keeping names of the substrings, of symbols with their types, from each star position to the next, both included; are all names different?"""
-    length = np.append(star[1:] - star[:-1] + 1, len(text) - star[-1])
-    width = 2 if int(text.max()) >= 1 << 8 else 6
-    bits = 31 if width == 2 else 10
-    name, todo, at = np.zeros(len(star), np.int64), np.arange(len(star)), 0
-    while len(todo):
-        packed = np.zeros(len(todo), np.int64)
-        for k in range(at, at + width):
-            s = star[todo] + k
-            s = np.minimum(s, len(text) - 1)
-            packed = (packed << bits) | np.where(k < length[todo], text[s] * 2 + small[s] + 1, 0)
-        by = np.lexsort((packed, name[todo]))
-        fresh = np.ones(len(todo), bool)
-        n, p = name[todo][by], packed[by]
-        fresh[1:] = (n[1:] != n[:-1]) | (p[1:] != p[:-1])
-        head = np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
-        first = np.ones(len(by), bool)
-        first[1:] = n[1:] != n[:-1]
-        base = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-        new = n + head - base  # room between names: each is the number of smaller substrings
-        name[todo[by]] = new
-        at += width
-        tied = np.zeros(len(by), bool)
-        tied[1:] = ~fresh[1:]
-        tied[:-1] |= ~fresh[1:]
-        todo = np.sort(todo[by[tied]])
-        todo = todo[length[todo] > at] if len(todo) else todo
-    values, name = np.unique(name, return_inverse=True)
-    return name.astype(np.int64), len(values) == len(star)
-
-
-def suffix_array(text: np.ndarray, folder: str, bound: int = IN_MEMORY) -> np.ndarray:
-    """Positions of all suffixes of an integer text in lexicographic order; the end of the text is smaller than any symbol."""
+        given = np.concatenate([known[:, 2], own[:, 2], np.zeros(int(made.sum()), np.int64)])[order]
+        pos, kind, symbol, made, source = pos[order], kind[order], symbol[order], made[order], rank[source[order] * made[order]]
+        same, prev = np.append(False, symbol[1:] == symbol[:-1]), np.append(0, kind[:-1])
+        value = np.where(same | (kind == 0), given, 0)
+        border = np.flatnonzero(same & (kind == 2) & (prev != 2))
+        value[border] = common(self.text, pos[border - 1], pos[border], self.cap)
+        todo = np.flatnonzero(made & same)
+        start = np.where(prev[todo] == 1, source[todo - 1] + 1, 0)
+        outer = np.where(prev[todo] == 1, ENDLESS, self._since(symbol[todo]))
+        value[todo] = self.cap
+        while len(todo):  # prefixes inside the range rest on each other; from above they come down to what they are
+            new = np.minimum(self.cap, 1 + np.minimum(outer, Minima(value).of(start, source[todo] + 1)))
+            if (new == value[todo]).all():
+                break
+            value[todo] = new
+        self._take(pos, value, end, kind < 2)
+
+
+def suffix_order(text: np.ndarray, disk: Disk, cap: int = ENDLESS) -> np.ndarray:
+    """(position, prefix) of all suffixes of a text of non-negative integers in lexicographic order, the end being smaller than any symbol.
+
+    The prefix is what a suffix has in common with the one before it, ``cap`` at most.
+    """
     n = len(text)
     if n < 2:
-        return np.arange(n)
-    differs = np.append(text[:-1] != text[1:], True)
-    turn = np.flatnonzero(differs)  # the next place where the symbol changes decides the type of all before it
-    up = np.append(text[:-1] < text[1:], False)
-    small = up[turn[np.searchsorted(turn, np.arange(n))]]
-    star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+        return np.zeros((n, 2), np.int64)
+    small, run = _types(text, disk)
+    is_star = disk.array(bool, n)
+    for a, b in disk.parts(n):
+        is_star[a:b] = small[a:b] & ~np.append(True if a == 0 else small[a - 1], small[a : b - 1])
+    star, end = disk.array(np.int64, sum(int(is_star[a:b].sum()) for a, b in disk.parts(n))), 0
+    for a, b in disk.parts(n):
+        found = a + np.flatnonzero(is_star[a:b])
+        star[end : end + len(found)] = found
+        end += len(found)
+    seeds = disk.array(np.int64, len(star), 3)
     if len(star):
-        name, different = _names(text, small, star)
-        if different:
-            order = np.empty_like(star)
-            order[name] = star
+        name, different = names(text, small, star, disk)
+        if different == len(star):
+            lower = disk.array(np.int64, len(star), 2)
+            for a, b in disk.parts(len(star)):
+                lower[name[a:b], 0] = np.arange(a, b)
         else:
-            order = star[suffix_array(name, folder, bound)]
-    else:
-        order = star
-    large = induce(text, order, ~small, np.array([n - 1]), folder, bound)
-    down = induce(-text, large[::-1], small, np.zeros(0, np.int64), folder, bound)
-    both = np.concatenate([large, down[::-1]])
-    return both[np.argsort(text[both] * 2 + small[both], kind="stable")]
-
-
-def shared_prefixes(raw: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For each place of a suffix order after the first: do the suffixes there and before it agree in ``length`` bytes?"""
-    room = np.concatenate([raw, np.zeros(length + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(room, (len(raw) + length, 8), (1, 1))
-    alive = np.flatnonzero((order[1:] + length <= len(raw)) & (order[:-1] + length <= len(raw)))
-    for k in [*range(0, length - 7, 8), max(0, length - 8)]:
-        a, b = words[order[alive] + k], words[order[alive + 1] + k]
-        alive = alive[(np.ascontiguousarray(a).view(np.int64) == np.ascontiguousarray(b).view(np.int64)).ravel()]
-    out = np.zeros(max(0, len(order) - 1), bool)
-    out[alive] = True
+            lower = suffix_order(name, disk)
+        last = None
+        for a, b in disk.parts(len(star)):
+            index, shared = lower[a:b].T
+            pair = np.append(last if a else index[0], index[:-1])
+            pos, skip = star[index], star[index + shared] - star[index]
+            prefix = np.minimum(cap, skip)
+            far = np.flatnonzero(prefix < cap)
+            prefix[far] += common(text, pos[far] + skip[far], star[pair[far]] + skip[far], cap)
+            prefix = np.minimum(prefix, cap)
+            if a == 0:
+                prefix[0] = 0
+            seeds[a:b] = np.column_stack([text[pos], pos, prefix])
+            last = index[-1]
+    large = Induction(text, small, run, False, seeds, disk, cap).run_through(n - 1)
+    falling = disk.array(np.int64, len(large), 3)
+    for a, b in disk.parts(len(large)):
+        part = large[len(large) - b : len(large) - a][::-1]
+        falling[a:b, :2] = part[:, :2]
+        falling[a + 1 : b + 1, 2] = part[: len(falling[a + 1 : b + 1]), 2]
+    down = Induction(text, small, run, True, falling, disk, cap).run_through(None)
+    return _merged(text, large, down, disk, cap)
+
+
+def _merged(text, large, down, disk: Disk, cap: int) -> np.ndarray:
+    """Of each symbol first the larger suffixes, in rising order, then the smaller ones, which come in falling order."""
+    out, m = disk.array(np.int64, len(large) + len(down), 2), len(down)
+    up = disk.array(np.int64, m, 3)
+    for a, b in disk.parts(m):
+        part = down[m - b : m - a][::-1]
+        up[a:b, :2] = part[:, :2]
+        at = m - np.arange(a, b)  # a prefix is stated at the next smaller suffix, which is the next of the falling ones
+        up[a:b, 2] = np.where(at < m, down[np.minimum(at, m - 1), 2], 0)
+    for a, b in disk.parts(len(large)):
+        part = large[a:b]
+        values, back = np.unique(part[:, 0], return_inverse=True)
+        out[np.arange(a, b) + np.searchsorted(up[:, 0], values, "left")[back]] = part[:, 1:]
+    for a, b in disk.parts(m):
+        part = np.array(up[a:b])
+        values, back = np.unique(part[:, 0], return_inverse=True)
+        over, under = (np.searchsorted(large[:, 0], values, side)[back] for side in ("right", "left"))
+        first = np.append(True if a == 0 else up[a - 1, 0] != part[0, 0], part[1:, 0] != part[:-1, 0])
+        head = np.flatnonzero(first)
+        part[head, 2] = 0
+        head = head[over[head] > under[head]]
+        part[head, 2] = common(text, large[over[head] - 1, 1], part[head, 1], cap)
+        out[np.arange(a, b) + over] = part[:, 1:]
     return out
 
 
-def repeated_starts(pieces: list[bytes] | np.ndarray, starts: np.ndarray, length: int, bound: int = IN_MEMORY) -> np.ndarray:
-    """Which positions of a text of pieces, ended by zero symbols at ``starts`` - 1, begin ``length`` symbols that also begin elsewhere? Symbols are bytes + 1."""
-    text = pieces
-    folder = tempfile.mkdtemp(prefix="folio-sort-")
+def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int, bound: int | None = None, batch: int | None = None) -> np.ndarray:
+    """Which positions of a text of pieces, ended by zero symbols before the next of ``starts``, begin ``length`` symbols that also begin elsewhere?
+
+    Other symbols are not zero, so equal ``length`` symbols within a piece are never across an end; neighbours in the order that have so many in common mark each other.
+    """
+    scratch = tempfile.mkdtemp(prefix="folio-sort-")
     try:
-        order = suffix_array(text.astype(np.int64), folder, bound)
+        disk = Disk(scratch, bound or IN_MEMORY, batch or BATCH)
+        order = suffix_order(text, disk, length)
+        hit, last = disk.array(bool, len(text)), 0
+        for a, b in disk.parts(len(order)):
+            pos, prefix = order[a:b].T
+            same = prefix >= length
+            hit[pos[same]] = True
+            hit[np.append(last, pos[:-1])[same]] = True
+            last = int(pos[-1])
+        for a, b in disk.parts(len(text)):
+            at = np.arange(a, b)
+            end = np.append(starts[1:], len(text))[np.searchsorted(starts, at, "right") - 1] - 1
+            hit[a:b] &= at + length <= end
+        return np.array(hit)
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
-    raw = np.where(text > 0, text - 1, 0).astype(np.uint8)
-    same = shared_prefixes(raw, order, length)
-    hit = np.zeros(len(text), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    # no agreement across the end of a piece
-    left = np.append(starts[1:], len(text) + 1) - 1
-    ends = left[np.searchsorted(starts, np.arange(len(text)), "right") - 1]
-    return hit & (np.arange(len(text)) + length <= ends)
+        shutil.rmtree(scratch, ignore_errors=True)

@@ -1,4 +1,4 @@
-"""Exact substring deduplication by suffix sorting of the places where texts can agree."""
+"""Exact substring deduplication by external suffix sorting of the places where texts can agree."""
 
 from __future__ import annotations
 
@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import common
-from folio.llm.common import mix, small, staged, text_blocks
+from folio.llm.common import mix, staged, text_blocks
 from folio.llm.induced_sort import repeated_starts
 
 LENGTH = 400
-#: Bytes of the grams by which windows are dealt: a window belongs to the gram of smallest hash in it.
-GRAM = 200
-#: Bytes of pieces that make a shard, and bytes between the places where pieces are compared before they are sorted.
-SHARD, GRID = 1 << 21, 20
+#: Bytes of the grams by which windows are dealt: a window belongs to the gram of smallest hash in it. Where the pieces of one gram are too many for a
+#: shard, they are dealt again by grams of the next length, and last by whole windows.
+GRAMS = (200, 380, LENGTH)
+#: Bytes of pieces that make a shard; of one gram from which it is dealt again; between the places where pieces are compared before they are sorted.
+SHARD, HOT, GRID = 1 << 22, 1 << 21, 20
 
 
 class Windows:
@@ -96,32 +97,40 @@ def _keys(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return _text_key(total, down, off)
 
 
+PIECE = "doc_id long, anchor long, piece long, text_key long, a long, n long, many boolean"
+
+
+def _pieces(ids, keys, rows, first, raw, off, length: int, gram: int):
+    """An Arrow batch of the pieces of a block: each row's id, text key and first byte in its text."""
+    import pyarrow as pa
+
+    w = Windows(raw, off, length, gram)
+    row = np.searchsorted(off, w.a, "right") - 1
+    with np.errstate(over="ignore"):
+        body = mix(w.hash(w.a, w.b - w.a + length - 1) + (w.b - w.a).astype(np.uint64))
+    arrays = [w.anchor.view(np.int64), body.view(np.int64), keys[row], w.a - off[row] + first[row], w.b - w.a]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows[row])), *(pa.array(x, pa.int64()) for x in arrays), pa.array(w.many)], ["doc_id", "anchor", "piece", "text_key", "a", "n", "many"])
+
+
 def pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, text) -> one row per piece: smallest gram, hash of all the piece's bytes, the row's text key, first window, windows, and whether its gram recurs in it."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for at, raw, off in text_blocks(batch.column(1)):
                 key = _keys(raw, off)
+                rows = at + np.arange(len(key))
                 for part, ends, _, start in _segments(raw, off, length):
-                    w = Windows(part, ends, length, gram)
-                    row = np.searchsorted(ends, w.a, "right") - 1
-                    with np.errstate(over="ignore"):
-                        body = mix(w.hash(w.a, w.b - w.a + length - 1) + (w.b - w.a).astype(np.uint64))
-                    arrays = [w.anchor.view(np.int64), body.view(np.int64), key[row], w.a - ends[row] + start, w.b - w.a]
-                    ids = batch.column(0).take(pa.array(row + at))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in arrays), pa.array(w.many)], ["doc_id", "anchor", "piece", "text_key", "a", "n", "many"])
+                    yield _pieces(batch.column(0), key, rows, np.full(len(key), start), part, ends, length, gram)
 
-    return docs.mapInArrow(run, "doc_id long, anchor long, piece long, text_key long, a long, n long, many boolean")
+    return docs.mapInArrow(run, PIECE)
 
 
 def shared_pieces(bodies: DataFrame, length: int, gram: int) -> DataFrame:
     """(shard, anchor, piece, n, many, once, body), all of a shard in a row -> (anchor, piece, starts, ends): windows that occur in two pieces, or twice in one.
 
     A shard's pieces are gathered on disk. Pieces that share no run of about the window's length around their gram with another are left out; the
-    suffixes of the others are sorted by external induction, and neighbours in that order that agree in a whole window are marked.
+    suffixes of the others are sorted by external induction, and neighbours in that order that have a whole window in common are marked.
     """
 
     def settle(folder, rows):
@@ -207,47 +216,75 @@ def _candidates(raw, start, anchor, many, length, gram):
     return keep
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_key, starts, ends): ranges of window starts that begin ``length`` bytes which also begin elsewhere.
+def _asked(docs: DataFrame, kinds: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over (doc_id, text, asked): the texts that ``kinds`` names, with the pieces that are asked for in each."""
+    one = F.struct("text_key", "anchor", "piece", "a", "n", "many", (F.col("copies") == 1).alias("once"))
+    asked = kinds.groupBy("doc_id").agg(F.collect_list(one).alias("asked"))  # pieces of one document (of one id)
+    return docs.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(run, schema)
+
 
-    Windows are dealt by the smallest gram in them, which equal windows share. Pieces with a gram of their own hold no repeat and are dropped; pieces that
-    occur twice as a whole are repeats as a whole; of the rest one copy of each goes to its gram's shard.
+def _settled(found: DataFrame, docs: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
+    """(doc_id, text_key, s, e): ranges of window starts that are repeats, of the windows in the pieces found.
+
+    Pieces with a gram of their own hold no repeat and are dropped; pieces that occur twice as a whole are repeats as a whole; of the rest one copy of
+    each goes to a shard with all others of its gram. Where these are too many, equal windows still have an equal longer gram: their pieces are cut again.
     """
-    found = staged(pieces(docs, length, gram), "pieces")
+    size = F.col("n") + (length - 1)
     kinds = found.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.max("many").alias("many"), F.min(F.struct("doc_id", "text_key", "a", "n")).alias("one"))
-    kinds = kinds.withColumn("one", F.col("one"))
-    per = kinds.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds"), F.max("many").alias("any_many"))
-    per = per.filter("all > 1 or any_many").drop("any_many")
-    kinds = staged(kinds.join(per, "anchor").filter("copies > 1 or kinds > 1 or many").select("anchor", "piece", "copies", "many", "kinds", "one.*"), "kinds")
+    per = kinds.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds"), F.max("many").alias("any_many"), F.sum(F.col("one.n") + (length - 1)).alias("bytes"))
+    per = per.filter("all > 1 or any_many").select("anchor", "kinds", "bytes")
+    kinds = staged(kinds.join(per.hint("merge"), "anchor").filter("copies > 1 or kinds > 1 or many").select("anchor", "piece", "copies", "many", "kinds", "bytes", "one.*"), "kinds")
 
+    twice = kinds.filter("copies > 1").select("anchor", "piece")
+    out = found.join(twice.hint("merge"), ["anchor", "piece"], "left_semi").select("doc_id", "text_key", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))
     sort = kinds.filter("kinds > 1 or (many and copies = 1)")
-    total = sort.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
-    shards = max(1, -(-total // SHARD))
-    asked = sort.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "anchor", "piece", "a", "n", "many", (F.col("copies") == 1).alias("once"))).alias("asked"))
+    hot = F.col("bytes") > HOT if grams[1:] else F.lit(False)
+    total, many_hot = sort.agg(F.sum(F.when(~hot, size)), F.sum(F.when(hot, size))).first()
+    shards = max(1, -(-(total or 0) // SHARD))
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at, raw, off in text_blocks(batch.column(0)):
+            for at, raw, off in text_blocks(batch.column(1)):
                 rows = []
                 for i, key in enumerate(_keys(raw, off).tolist()):
-                    for x in batch.column(1)[at + i].as_py():
+                    for x in batch.column(2)[at + i].as_py():
                         if x["text_key"] == key:
                             s = off[i] + x["a"]
                             rows.append((x["anchor"] % shards, x["anchor"], x["piece"], x["n"], x["many"], x["once"], raw[s : s + x["n"] + length - 1].tobytes()))
                 made = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds_, strict=True)], ["shard", "anchor", "piece", "n", "many", "once", "body"])
-
-    bodies = docs.join(small(staged(asked, "asked")), "doc_id").select("text", "asked").mapInArrow(cut, "shard long, anchor long, piece long, n long, many boolean, once boolean, body binary")
-    bodies = bodies.dropDuplicates(["anchor", "piece"]).repartition(int(min(shards, 4096)), "shard").sortWithinPartitions("shard")
-    some = shared_pieces(bodies, length, gram).join(kinds.select("anchor", "piece", "doc_id", "text_key", "a"), ["anchor", "piece"])
-    ranges = F.explode(F.arrays_zip("starts", "ends")).alias("z")
-    some = some.select("doc_id", "text_key", "a", ranges).select("doc_id", "text_key", (F.col("a") + F.col("z.starts")).alias("s"), (F.col("a") + F.col("z.ends")).alias("e"))
-    twice = kinds.filter("copies > 1").select("anchor", "piece")
-    whole = found.join(twice, ["anchor", "piece"], "left_semi").select("doc_id", "text_key", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))
-    return staged(whole.union(some).distinct(), "marks")
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, types, strict=True)], ["shard", "anchor", "piece", "n", "many", "once", "body"])
+
+    def cut_again(batches):
+        for batch in batches:
+            for at, raw, off in text_blocks(batch.column(1)):
+                found = [(i, key, off[i] + x["a"], x["a"], x["n"]) for i, key in enumerate(_keys(raw, off).tolist()) for x in batch.column(2)[at + i].as_py() if x["text_key"] == key]
+                if found:
+                    row, key, start, first, n = np.array(found, np.int64).T
+                    bodies = [raw[s : s + k + length - 1] for s, k in zip(start.tolist(), n.tolist(), strict=True)]
+                    yield _pieces(batch.column(0), key, at + row, first, np.concatenate(bodies), np.cumsum([0, *map(len, bodies)]), length, grams[1])
+
+    if total:
+        bodies = _asked(docs, sort.filter(~hot), cut, "shard long, anchor long, piece long, n long, many boolean, once boolean, body binary")
+        bodies = bodies.dropDuplicates(["anchor", "piece"]).repartition(int(min(shards, 4096)), "shard").sortWithinPartitions("shard")
+        some = shared_pieces(bodies, length, grams[0]).join(kinds.select("anchor", "piece", "doc_id", "text_key", "a"), ["anchor", "piece"])
+        some = some.select("doc_id", "text_key", "a", F.explode(F.arrays_zip("starts", "ends")).alias("z"))
+        out = out.union(some.select("doc_id", "text_key", (F.col("a") + F.col("z.starts")).alias("s"), (F.col("a") + F.col("z.ends")).alias("e")))
+    if many_hot:
+        again = staged(_asked(docs, sort.filter(hot), cut_again, PIECE).distinct(), "pieces")
+        out = out.union(_settled(again, docs, length, grams[1:]))
+    return out
+
+
+def marks(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text_key, s, e): ranges of window starts that begin ``length`` bytes which also begin elsewhere.
+
+    Windows are dealt by the smallest gram in them, which equal windows share; a run of windows with one smallest gram is a piece.
+    """
+    found = staged(pieces(docs, length, grams[0]), "pieces")
+    return staged(_settled(found, docs, length, grams).distinct(), "marks")
 
 
 def removed_spans(off: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -261,15 +298,16 @@ def removed_spans(off: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     return np.column_stack([a[first], np.append(top[first[1:] - 1], top[-1])])
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, spans, kept): every byte of ``length`` bytes that also start elsewhere is removed, judged on the input.
 
     Texts are UTF-8 bytes, null is empty, and no match crosses documents; repeated rows are documents of their own and so lose all windows; texts
     shorter than a window stay whole; ``kept`` are the other bytes; ``spans`` the removed ranges, start and end by turns. A null doc_id is a value like
-    others. An empty table gives an empty result; other columns are not read.
+    others. An empty table gives an empty result; other columns are not read. Pieces that agree as a whole are told by 64-bit hashes of all their bytes, all
+    other repeats by the order of suffixes.
     """
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    by_doc = marks(slim, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "s", "e")).alias("marks"))
+    by_doc = marks(slim, length, grams).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "s", "e")).alias("marks"))
 
     def run(batches):
         import pyarrow as pa
@@ -290,10 +328,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 ids = batch.column(0).slice(at, len(size))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    out = slim.join(by_doc, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_bytes long, spans array<long>, kept binary")
+    out = slim.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_bytes long, spans array<long>, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
 
 
 def op6_induced_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is removed and kept, and the kept text itself (a cut inside a character leaves a replacement sign in it)."""
     out = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    counts = ((F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", *counts, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import chat_format, decontaminate, html_extract, language_id, mixing, ngram_join, quality_classifier, quality_rules, registry, sharding, suffix_dedup
+from folio.llm import chat_format, decontaminate, html_extract, induced_sort, language_id, mixing, ngram_join, quality_classifier, quality_rules, registry, sharding, suffix_dedup
 from tests.comparing import TABLES, both, oracle
 
 SF = f"{TABLES}/sf0.001"
@@ -201,17 +201,20 @@ def brute_removed(texts, length):
     return cut
 
 
-@pytest.mark.parametrize(("length", "gram"), [(40, 20), (60, 20)])
-def test_substrings_brute_force(spark, length, gram):
+@pytest.mark.parametrize(("length", "grams", "hot"), [(40, (20, 40), 1 << 21), (60, (20, 50, 60), 1 << 21), (60, (20, 50, 60), 300), (40, (20,), 1)])
+def test_substrings_brute_force(spark, monkeypatch, length, grams, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(3)
     passages = ["".join(rng.choice("abcd é") for _ in range(rng.choice([30, 45, 80, 200]))) for _ in range(6)]
     texts = [None, "", "aaaa" * 40, "ab" * 70, "x" * (length - 1)]
     texts += ["".join(rng.choice([rng.choice(passages), "".join(rng.choice("efgh") for _ in range(rng.randrange(60)))]) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
     texts += [texts[7], texts[7]]
+    # one passage in very many different contexts
+    texts += ["".join(rng.choice("efgh") for _ in range(30)) + passages[0][: length - 4] + "".join(rng.choice("efgh") for _ in range(30)) for _ in range(60)]
     docs = texts_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
     raw = [(t or "").encode() for t in texts]
     cut = brute_removed(raw, length)
-    got = {r.doc_id: r for r in suffix_dedup.deduplicate(docs, length, gram).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.deduplicate(docs, length, grams).collect()}
     for i, (t, c) in enumerate(zip(raw, cut, strict=True)):
         want = bytes(np.frombuffer(t, np.uint8)[~c])
         assert bytes(got[i].kept) == want, i
@@ -220,6 +223,33 @@ def test_substrings_brute_force(spark, length, gram):
     assert suffix_dedup.deduplicate(empty(spark)).count() == 0
 
 
+def test_substrings_null_ids_and_a_very_long_text(spark):
+    rng = random.Random(4)
+    long_ = "".join(rng.choice("abcdefgh") for _ in range(2_300_000))
+    texts = [(None, long_[:500]), (None, "q" * 399), (3, long_ + long_[-450:]), (None, long_[:500])]
+    got = [(r.doc_id, r.n_bytes, r.spans) for r in suffix_dedup.deduplicate(texts_of(spark, [(i, t, "s") for i, t in texts])).collect()]
+    n = len(long_)
+    assert sorted(got, key=str) == sorted([(None, 500, [0, 500]), (None, 399, []), (3, n + 450, [0, 500, n - 450, n + 450]), (None, 500, [0, 500])], key=str)
+
+
+@pytest.mark.parametrize(("bound", "batch", "cap"), [(3, 2, 1 << 30), (10, 7, 4), (50, 30, 1 << 30), (1 << 18, 1 << 17, 9)])
+def test_suffix_order_from_disk(tmp_path, bound, batch, cap):
+    """Orders and common prefixes against sorted suffixes, with few tuples in memory, so that queues and files are used."""
+    rng, spilled = random.Random(bound), 0
+    for turn in range(120):
+        text = [rng.randrange(rng.choice([1, 2, 3, 5, 100])) for _ in range(rng.choice([1, 2, 3, 10, 60, 200]))]
+        text = [(text[: len(text) // 7 + 1] * 10)[: len(text)], [x for x in text[:20] for _ in range(rng.choice([1, 40]))], text][turn % 3]
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        disk = induced_sort.Disk(str(tmp_path), bound, batch)
+        got = induced_sort.suffix_order(np.array(text, np.uint16), disk, cap)
+        assert got[:, 0].tolist() == order
+        for (a, _), (b, n) in zip(got[:-1].tolist(), got[1:].tolist(), strict=True):
+            shared = next((k for k in range(min(len(text) - a, len(text) - b)) if text[a + k] != text[b + k]), min(len(text) - a, len(text) - b))
+            assert n == min(cap, shared)
+        spilled += disk.spilled
+    assert bound > 100 or spilled
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 def brute_components(rows, k, t):
     sets = {}
