@@ -15,11 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that the queues hold in memory, and suffixes that are worked on at once.
-IN_MEMORY, BATCH = 1 << 18, 1 << 17
+IN_MEMORY, BATCH = 1 << 17, 1 << 16
 #: A symbol that follows itself so often has a range of its own.
 LONG_RUN = 32
 #: Larger than any common prefix.
 ENDLESS = 1 << 30
+#: Bytes of a position, symbol or prefix; a text has fewer than 2**31 symbols.
+WORD = np.int32
 
 
 class Disk:
@@ -54,7 +56,7 @@ class Queues:
         self.disk, self.parts, self.files, self.held = disk, [[] for _ in range(n)], [None] * n, 0
 
     def push(self, q: int, tuples: np.ndarray) -> None:
-        self.parts[q].append(tuples)
+        self.parts[q].append(tuples.astype(WORD, copy=False))
         self.held += len(tuples)
         if self.held > self.disk.bound:
             for i, parts in enumerate(self.parts):
@@ -70,15 +72,47 @@ class Queues:
         """The queue's tuples in batches; they leave it."""
         if self.files[q]:
             with open(self.files[q], "rb") as f:
-                while len(part := np.fromfile(f, np.int64, 3 * self.disk.batch)):
-                    yield part.reshape(-1, 3)
+                while len(part := np.fromfile(f, WORD, 3 * self.disk.batch)):
+                    yield part.reshape(-1, 3).astype(np.int64)
             os.remove(self.files[q])
             self.files[q] = None
         parts, self.parts[q] = self.parts[q], []
         self.held -= sum(map(len, parts))
         for part in parts:
             for a in range(0, len(part), self.disk.batch):
-                yield part[a : a + self.disk.batch]
+                yield part[a : a + self.disk.batch].astype(np.int64)
+
+
+class Tuples:
+    """Tuples in a file, in their order or turned round; a turned tuple's prefix is what it has in common with the one that now stands before it."""
+
+    def __init__(self, rows: np.ndarray, turned: bool):
+        self.rows, self.turned = rows, turned
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def symbol(self, at: np.ndarray) -> np.ndarray:
+        return self.rows[len(self.rows) - 1 - at if self.turned else at, 0].astype(np.int64)
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        if not self.turned:
+            return self.rows[a:b].astype(np.int64)
+        n = len(self.rows)
+        out = self.rows[n - b : n - a][::-1].astype(np.int64)
+        at = n - np.arange(a, b)
+        out[:, 2] = np.where(at < n, self.rows[np.minimum(at, n - 1), 2], 0)
+        return out
+
+    def count(self, before) -> np.ndarray:
+        """How many of the first tuples have symbols of which ``before(symbols)`` is true: it is for none after them."""
+        low = np.zeros(before(None), np.int64)
+        high = np.full(len(low), len(self))
+        while (low < high).any():
+            middle = np.minimum((low + high) // 2, max(0, len(self) - 1))
+            go = (low < high) & before(self.symbol(middle))
+            low, high = np.where(go, middle + 1, low), np.where(go | (low >= high), high, middle)
+        return low
 
 
 class Minima:
@@ -157,7 +191,7 @@ def names(text: np.ndarray, small: np.ndarray, star: np.ndarray, disk: Disk) ->
     name, used = disk.array(np.int32, len(star)), 0
 
     def of(index):
-        start = star[index]
+        start = star[index].astype(np.int64)
         return start, np.where(index + 1 < len(star), star[np.minimum(index + 1, len(star) - 1)] + 1, len(text)) - start
 
     def settle(index: np.ndarray, depth: int) -> None:
@@ -225,16 +259,16 @@ class Induction:
     come first, in the order of those that brought them, then the seeds. The pass that goes down in the text's order counts symbols from the top.
     """
 
-    def __init__(self, text, small, run, kind: bool, seeds: np.ndarray, disk: Disk, cap: int):
+    def __init__(self, text, small, run, kind: bool, seeds: Tuples, disk: Disk, cap: int):
         self.text, self.small, self.run, self.kind, self.seeds, self.disk, self.cap = text, small, run, kind, seeds, disk, cap
         self.top = max(int(text[a:b].max()) for a, b in disk.parts(len(text)))
         self.ends, self.lone = self._ranges()
         self.queues = Queues(disk, len(self.ends))
         # for each symbol: the batch of its last tuple, and the least prefix from there to that batch's end
-        self.last, self.carry = disk.array(np.int32, self.top + 1), disk.array(np.int64, self.top + 1)
+        self.last, self.carry = disk.array(WORD, self.top + 1), disk.array(WORD, self.top + 1)
         self.turn, self.since = 1, np.full(1024, ENDLESS, np.int64)  # since: least prefix of all batches from one on; batch 0 is the end of the text
         wanted = sum(int((small[a:b] == kind).sum()) for a, b in disk.parts(len(text)))
-        self.out, self.n_out = disk.array(np.int64, wanted, 3), 0
+        self.out, self.n_out = disk.array(WORD, wanted, 3), 0
 
     def key(self, pos: np.ndarray) -> np.ndarray:
         s = self.text[pos].astype(np.int64)
@@ -242,7 +276,7 @@ class Induction:
 
     def _ranges(self) -> tuple[np.ndarray, np.ndarray]:
         """Ends of ranges of symbols of about half a batch each, and which hold one symbol only."""
-        count, own = self.disk.array(np.int64, self.top + 1), self.disk.array(bool, self.top + 1)
+        count, own = self.disk.array(WORD, self.top + 1), self.disk.array(bool, self.top + 1)
         for a, b in self.disk.parts(len(self.text)):
             s, c = np.unique(self.key(np.arange(a, b)), return_counts=True)
             count[s] += c
@@ -316,7 +350,7 @@ class Induction:
         low, high = at, len(self.seeds)
         while low < high:
             middle = (low + high) // 2
-            symbol = int(self.seeds[middle, 0])
+            symbol = int(self.seeds.symbol(middle))
             if (self.top - symbol if self.kind else symbol) < end:
                 low = middle + 1
             else:
@@ -370,7 +404,7 @@ class Induction:
             more, _ = self._survivors(pos, times, prefix, level, ENDLESS)
             pos, times, prefix = more.T
         for a in range(at, upto, batch):
-            part = np.array(self.seeds[a : min(upto, a + batch)])
+            part = self.seeds.part(a, min(upto, a + batch))
             if a == at:
                 part[0, 2] = 0 if final is None else common(self.text, np.array([final]), part[:1, 1], self.cap)[0]
             self._take(part[:, 1], part[:, 2], end, False)
@@ -389,7 +423,7 @@ class Induction:
     def _several(self, r: int, end: int, at: int, upto: int) -> None:
         """A range of several symbols, all in memory: suffixes that are brought inside the range are found step by step and placed by doubling."""
         known = np.concatenate([*self.queues.pop(r), np.zeros((0, 3), np.int64)])
-        own = np.array(self.seeds[at:upto])
+        own = self.seeds.part(at, upto)
         pos, kind, source = [known[:, 1], own[:, 1]], [np.zeros(len(known), np.int64), np.full(len(own), 2)], [np.arange(len(known)), np.arange(len(own))]
         n, total, frontier = 0, len(known) + len(own), np.concatenate(pos)
         while len(frontier):
@@ -443,25 +477,26 @@ def suffix_order(text: np.ndarray, disk: Disk, cap: int = ENDLESS) -> np.ndarray
     is_star = disk.array(bool, n)
     for a, b in disk.parts(n):
         is_star[a:b] = small[a:b] & ~np.append(True if a == 0 else small[a - 1], small[a : b - 1])
-    star, end = disk.array(np.int64, sum(int(is_star[a:b].sum()) for a, b in disk.parts(n))), 0
+    star, end = disk.array(WORD, sum(int(is_star[a:b].sum()) for a, b in disk.parts(n))), 0
     for a, b in disk.parts(n):
         found = a + np.flatnonzero(is_star[a:b])
         star[end : end + len(found)] = found
         end += len(found)
-    seeds = disk.array(np.int64, len(star), 3)
+    seeds = disk.array(WORD, len(star), 3)
     if len(star):
         name, different = names(text, small, star, disk)
         if different == len(star):
-            lower = disk.array(np.int64, len(star), 2)
+            lower = disk.array(WORD, len(star), 2)
             for a, b in disk.parts(len(star)):
                 lower[name[a:b], 0] = np.arange(a, b)
         else:
             lower = suffix_order(name, disk)
         last = None
         for a, b in disk.parts(len(star)):
-            index, shared = lower[a:b].T
+            index, shared = lower[a:b].astype(np.int64).T
             pair = np.append(last if a else index[0], index[:-1])
-            pos, skip = star[index], star[index + shared] - star[index]
+            pos = star[index].astype(np.int64)
+            skip = star[index + shared] - pos
             prefix = np.minimum(cap, skip)
             far = np.flatnonzero(prefix < cap)
             prefix[far] += common(text, pos[far] + skip[far], star[pair[far]] + skip[far], cap)
@@ -470,38 +505,34 @@ def suffix_order(text: np.ndarray, disk: Disk, cap: int = ENDLESS) -> np.ndarray
                 prefix[0] = 0
             seeds[a:b] = np.column_stack([text[pos], pos, prefix])
             last = index[-1]
-    large = Induction(text, small, run, False, seeds, disk, cap).run_through(n - 1)
-    falling = disk.array(np.int64, len(large), 3)
-    for a, b in disk.parts(len(large)):
-        part = large[len(large) - b : len(large) - a][::-1]
-        falling[a:b, :2] = part[:, :2]
-        falling[a + 1 : b + 1, 2] = part[: len(falling[a + 1 : b + 1]), 2]
-    down = Induction(text, small, run, True, falling, disk, cap).run_through(None)
+        del name, lower
+    del star, is_star
+    large = Induction(text, small, run, False, Tuples(seeds, False), disk, cap).run_through(n - 1)
+    del seeds
+    down = Induction(text, small, run, True, Tuples(large, True), disk, cap).run_through(None)
     return _merged(text, large, down, disk, cap)
 
 
 def _merged(text, large, down, disk: Disk, cap: int) -> np.ndarray:
     """Of each symbol first the larger suffixes, in rising order, then the smaller ones, which come in falling order."""
-    out, m = disk.array(np.int64, len(large) + len(down), 2), len(down)
-    up = disk.array(np.int64, m, 3)
-    for a, b in disk.parts(m):
-        part = down[m - b : m - a][::-1]
-        up[a:b, :2] = part[:, :2]
-        at = m - np.arange(a, b)  # a prefix is stated at the next smaller suffix, which is the next of the falling ones
-        up[a:b, 2] = np.where(at < m, down[np.minimum(at, m - 1), 2], 0)
+    out, rising, up = disk.array(WORD, len(large) + len(down), 2), Tuples(large, False), Tuples(down, True)
+
+    def before(tuples, values, equal):
+        return tuples.count(lambda s: len(values) if s is None else (s <= values) if equal else s < values)
+
     for a, b in disk.parts(len(large)):
-        part = large[a:b]
+        part = rising.part(a, b)
         values, back = np.unique(part[:, 0], return_inverse=True)
-        out[np.arange(a, b) + np.searchsorted(up[:, 0], values, "left")[back]] = part[:, 1:]
-    for a, b in disk.parts(m):
-        part = np.array(up[a:b])
+        out[np.arange(a, b) + before(up, values, False)[back]] = part[:, 1:]
+    last = -1
+    for a, b in disk.parts(len(down)):
+        part = up.part(a, b)
         values, back = np.unique(part[:, 0], return_inverse=True)
-        over, under = (np.searchsorted(large[:, 0], values, side)[back] for side in ("right", "left"))
-        first = np.append(True if a == 0 else up[a - 1, 0] != part[0, 0], part[1:, 0] != part[:-1, 0])
-        head = np.flatnonzero(first)
-        part[head, 2] = 0
+        over, under = before(rising, values, True)[back], before(rising, values, False)[back]
+        head = np.flatnonzero(part[:, 0] != np.append(last, part[:-1, 0]))
+        part[head, 2], last = 0, part[-1, 0]
         head = head[over[head] > under[head]]
-        part[head, 2] = common(text, large[over[head] - 1, 1], part[head, 1], cap)
+        part[head, 2] = common(text, large[over[head] - 1, 1].astype(np.int64), part[head, 1], cap)
         out[np.arange(a, b) + over] = part[:, 1:]
     return out
 
@@ -517,7 +548,7 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int, bound: in
         order = suffix_order(text, disk, length)
         hit, last = disk.array(bool, len(text)), 0
         for a, b in disk.parts(len(order)):
-            pos, prefix = order[a:b].T
+            pos, prefix = order[a:b].astype(np.int64).T
             same = prefix >= length
             hit[pos[same]] = True
             hit[np.append(last, pos[:-1])[same]] = True

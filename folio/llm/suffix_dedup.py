@@ -19,7 +19,7 @@ LENGTH = 400
 #: shard, they are dealt again by grams of the next length, and last by whole windows.
 GRAMS = (200, 380, LENGTH)
 #: Bytes of pieces that make a shard; of one gram from which it is dealt again; between the places where pieces are compared before they are sorted.
-SHARD, HOT, GRID = 1 << 22, 1 << 21, 20
+SHARD, HOT, GRID = 1 << 20, 1 << 19, 20
 
 
 class Windows:
