@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,7 +23,7 @@ HEAD = frozenset("base basefont bgsound head html link meta noframes noscript sc
 BLOCK = ENDS_P | frozenset("body caption dd dt figcaption legend li summary tbody td tfoot th thead tr".split())
 _SPACE = re.compile(r"\s+")
 
-PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 64, 32, 6, 16
+PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 96, 32, 8, 16
 INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
 #: Blocks of pages that are labelled side by side.
 PAGES, STEPS = 64, 4096
@@ -49,7 +50,7 @@ class _Silent(HTMLParser):
 
 
 class _Leaves(HTMLParser):
-    """The leaf sequence of a page: (tag path, text) of each run of text between block boundaries.
+    """The leaf sequence of a page: (tag path, text, share of it in links) of each run of text between block boundaries.
 
     An open head ends at whatever a head can't hold, a silent element without an end tag at the next block.
     """
@@ -57,7 +58,7 @@ class _Leaves(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.html, self.never, self.seen = html, None, 0
-        self.path, self.parts, self.leaves, self.silent = [], [], [], 0
+        self.path, self.parts, self.leaves, self.silent, self.links, self.linked = [], [], [], 0, 0, 0
 
     def _unclosed(self, at) -> bool:
         if self.never is None:
@@ -80,13 +81,14 @@ class _Leaves(HTMLParser):
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
         if text:
-            self.leaves.append((tuple(p for _, p, _ in self.path), text))
-        self.parts = []
+            self.leaves.append((tuple(p for _, p, _ in self.path), text, min(1.0, self.linked / len(text))))
+        self.parts, self.linked = [], 0
 
     def _close(self, at):
         if any(t not in INLINE for t, *_ in self.path[at:]):
             self.flush()
         self.silent -= sum(t in SILENT for t, *_ in self.path[at:])
+        self.links -= sum(t == "a" for t, *_ in self.path[at:])
         del self.path[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -108,6 +110,7 @@ class _Leaves(HTMLParser):
         names = [v for k, v in attrs if k in ("class", "id", "role") and v]
         marks = re.findall(r"[a-z]+", " ".join(names).lower())
         self.path.append((tag, (tag, *marks), self.seen))
+        self.links += tag == "a"
         if tag in SILENT:
             self.silent += 1
             self.seen += 1
@@ -131,9 +134,11 @@ class _Leaves(HTMLParser):
             self._close(len(self.path) - 1)
         if not self.silent:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
-def leaves(html: str) -> list[tuple[tuple, str]]:
+def leaves(html: str) -> list[tuple[tuple, str, float]]:
     p = _Leaves(html)
     p.feed(html)
     p.close()
@@ -141,23 +146,28 @@ def leaves(html: str) -> list[tuple[tuple, str]]:
     return p.leaves
 
 
+@lru_cache(1 << 16)
 def _slot(word: str, dim: int) -> int:
     return zlib.crc32(word.encode()) % dim
 
 
-def vectors(page: list[tuple[tuple, str]]) -> np.ndarray:
+def vectors(page: list[tuple[tuple, str, float]]) -> np.ndarray:
     """Inputs of a leaf sequence: hashed tag path with its classes, hashed words, and the text's shape."""
     x = np.zeros((len(page), INPUT), np.float32)
-    for i, (path, text) in enumerate(page):
-        for depth, marks in enumerate(path):
-            for j, m in enumerate(marks):
-                x[i, _slot(("." if j else "") + m, PATH_DIM)] += 1
-            if depth == len(path) - 1:
-                x[i, _slot("leaf:" + marks[0], PATH_DIM)] += 1
+    paths: dict[tuple, np.ndarray] = {}
+    for i, (path, text, linked) in enumerate(page):
+        if path not in paths:
+            v = np.zeros(PATH_DIM, np.float32)
+            for marks in path:
+                for j, m in enumerate(marks):
+                    v[_slot(("." if j else "") + m, PATH_DIM)] += 1
+            if path:
+                v[_slot("leaf:" + path[-1][0], PATH_DIM)] += 1
+            paths[path] = v
+        x[i, :PATH_DIM] = paths[path]
         words = text.split(" ")
-        for w in words:
-            x[i, PATH_DIM + _slot(w.lower(), WORD_DIM)] += 1 / len(words) ** 0.5
-        shape = (min(len(words), 60) / 30, text[-1] in ".!?", "©" in text, len(path) / 8, i / max(1, len(page) - 1), len(words) < 4)
+        x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([_slot(w.lower(), WORD_DIM) for w in words], minlength=WORD_DIM) / len(words) ** 0.5
+        shape = (min(len(words), 60) / 30, text[-1] in ".!?", "©" in text, len(path) / 8, i / max(1, len(page) - 1), len(words) < 4, linked, min(len(page), 100) / 50)
         x[i, PATH_DIM + WORD_DIM :] = shape
     return np.clip(x, 0, 3)
 
@@ -204,12 +214,12 @@ class Labeller:
         hf, hb = self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]
         return np.concatenate([hf, hb], 2) @ self.p["V"] + self.p["v0"]
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.02, seed: int = 4):
-        """Adam on the logistic loss, back through time over whole pages."""
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, top: float = 0.02, seed: int = 4):
+        """Adam on the logistic loss, back through time over whole pages, in steps that become smaller."""
         rng = np.random.default_rng(seed)
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for _ in range(epochs):
-            order = rng.permutation(len(pages))
+        for epoch in range(epochs):
+            order, rate = rng.permutation(len(pages)), top * (1 - 0.95 * epoch / epochs)
             for at in range(0, len(order), 32):
                 x, mask, y = padded([pages[i][0] for i in order[at : at + 32]], [pages[i][1] for i in order[at : at + 32]])
                 grads = self._gradients(x, mask, y)
@@ -262,74 +272,153 @@ def _sentences(rng, least, most):
     return " ".join(_words(rng, rng.randint(3, 14)).capitalize() + rng.choice(".....!?") for _ in range(rng.randint(least, most)))
 
 
+#: Class names that tell what stands in an element, by kind of clutter; and those of containers that hold main text or anything.
+MARKS = {
+    "menu": "nav menu navbar topnav breadcrumb breadcrumbs links pager tabs skip".split(),
+    "ad": "ad ads advert sponsored promo banner adslot advertisement".split(),
+    "notice": "cookie notice consent alert newsletter subscribe popup gdpr".split(),
+    "sidebar": "sidebar related widget aside recommended trending rail".split(),
+    "comments": "comments comment replies discussion respond".split(),
+    "header": "header masthead top site-header branding".split(),
+    "footer": "footer foot copyright site-footer legal colophon".split(),
+    "form": "search login signup form".split(),
+}
+HOLDERS = "content post body entry main main-col story text page wrap wrapper container col row inner outer article-body primary prose layout grid section block box center left right".split()
+
+
 def made_page(rng) -> tuple[str, list[bool]]:
-    """A made-up page and the truth about its leaves: main text or not."""
+    """A made-up page and the truth about its leaves: main text or not.
+
+    Pages differ in their containers: articles, sections, nested divisions of any name or none, table cells, nothing at all. In some no element has a class; there
+    clutter is only what tags and links tell.
+    """
     html, truth = [], []
+    bare, quoted = rng.random() < 0.3, rng.random() < 0.5
 
     def put(markup, text, main):
         html.append(markup.replace("@", text))
         truth.append(main)
 
+    def named(names, always=False):
+        """A class or id attribute, or none."""
+        if not always and (bare or rng.random() < 0.2):
+            return ""
+        some = " ".join(rng.sample(names, min(len(names), rng.choice([1, 1, 1, 2]))))
+        return f' {rng.choice(["class", "class", "id"])}={"'" + some + "'" if quoted else chr(34) + some + chr(34)}'
+
+    def holder():
+        return named([*HOLDERS, _words(rng, 1), _words(rng, 1)])
+
+    def links(least, most):
+        style = rng.choice(["ul", "ul", "plain", "div", "br"])
+        html.append("<ul>" if style == "ul" else "")
+        for _ in range(rng.randint(least, most)):
+            put({"ul": "<li><a href='/x'>@</a></li>", "plain": "<p><a href='/x'>@</a></p>", "div": "<div><a href='/x'>@</a></div>", "br": "<a href='/x'>@</a><br>"}[style], _words(rng, rng.randint(1, 3)), False)
+        html.append("</ul>" if style == "ul" else "")
+
     def clutter(kinds):
-        kind = rng.choice(kinds)
-        if kind in ("nav", "menu", "breadcrumb"):
-            tag = "nav" if kind == "nav" else rng.choice(["div", "ul"])
-            html.append(f'<{tag} class="{kind}"><ul>' if tag != "nav" or rng.random() < 0.5 else "<nav><ul>")
-            for _ in range(rng.randint(2, 12)):
-                put('<li><a href="/x">@</a></li>', _words(rng, rng.randint(1, 3)), False)
-            html.append(f"</ul></{tag}>")
+        kind = rng.choice([k for k in kinds if not (bare and k in ("ad", "notice", "comments"))] or ["menu"])
+        if kind == "menu":
+            tag = rng.choice(["nav", "nav", "div", "ul", "table"])
+            if tag == "ul":
+                html.append(f"<ul{named(MARKS[kind])}>")
+                for _ in range(rng.randint(1, 12)):
+                    put('<li><a href="/x">@</a></li>', _words(rng, rng.randint(1, 3)), False)
+                html.append("</ul>")
+            elif tag == "table":
+                html.append("<table><tr>")
+                for _ in range(rng.randint(2, 8)):
+                    put('<td><a href="/x">@</a></td>', _words(rng, rng.randint(1, 2)), False)
+                html.append("</tr></table>")
+            else:
+                html.append(f"<{tag}{named(MARKS[kind])}>")
+                links(1, 12)
+                html.append(f"</{tag}>")
         elif kind == "ad":
             tag = rng.choice(["div", "div", "aside", "section", "p"])
-            put(f'<{tag} class="{rng.choice(["ad", "ads", "advert", "sponsored", "promo", "banner"])}">@</{tag}>', _sentences(rng, 1, 3), False)
+            put(f"<{tag}{named(MARKS[kind], True)}>@</{tag}>", _sentences(rng, 1, 3), False)
         elif kind == "notice":
-            put(f'<div class="{rng.choice(["cookie", "notice", "consent", "alert", "newsletter"])}"><p>@</p></div>', _sentences(rng, 1, 2), False)
+            put(f"<div{named(MARKS[kind], True)}><p>@</p></div>", _sentences(rng, 1, 2), False)
         elif kind == "form":
-            put("<form><label>@</label><input><button>ok</button></form>", _words(rng, 2), False)
+            put(f"<form{named(MARKS[kind])}><label>@</label><input><button>ok</button></form>", _words(rng, 2), False)
             truth.append(False)
         elif kind == "sidebar":
-            html.append(rng.choice(["<aside>", '<div class="sidebar">', '<div class="related widget">']))
-            end = "</aside>" if html[-1] == "<aside>" else "</div>"
+            tag = "aside" if bare or rng.random() < 0.5 else "div"
+            html.append(f"<{tag}{named(MARKS[kind], tag == 'div')}>")
             put("<h3>@</h3>", _words(rng, 2), False)
             for _ in range(rng.randint(1, 5)):
-                put(rng.choice(["<p>@</p>", '<p><a href="/y">@</a></p>', "<li>@</li>"]), _sentences(rng, 1, 2), False)
-            html.append(end)
+                put(rng.choice(["<p>@</p>", '<p><a href="/y">@</a></p>', "<li>@</li>", '<li><a href="/y">@</a></li>']), _sentences(rng, 1, 2), False)
+            html.append(f"</{tag}>")
         elif kind == "header":
-            put("<header><h2>@</h2></header>", _words(rng, 3), False)
+            tag = "header" if bare or rng.random() < 0.5 else "div"
+            html.append(f"<{tag}{named(MARKS[kind], tag == 'div')}>")
+            put(rng.choice(["<h2>@</h2>", "<p>@</p>", "<a href='/'>@</a>", "@"]), _words(rng, rng.randint(1, 4)), False)
+            html.append(f"</{tag}>")
         elif kind == "comments":
-            html.append(f'<{(tag := rng.choice(["section", "div"]))} class="{rng.choice(["comments", "comment list", "replies"])}">')
+            tag = rng.choice(["section", "div", "ol"])
+            html.append(f"<{tag}{named(MARKS[kind], True)}>")
+            if rng.random() < 0.4:
+                put("<h3>@</h3>", _words(rng, 1), False)
             for _ in range(rng.randint(1, 5)):
-                put(rng.choice(["<p>@</p>", '<div class="comment"><p>@</p></div>']), _sentences(rng, 1, 3), False)
+                put(rng.choice(["<p>@</p>", '<div class="comment"><p>@</p></div>', "<li>@</li>"]), _sentences(rng, 1, 3), False)
             html.append(f"</{tag}>")
         else:
-            put(rng.choice(["<footer>@</footer>", "<footer><p>@</p></footer>", '<div class="footer">@</div>']), rng.choice(["© ", "", "&copy; "]) + _words(rng, rng.randint(2, 8)), False)
+            tag = "footer" if bare or rng.random() < 0.6 else "div"
+            html.append(f"<{tag}{named(MARKS[kind], tag == 'div')}>")
+            for _ in range(rng.choice([1, 1, 2])):
+                put(rng.choice(["<p>@</p>", "@<br>", "<div>@</div>"]), rng.choice(["© ", "", "&copy; "]) + rng.choice([_words(rng, rng.randint(2, 8)), _sentences(rng, 1, 1)]), False)
+            if rng.random() < 0.3:
+                links(1, 4)
+            html.append(f"</{tag}>")
 
-    before = ["nav", "menu", "breadcrumb", "ad", "notice", "form", "header", "ad", "nav"]
-    after = ["sidebar", "comments", "ad", "footer", "footer", "form", "notice"]
+    before, after = ["menu", "menu", "ad", "notice", "form", "header", "ad", "menu"], ["sidebar", "comments", "ad", "footer", "footer", "form", "notice", "menu"]
+    layout = rng.choice(["article", "main", "section", "div", "div", "div", "div", "table", "flat"])
+    outer = [f"<div{holder()}>" for _ in range(rng.choice([0, 0, 1, 2, 3]))]
+    inside = rng.random() < 0.5  # does the clutter stand in the same divisions?
+    html += outer if inside else []
     for _ in range(rng.randint(0, 4)):
         clutter(before)
-    tag, cls = rng.choice([("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' class="post body"'), ("section", ' id="article"'), ("article", ' class="entry"')])
-    html.append(f"<{tag}{cls}>")
-    if rng.random() < 0.8:
-        put("<h1>@</h1>", _words(rng, rng.randint(1, 8)), True)
-    for _ in range(rng.randint(1, 14)):
+    html += [] if inside else outer
+    if layout == "table":
+        html.append("<table><tr>")
+        if rng.random() < 0.6:
+            html.append("<td>")
+            links(2, 8)
+            html.append("</td>")
+        html.append("<td>")
+        close = "</td></tr></table>"
+    else:
+        html.append("" if layout == "flat" else f"<{layout}{holder()}>")
+        close = "" if layout == "flat" else f"</{layout}>"
+    if rng.random() < 0.7:
+        put(rng.choice(["<h1>@</h1>", "<h1>@</h1>", "<header><h1>@</h1></header>", "<h2>@</h2>"]), rng.choice([_words(rng, rng.randint(1, 8)), _sentences(rng, 1, 1)]), True)
+    plain = rng.choice(["<p>@</p>", "<p>@</p>", "<p>@", "<div>@</div>", "@<br><br>"])
+    refrain = rng.choice([_words(rng, rng.randint(1, 6)), _sentences(rng, 1, 1)])
+    again = rng.choice([0, 0, 0, 0.3, 0.8])  # pages that say one line over and over
+    for _ in range(rng.randint(1, 14) if rng.random() < 0.85 else rng.randint(15, 90)):
         what = rng.random()
-        if what < 0.7:
-            put(rng.choice(["<p>@</p>", "<p>@", "<p><b>@<br>", "<p>@</p>", "<p><em>@</em></p>"]), _sentences(rng, 1, 6), True)
+        if rng.random() < again:
+            put(plain, refrain, True)
+        elif what < 0.7:
+            put(rng.choice([plain, plain, "<p><b>@<br>", "<p><em>@</em></p>", "<p>@ <a href='/z'>more here</a></p>"]), _sentences(rng, 1, 6), True)
         elif what < 0.8:
             put(f"<h{(k := rng.randint(2, 4))}>@</h{k}>", _words(rng, rng.randint(1, 6)), True)
         elif what < 0.9:
             put(rng.choice(["<blockquote>@</blockquote>", "<pre>@</pre>", "<ul><li>@</li></ul>", "<table><tr><td>@</td></tr></table>"]), _words(rng, rng.randint(2, 12)), True)
         elif what < 0.95:
-            clutter(["ad"])
+            clutter(["ad"]) if not bare else put(plain, _sentences(rng, 1, 2), True)
         else:
-            put("<p>@</p>", _words(rng, rng.randint(1, 3)), True)
-    html.append(f"</{tag}>")
+            put(plain, _words(rng, rng.randint(1, 3)), True)
+    html.append(close)
+    html += [] if inside else ["</div>"] * len(outer)
     for _ in range(rng.randint(0, 4)):
         clutter(after)
-    return "<html><head><title>t</title></head><body>" + "".join(html) + "</body></html>", truth
+    html += ["</div>"] * len(outer) if inside else []
+    head = rng.choice(["<html><head><title>t</title></head><body>", "<head><title>t</title><body>", "<title>t</title>"])
+    return head + "".join(html) + "</body></html>", truth
 
 
-def trained(n_pages: int = 700, seed: int = 9) -> Labeller:
+def trained(n_pages: int = 1200, seed: int = 9) -> Labeller:
     """A labeller trained on made-up pages; the tables are never read for it."""
     rng = random.Random(seed)
     pages = []
@@ -356,7 +445,7 @@ def main_texts(model: Labeller, htmls: list[str]) -> list[str]:
                 x, mask, _ = padded([vectors(found[i]) for i in group])
                 main = model.score(x, mask) > 0
                 for j, i in enumerate(group):
-                    texts[i] = "\n".join(t for t, m in zip((t for _, t in found[i]), main[: len(found[i]), j], strict=True) if m)
+                    texts[i] = "\n".join(t for t, m in zip((t for _, t, _ in found[i]), main[: len(found[i]), j], strict=True) if m)
         out += texts
     return out
 
