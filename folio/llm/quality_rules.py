@@ -56,19 +56,24 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source
 
 
 def host_verdicts(failures: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, failed boolean) -> one row per host with its failure rate shrunk by a beta prior fitted to all hosts' rates by moments.
+    """(host, failed boolean) -> one row per host with its failure rate shrunk by a beta prior fitted to all hosts by moments.
 
-    Rows with a null host have no verdict. With one host, or with rates that differ no more than chance allows, the prior is as strong as all rows
-    together, and hosts get about the mean rate.
+    Hosts count by their rows. What their rates differ by chance alone, m (1 - m) for each host less one, is taken off their weighted squares before the
+    prior's strength is read from what is left. Rows with a null host have no verdict. Where nothing is left, or hosts of one row each can't tell, the prior
+    is as strong as all rows together, and hosts get about the mean rate.
     """
     hosts = failures.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
-    rate = F.col("f") / F.col("n")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"), F.sum("n").alias("rows"))
-    m, v = F.col("m"), F.col("v")
-    fitted = F.when((v > 0) & (v < m * (1 - m)), m * (1 - m) / v - 1).otherwise(F.col("rows").cast("double"))
-    prior = moments.select((m * fitted).alias("alpha"), fitted.alias("strength"))
+    n, f = F.col("n"), F.col("f")
+    sums = hosts.agg(F.sum("n").alias("rows"), F.sum(n.cast("double") * n).alias("squares"), F.sum("f").alias("failed"), F.sum(f.cast("double") * f / n).alias("own"), F.count("*").alias("hosts"))
+    m, free = F.col("failed") / F.col("rows"), F.col("hosts") - 1
+    chance = m * (1 - m)
+    spread = F.col("own") - F.col("failed") * m - chance * free
+    room = chance * (F.col("rows") - F.col("squares") / F.col("rows") - free)
+    # the share of a row's variance that lies between hosts is 1 / (strength + 1)
+    strength = F.when((spread > 0) & (room > 0), F.least(F.col("rows").cast("double"), F.greatest(F.lit(0.0), room / spread - 1))).otherwise(F.col("rows").cast("double"))
+    prior = sums.select((m * strength).alias("alpha"), strength.alias("strength"))
     scored = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
-    shrunk = (F.col("f") + F.col("alpha")) / (F.col("n") + F.col("strength"))
+    shrunk = (f + F.col("alpha")) / (n + F.col("strength"))
     return scored.select("host", shrunk.alias("host_rate"), (shrunk > limit).alias("host_rejected"))
 
 
@@ -118,9 +123,13 @@ WITH base AS (
 ), h AS (
   SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM f WHERE source IS NOT NULL GROUP BY source
 ), m AS (
-  SELECT avg(f / n) AS m, coalesce(var_samp(f / n), 0) AS v, sum(n) AS rows FROM h
+  SELECT sum(f) / sum(n) AS m, sum(n) AS rows, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS u, count(*) - 1 AS k,
+         sum(n * (f / n - (SELECT sum(f) / sum(n) FROM h)) ** 2) AS s
+  FROM h
 ), p AS (
-  SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE rows END AS s FROM m
+  SELECT m, CASE WHEN s > m * (1 - m) * k AND m * (1 - m) * u > 0
+                 THEN least(rows, greatest(0, m * (1 - m) * u / (s - m * (1 - m) * k) - 1)) ELSE rows END AS s
+  FROM m
 ), verdict AS (
   SELECT source, (f + m * s) / (n + s) > 0.6 AS rejected FROM h, p
 )
