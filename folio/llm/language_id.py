@@ -6,19 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: so many texts per language, so many characters of each.
-TEXTS = 64
-CHARS = 500
-#: Texts are parsed in pieces of so many characters, all of them; a phrase ends with its piece.
+#: Bound of the training sample: so many texts per language, whole ones, of up to SHORT characters where there are such.
+TEXTS, SHORT = 48, 1500
+#: Texts are parsed in pieces of so many characters side by side; the parses are then joined to that of the whole text.
 PIECE = 512
-#: Symbols told apart: the most frequent letters of the sample and one for all others; anything else is a gap.
-SYMBOLS = 64
 #: Characters parsed at once.
 BLOCK = 1 << 21
 
 
-def suffix_automaton(codes: np.ndarray) -> np.ndarray:
-    """Transitions (states x SYMBOLS, -1: none) of the suffix automaton of a symbol sequence; state 0 is the start."""
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a symbol sequence, a dict per state; state 0 is the start."""
     size = 2 * len(codes) + 2
     step, link, length = [dict() for _ in range(size)], [-1] * size, [0] * size
     last, n = 0, 1
@@ -43,11 +40,40 @@ def suffix_automaton(codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((n, SYMBOLS), -1, np.int32)
-    for s in range(n):
-        for c, t in step[s].items():
-            table[s, c] = t
-    return table
+    return step[:n]
+
+
+class Automaton:
+    """Transitions in one array for all states: that of state s by symbol c stands at base[s] + c if check says it is of s. The start's are in ``root``."""
+
+    def __init__(self, step: list[dict[int, int]], symbols: int, seed: int = 1):
+        self.root = np.zeros(symbols, np.int32)  # 0: no phrase begins with the symbol but the symbol itself
+        for c, t in step[0].items():
+            self.root[c] = t
+        n_edges = sum(map(len, step[1:]))
+        size = 2 * n_edges + 2 * symbols
+        self.base = np.zeros(len(step), np.int32)
+        self.check, self.next = np.full(size + symbols, -1, np.int32), np.zeros(size + symbols, np.int32)
+        free, rng = bytearray(b"\1") * size, np.random.default_rng(seed)
+        several = sorted((s for s in range(1, len(step)) if len(step[s]) > 1), key=lambda s: -len(step[s]))
+        tries = iter(())
+        for s in several:
+            edges = step[s]
+            while True:
+                b = next(tries, None)
+                if b is None:
+                    tries = iter(rng.integers(0, size - symbols, 1 << 16).tolist())
+                elif all(free[b + c] for c in edges):
+                    break
+            self.base[s] = b
+            for c, t in edges.items():
+                free[b + c] = 0
+                self.check[b + c], self.next[b + c] = s, t
+        one = [(s, *next(iter(e.items()))) for s, e in enumerate(step) if s and len(e) == 1]
+        if one:
+            s, c, t = np.array(one).T
+            slot = np.flatnonzero(np.frombuffer(bytes(free), np.uint8)[symbols:])[: len(s)] + symbols
+            self.base[s], self.check[slot], self.next[slot] = slot - c, s, t
 
 
 class Model:
@@ -56,12 +82,11 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         points = np.concatenate([_points(t) for t in samples.values()] or [np.zeros(0, np.uint32)])
-        letters, counts = np.unique(points[_letter(points)], return_counts=True)
-        top = letters[np.argsort(-counts, kind="stable")][: SYMBOLS - 2]
-        self.table = np.ones(0x110000, np.uint8)  # 1: a letter of no sample
+        letters = np.unique(points[_letter(points)])
+        self.table = np.ones(0x110000, np.int32)  # 1: a letter of no sample, a phrase of its own in any language
         self.table[~_letter(np.arange(0x110000, dtype=np.uint32))] = 0
-        self.table[top] = np.arange(2, 2 + len(top), dtype=np.uint8)
-        self.automata = [suffix_automaton(self.codes(samples[k])) for k in self.langs]
+        self.table[letters] = np.arange(2, 2 + len(letters))
+        self.automata = [Automaton(suffix_automaton(self.codes(samples[k])), len(letters) + 2) for k in self.langs]
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of a text: lower-case letters, every run of other characters one gap."""
@@ -69,31 +94,72 @@ class Model:
         return c[(c > 0) | np.concatenate([[True], c[:-1] > 0])] if len(c) else c
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases (texts x languages) of the greedy parse into longest matches, all pieces side by side."""
-        owner = np.repeat(np.arange(len(texts)), [-(-len(t) // PIECE) for t in texts])
-        lengths = np.concatenate([np.r_[np.full(len(t) // PIECE, PIECE), [len(t) % PIECE] if len(t) % PIECE else []] for t in texts] or [[]]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint8), *texts])
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        lengths, starts, owner = lengths[order], starts[order], owner[order]
-        active = np.searchsorted(-lengths, -np.arange(PIECE), "left")  # pieces longer than t
+        """Phrases (texts x languages) of the greedy parse of each whole text into longest matches; a symbol without a match is a phrase.
+
+        All pieces are parsed from their starts side by side. Where a piece's last phrase ends in the next one, the parse goes on from there until it comes to a
+        phrase start of that piece's own parse; from there on both are the same.
+        """
+        size = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *texts])
+        n = -(-size // PIECE)
+        owner = np.repeat(np.arange(len(texts)), n)
+        bound = np.cumsum(size)  # ends of texts
+        start = np.repeat(bound - size, n) + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+        end = np.minimum(start + PIECE, bound[owner])
         out = np.zeros((len(texts), len(self.langs)))
-        for k, table in enumerate(self.automata):
-            step = table.ravel()
-            state, found = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
-            for t in range(PIECE):
-                m = active[t]
-                if not m:
-                    break
-                c = flat[starts[:m] + t]
-                to = step[state[:m] * SYMBOLS + c]
-                end = np.flatnonzero(to < 0)
-                found[end] += 1
-                to[end] = np.maximum(step[c[end]], 0)
-                state[:m] = to
-            np.add.at(out[:, k], owner, found + (state > 0))
+        for k, a in enumerate(self.automata):
+            begins, state = self._pieces(a, flat, start, end)
+            extra, joined = self._joins(a, flat, end, bound[owner], begins, state)
+            into = np.searchsorted(start, joined, "right") - 1
+            count = np.concatenate([[0], np.cumsum(begins)])
+            at, from_, text = np.cumsum(n) - n, bound - size, np.arange(len(texts))
+            at, from_, text = at[n > 0], from_[n > 0], text[n > 0]
+            while len(text):  # from each text's piece to the one in which its parse goes on
+                out[text, k] += count[end[at]] - count[from_] + extra[at]
+                going = joined[at] < bound[text]
+                at, from_, text = into[at[going]], joined[at[going]], text[going]
         return out
 
+    @staticmethod
+    def _pieces(a: Automaton, flat, start, end):
+        """Where phrases begin if each piece is parsed from its start, and the state at its end."""
+        order = np.argsort(start - end, kind="stable")
+        first, length = start[order], (end - start)[order]
+        active = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces longer than t
+        begins, s = np.zeros(len(flat), bool), np.zeros(len(order), np.int32)
+        for t in range(PIECE):
+            m = active[t]
+            if not m:
+                break
+            at = first[:m] + t
+            c = flat[at]
+            edge = a.base[s[:m]] + c
+            begin = a.check[edge] != s[:m]
+            begins[at] = begin
+            s[:m] = np.where(begin, a.root[c], a.next[edge])
+        state = np.empty_like(s)
+        state[order] = s
+        return begins, state
+
+    @staticmethod
+    def _joins(a: Automaton, flat, end, bound, begins, state):
+        """From each piece's end on: phrases that begin before the parse meets a phrase start of another piece's parse, and where that is (or the text's end)."""
+        extra, joined = np.zeros(len(end), np.int64), bound.copy()
+        live = np.flatnonzero(end < bound)
+        at, s = end[live].copy(), state[live]
+        while len(live):
+            c = flat[at]
+            edge = a.base[s] + c
+            begin = a.check[edge] != s
+            met = begin & begins[at]
+            joined[live[met]] = at[met]
+            extra[live[begin & ~met]] += 1
+            s = np.where(begin, a.root[c], a.next[edge])
+            at = at + 1
+            stay = ~met & (at < bound[live])
+            live, at, s = live[stay], at[stay], s[stay]
+        return extra, joined
+
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -109,10 +175,10 @@ def _letter(points: np.ndarray) -> np.ndarray:
 
 
 def training_sample(labelled: DataFrame) -> dict[str, str]:
-    """(text, lang, hash) -> each language's sample: in each of TEXTS hash classes the text of lowest hash, cut to CHARS characters."""
+    """(text, lang, hash) -> each language's sample: in each of TEXTS hash classes the text of lowest hash, a short one if the class has any."""
     part = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    part = part.select("lang", F.substring("text", 1, CHARS).alias("text"), "hash")
-    rows = part.groupBy("lang", F.pmod("hash", F.lit(TEXTS)).alias("class")).agg(F.min_by("text", F.struct("hash", "text")).alias("text"))
+    by = F.struct(F.length("text") > SHORT, "hash", "text")
+    rows = part.groupBy("lang", F.pmod("hash", F.lit(TEXTS)).alias("class")).agg(F.min_by("text", by).alias("text"))
     samples: dict[str, list[str]] = {}
     for r in sorted(rows.collect()):  # at most TEXTS rows a language
         samples.setdefault(r.lang, []).append(r.text)
@@ -124,17 +190,14 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
 
     Phrase counts are divided by the text's symbols; the score is one minus the ratio of the best to the next best count (1 with one language). Null
     texts, texts without a letter, and all texts if there is no language give ``und`` and 0; ties go to the first language by name; an empty table gives
-    an empty result; other columns are not read.
+    an empty result; other columns are not read. The model is as large as the samples, which are bounded.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
-    models: list[Model] = []
+    shared = docs.sparkSession.sparkContext.broadcast(Model(samples))
 
     def run(batches):
         import pyarrow as pa
 
-        if not models:
-            models.append(Model(shared.value))
-        model = models[0]
+        model = shared.value
         for batch in batches:
             texts = batch.column(1)
             langs, scores, at = ["und"] * len(texts), [0.0] * len(texts), 0
