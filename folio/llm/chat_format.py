@@ -62,8 +62,8 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.nda
     for a, b in spans:
         lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
         touched = offsets[lo:hi]
-        mask[lo:hi] = True
-        if b > a and len(touched):
+        if b > a and len(touched):  # an empty text has nothing to learn, wherever it stands
+            mask[lo:hi] = True
             chars.append((max(a, int(touched[:, 0].min())), min(b, int(touched[:, 1].max()))))
     return mask, chars
 
@@ -72,11 +72,14 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER) -
     """(conv_id, turn, role, text) -> one row per conversation: formatted text, token ids, token mask, masked character spans and turn count.
 
     Turns are in order of turn, ties by role and text; null roles and texts are empty, rows of a null conv_id are one conversation, repeated rows are
-    repeated turns, an empty table gives an empty result, other columns are not read. A conversation is one record and is handled as a whole.
+    repeated turns, an empty table gives an empty result, other columns are not read. A conversation is one record and is handled as a whole. The
+    tokenizer's file is read by the driver and sent to the tasks: a vocabulary is some megabytes, however many rows there are.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     models: list = []
+    with open(tokenizer, encoding="utf-8") as file:
+        shared = conversations.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches):
         import os
@@ -87,7 +90,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER) -
         if not models:
             from tokenizers import Tokenizer
 
-            models.append(Tokenizer.from_file(tokenizer))
+            models.append(Tokenizer.from_str(shared.value))
             models[0].encode_special_tokens = True
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
