@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from folio.llm.common import staged
 
 #: Buckets of the global numbering: their counts, a table of so many rows, are what is summed in one task.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 #: Copies of one row that are expanded from one array.
 SPREAD = 65_536
 ROUNDS = 6
-#: Cycle walking needs as many steps as there are numbers outside; from 64 outside numbers on, 64 steps in a row have probability below 64**-64.
-WALK = 64
 
 
 def feistel(x: Column, a: Column, b: Column, seed: int) -> Column:
@@ -26,8 +24,12 @@ def feistel(x: Column, a: Column, b: Column, seed: int) -> Column:
 
 
 def walked(place: Column, n: Column, a: Column, b: Column, seed: int) -> Column:
-    """Cycle walking: a place outside 0..n-1 is permuted again until it is inside."""
-    again = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), place, lambda at, _: F.when(at < n, at).otherwise(feistel(at, a, b, seed)))
+    """Cycle walking: a place outside 0..n-1 is permuted again until it is inside.
+
+    A walk meets no place twice, so it is over after as many steps as there are places outside, about sqrt(n) at most; only that many rows walk.
+    """
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), a * b - n))
+    again = F.aggregate(steps, place, lambda at, _: F.when(at < n, at).otherwise(feistel(at, a, b, seed)))
     return F.when(place < n, place).otherwise(again)
 
 
