@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that the queues hold in memory, and suffixes that are worked on at once.
-IN_MEMORY, BATCH = 1 << 17, 1 << 16
+IN_MEMORY, BATCH = 1 << 18, 1 << 16
 #: A symbol that follows itself so often has a range of its own.
-LONG_RUN = 32
+LONG_RUN = 64
 #: Larger than any common prefix.
 ENDLESS = 1 << 30
 #: Bytes of a position, symbol or prefix; a text has fewer than 2**31 symbols.
@@ -119,21 +119,20 @@ class Minima:
     """Least values of ranges of an array."""
 
     def __init__(self, v: np.ndarray):
-        self.levels, span = [v], 1
-        while 2 * span <= len(v):
-            self.levels.append(np.minimum(self.levels[-1][:-span], self.levels[-1][span:]))
-            span *= 2
+        self.levels = np.empty((max(1, len(v)).bit_length(), max(1, len(v))), np.int64)
+        self.levels[0, : len(v)] = v
+        for k in range(1, len(self.levels)):
+            span = 1 << (k - 1)
+            n = len(v) - 2 * span + 1
+            np.minimum(self.levels[k - 1, :n], self.levels[k - 1, span : span + n], out=self.levels[k, :n])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """min(v[a:b]); ENDLESS where that is empty."""
-        width = b - a
-        level = np.frexp(np.maximum(width, 1).astype(float))[1] - 1
-        out = np.full(len(a), ENDLESS, np.int64)
-        for k in np.unique(level[width > 0]).tolist():
-            at = np.flatnonzero((level == k) & (width > 0))
-            v = self.levels[k]
-            out[at] = np.minimum(v[a[at]], v[b[at] - (1 << k)])
-        return out
+        some = b > a
+        level = np.frexp(np.where(some, b - a, 1).astype(float))[1] - 1
+        first = np.where(some, a, 0)
+        last = np.where(some, b - (1 << level), 0)
+        return np.where(some, np.minimum(self.levels[level, first], self.levels[level, last]), ENDLESS)
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = ENDLESS) -> np.ndarray:

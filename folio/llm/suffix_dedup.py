@@ -19,13 +19,13 @@ LENGTH = 400
 #: shard, they are dealt again by grams of the next length, and last by whole windows.
 GRAMS = (200, 380, LENGTH)
 #: Bytes of pieces that make a shard; of one gram from which it is dealt again; between the places where pieces are compared before they are sorted.
-SHARD, HOT, GRID = 1 << 20, 1 << 19, 20
+SHARD, HOT, GRID = 1 << 21, 1 << 23, 20
 
 
 class Windows:
     """The windows of ``length`` bytes in a block of rows: hashes of prefixes, smallest grams, and pieces (runs of windows with one smallest gram)."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, length: int, gram: int):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, length: int, gram: int, cut: bool = True):
         n, span = len(raw), length - gram + 1
         up, self.down = common._powers(n)
         with np.errstate(over="ignore"):
@@ -33,9 +33,9 @@ class Windows:
             np.cumsum(common._BYTE[raw] * up[:n], out=self.total[1:])
         self.a = self.b = self.anchor = np.zeros(0, np.int64)
         self.many = np.zeros(0, bool)
-        if n < length:
+        self.grams = grams = self.hash(np.arange(max(0, n - gram + 1)), gram)
+        if n < length or not cut:
             return
-        grams = self.hash(np.arange(n - gram + 1), gram)
         least = _sliding(grams, span, np.minimum)
         row = np.searchsorted(off, np.arange(len(least)), "right")
         whole = np.arange(len(least)) + length <= off[np.minimum(row, len(off) - 1)]
@@ -51,14 +51,6 @@ class Windows:
         again = np.concatenate([[0], np.cumsum(grams[place[1:]] == grams[place[:-1]])])
         lo, hi = np.searchsorted(place, a), np.searchsorted(place, b - 1 + span) - 1
         self.many = again[np.maximum(hi, 0)] > again[np.minimum(lo, len(again) - 1)] if len(place) else np.zeros(len(a), bool)
-        at = lo + 0
-        # where the anchor stands: the first of the piece's places with its hash
-        for _ in range(len(place)):
-            off_at = (grams[place[np.minimum(at, len(place) - 1)]] != self.anchor) & (at < hi)
-            if not off_at.any():
-                break
-            at = at + off_at
-        self.at = place[np.minimum(at, len(place) - 1)] if len(place) else a
 
     def hash(self, start: np.ndarray, length) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -140,7 +132,7 @@ def shared_pieces(bodies: DataFrame, length: int, gram: int) -> DataFrame:
         size = np.array([r[2] + length - 1 for r in rows])
         start = np.concatenate([[0], np.cumsum(size)])
         anchor = np.array([r[0] for r in rows])
-        keep = _candidates(raw, start, anchor, np.array([r[3] for r in rows]), length, gram)
+        keep = _candidates(raw, start, anchor, length, gram)
         if not keep.any():
             return
         chosen = np.flatnonzero(keep)
@@ -187,12 +179,12 @@ def shared_pieces(bodies: DataFrame, length: int, gram: int) -> DataFrame:
     return bodies.mapInArrow(run, "anchor long, piece long, starts array<long>, ends array<long>")
 
 
-def _candidates(raw, start, anchor, many, length, gram):
+def _candidates(raw, start, anchor, length, gram):
     """Pieces that may share a window: equal windows have their gram at the same distance d, and agree from d - d % GRID on for the length less GRID.
 
-    Piece by piece, in blocks: a few hashes of each are kept.
+    Piece by piece, in blocks: a few hashes at each place of the gram are kept. Two places in one piece count as two.
     """
-    keep = many.copy()
+    keep = np.zeros(len(anchor), bool)
     reach = length - gram
     n = gram + max(0, reach - GRID)
     seen: dict[int, list] = {left: [] for left in range(0, reach + 1, GRID)}
@@ -200,10 +192,11 @@ def _candidates(raw, start, anchor, many, length, gram):
     while i < len(start) - 1:
         j = max(i + 1, int(np.searchsorted(start, start[i] + common.BLOCK, "right")) - 1)
         off = start[i : j + 1] - start[i]
-        w = Windows(np.asarray(raw[start[i] : start[j]]), off, length, gram)
-        row = np.searchsorted(off, w.a, "right") - 1
-        own = w.anchor.view(np.int64) == anchor[i + row]
-        at, row = (w.at[own], row[own]) if len(row) else (row, row)
+        w = Windows(np.asarray(raw[start[i] : start[j]]), off, length, gram, False)
+        row = np.repeat(np.arange(j - i), np.diff(off))[: len(w.grams)]
+        at = np.flatnonzero(w.grams.view(np.int64) == anchor[i + row])
+        at = at[at + gram <= off[row[at] + 1]]
+        row = row[at]
         for left, parts in seen.items():
             a = at - left
             fits = (a >= off[row]) & (a + n <= off[row + 1])
