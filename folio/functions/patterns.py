@@ -50,6 +50,19 @@ PATTERNS = {
         r"(?i)\bdependency injection\b|\bevent-driven architecture\b",
     ],
 }
+#: Of each pattern above, in the same order: letters or signs, in lower case, one of which stands in every match. A text without them is not searched.
+GUARDS = {
+    "software": [["def"], ["function", "return"], ["import", "from"], [";"], ["void", "public", "private", "static"]],
+    "python": [["def"], ["import", "from"], ["self."], ["print("]],
+    "math": [["$"], ["\\begin{", "\\frac{", "\\sum_", "\\int_", "\\partial ", "\\nabla"], ["theorem", "lemma", "corollary"], ["proof"], list("∑∫∂∇≤≥≠±√")],
+    "discrete_math": [["vertex", "vertices", "adjacency"], ["graph"], ["permutation"], ["recurrence"], ["binary", "b-tree"]],
+    "ml": [["neural", "gradient", "loss", "training", "epoch"], ["sklearn", "tensorflow", "pytorch"], ["numpy.", "pandas.", "torch.", "nn."], ["classif", "regression", "overfit"]],
+    "algorithms": [["complexity"], ["o("], ["algorithm"], ["binary", "quicksort", "mergesort", "dijkstra"]],
+    "data": [["select"], ["join", "insert", "create"], ["key", "schema"]],
+    "architecture": [["microservice", "monolith"], ["architecture", "pattern"], ["injection", "architecture"]],
+}
+#: Letters that match i, k or s if case is ignored, but are other letters in lower case.
+CASE_FOLDS = "[\u0130\u0131\u017f\u212a]"
 LABEL_DENSITY = 2.5
 CODE_DENSITY, MATH_DENSITY, FENCES = 0.3, 1.0, 1
 FENCE = r"(?s)```(.*?)```"

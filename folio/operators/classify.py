@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import patterns as P
 from folio.functions.text import UNICODE, file_name, matches, stem
+from folio.session import spread
 
 TYPES = list(P.PATTERNS)
 
@@ -22,10 +23,25 @@ def fence_count(text: Column, compat: bool = True) -> Column:
 
 
 def with_densities(df: DataFrame, text: str = "text") -> DataFrame:
-    """Columns d_TYPE: pattern matches per 1,000 characters, 0 for an empty text. One compiled projection."""
+    """Columns d_TYPE: pattern matches per 1,000 characters, 0 for an empty text. One compiled projection.
+
+    A pattern is only counted where letters occur without which it can't match; a pattern of several types is counted once.
+    """
     k = F.length(text) / 1000
-    density = lambda t: F.when(F.length(text) > 0, sum((matches(F.col(text), p) for p in P.PATTERNS[t]), F.lit(0)) / k).otherwise(F.lit(0.0))
-    return df.withColumns({f"d_{t}": density(t) for t in TYPES})
+    distinct = {p: guards for t in TYPES for p, guards in zip(P.PATTERNS[t], P.GUARDS[t], strict=True)}
+    names = {p: f"_n{i}" for i, p in enumerate(distinct)}
+    odd = F.col("_odd")
+
+    def count(p, guards):
+        possible = odd
+        for g in guards:
+            possible = possible | F.col("_low").contains(g)
+        return F.when(possible, matches(F.col(text), p)).otherwise(F.lit(0))
+
+    spare = spread(df).withColumns({"_low": F.lower(text), "_odd": F.col(text).rlike(P.CASE_FOLDS)})
+    counted = spare.withColumns({names[p]: count(p, g) for p, g in distinct.items()})
+    density = lambda t: F.when(F.length(text) > 0, sum((F.col(names[p]) for p in P.PATTERNS[t]), F.lit(0)) / k).otherwise(F.lit(0.0))
+    return counted.withColumns({f"d_{t}": density(t) for t in TYPES}).drop("_low", "_odd", *names.values())
 
 
 def with_fences(df: DataFrame, text: str = "text", compat: bool = True) -> DataFrame:

@@ -32,10 +32,12 @@ def in_schema(df: DataFrame) -> DataFrame:
 
 
 def glean(first: DataFrame, second: DataFrame, key: str = "id") -> DataFrame:
-    """Two passes over the same texts as one: what the second one adds is joined to the first."""
+    """Two passes over the same texts as one: what the second one adds is joined to the first; a text may be in one of them only."""
     more = second.select(key, F.col("entities").alias("_e"), F.col("relations").alias("_r"))
-    both = first.join(more, key, "left")
-    return both.select(key, F.array_union("entities", F.coalesce("_e", F.array().cast("array<struct<name: string, type: string>>"))).alias("entities"), F.array_union("relations", F.coalesce("_r", F.array().cast("array<struct<source: string, target: string, type: string>>"))).alias("relations"))
+    both = first.join(more, key, "full")
+    kinds = {"entities": ("_e", "array<struct<name: string, type: string>>"), "relations": ("_r", "array<struct<source: string, target: string, type: string>>")}
+    some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return both.select(key, *(F.array_union(some(c, kind), some(d, kind)).alias(c) for c, (d, kind) in kinds.items()))
 
 
 TRIPLES = "id string, source string, label string, target string, pos int"

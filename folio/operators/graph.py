@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators.dedup import _saved
+from folio.session import staged
 
 
 def incident(edges: DataFrame, node: str) -> DataFrame:
@@ -25,10 +25,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def edge_degrees(edges: DataFrame) -> DataFrame:
+def edge_degrees(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """The edges (or those in ``of``) with the degrees of both ends added up."""
     d = degrees(edges)
     side = lambda c, n: d.select(F.col("id").alias(c), F.col("degree").alias(n))
-    out = edges.join(side("src_id", "_a"), "src_id", "left").join(side("tgt_id", "_b"), "tgt_id", "left")
+    out = (edges if of is None else of).join(side("src_id", "_a"), "src_id", "left").join(side("tgt_id", "_b"), "tgt_id", "left")
     return out.withColumn("edge_degree", F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).drop("_a", "_b")
 
 
@@ -41,6 +42,14 @@ def search_labels(nodes: DataFrame, needle: str) -> DataFrame:
     return nodes.filter(F.lower("entity_name").contains(needle.lower())).select("entity_name").distinct()
 
 
+def detach(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose ends are both among the nodes."""
+    out = edges
+    for end in ("src_id", "tgt_id"):
+        out = out.join(nodes.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+    return out.select(*edges.columns)
+
+
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph without the nodes and without the edges at them."""
     gone = ids.select("id").distinct()
@@ -56,7 +65,7 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     seen = frontier = seeds.select("id", F.lit(0).alias("hop")).distinct()
     for hop in range(1, hops + 1):
         reached = frontier.join(both, "id").select(F.col("to").alias("id")).distinct()
-        frontier = _saved(reached.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")), "frontier")
+        frontier = staged(reached.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -64,13 +73,13 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def communities(edges: DataFrame) -> DataFrame:
     """(id, community): nodes with the least node id of their component; labels spread and jump until nothing changes."""
     both = edges.select(F.col("src_id").alias("id"), F.col("tgt_id").alias("to")).union(edges.select("tgt_id", "src_id")).distinct()
-    both = _saved(both, "both")
-    label = _saved(both.groupBy("id").agg(F.least(F.min("to"), F.min("id")).alias("community")), "label")
+    both = staged(both, "both")
+    label = staged(both.groupBy("id").agg(F.least(F.min("to"), F.min("id")).alias("community")), "label")
     while True:
         near = both.join(label.select(F.col("id").alias("to"), F.col("community").alias("c")), "to").groupBy("id").agg(F.min("c").alias("c"))
         top = label.select(F.col("id").alias("community"), F.col("community").alias("j"))
         step = label.join(near, "id").join(top, "community", "left")
-        new = _saved(step.select("id", F.least("community", "c", F.coalesce("j", "community")).alias("community"), F.col("community").alias("was")), "label")
+        new = staged(step.select("id", F.least("community", "c", F.coalesce("j", "community")).alias("community"), F.col("community").alias("was")), "label")
         if new.filter("community <> was").isEmpty():
             return new.select("id", "community")
         label = new.select("id", "community")

@@ -1,7 +1,7 @@
 """Retrieval modes over nodes, graph and vectors, and prompts.
 
-Only one-line definitions of the modes are given; what follows is this library's reading of them. local: entities whose name has a query word, their edges,
-and the edges' sources. global: edges by query words in their label or ends, weight and degree, with their community. naive: nearest chunks. hybrid: local and
+Only one-line definitions of the modes are given; what follows is this library's reading of them. local: entities whose name has a query word, and
+their edges. global: edges by query words in their label or keywords, weight and degree, or whole communities by what their edges say. naive: nearest chunks. hybrid: local and
 global. mix: hybrid and naive. Lists are fused by reciprocal rank (1 / (60 + rank)).
 """
 
@@ -14,6 +14,7 @@ from folio.functions import patterns as P
 from folio.functions.text import capitalize
 from folio.operators.graph import communities, edge_degrees
 from folio.operators.vectors import top_k
+from folio.session import staged
 
 STOP = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "what", "how", "does", "who", "which", "about"]
 RANK_CONSTANT = 60
@@ -39,25 +40,61 @@ def local(nodes: DataFrame, edges: DataFrame, words: list[str], k: int) -> DataF
     hits = nodes.withColumn("matched", F.size(F.array_intersect(parts, F.array(*map(F.lit, words))))).filter("matched > 0").select("id", "matched")
     ends = edges.select("rel_id", F.col("src_id").alias("id")).union(edges.select("rel_id", "tgt_id"))
     touched = ends.join(hits, "id").groupBy("rel_id").agg(F.sum("matched").alias("matched"))
-    out = edge_degrees(edges).join(touched, "rel_id").orderBy(F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").limit(k)
+    out = edge_degrees(edges, edges.join(touched, "rel_id")).orderBy(F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").limit(k)
     return _ranked(out, F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")
 
 
 def global_(edges: DataFrame, words: list[str], k: int) -> DataFrame:
     """(item, rank): edges by query words in label and keywords, then weight times degree."""
     text = F.split(F.lower(F.concat_ws(" ", "label", "keywords")), r"[^\p{L}\p{N}]+")
-    scored = edge_degrees(edges).withColumn("matched", F.size(F.array_intersect(text, F.array(*map(F.lit, words))))).withColumn("strength", F.col("weight") * F.col("edge_degree"))
+    hits = edges.withColumn("matched", F.size(F.array_intersect(text, F.array(*map(F.lit, words))))).filter("matched > 0")
+    scored = edge_degrees(edges, hits).withColumn("strength", F.col("weight") * F.col("edge_degree"))
     order = (F.desc("matched"), F.desc("strength"), F.asc("rel_id"))
-    return _ranked(scored.filter("matched > 0").orderBy(*order).limit(k), *order).select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")
+    return _ranked(scored.orderBy(*order).limit(k), *order).select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")
 
 
 def community_summary(edges: DataFrame) -> DataFrame:
     """Nodes, edges and weight of each community."""
-    c = communities(edges)
+    edges = staged(edges, "edges")
+    return summary_of(edges, communities(edges))
+
+
+def summary_of(edges: DataFrame, c: DataFrame) -> DataFrame:
     inside = edges.join(c.withColumnRenamed("id", "src_id"), "src_id").groupBy("community").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
     return c.groupBy("community").agg(F.count("*").alias("nodes")).join(inside, "community", "left")
 
 
+def global_communities(edges: DataFrame, words: list[str], k: int) -> DataFrame:
+    """(item, rank, nodes, edges, weight): communities by how many of their edges have a query word, then by their weight."""
+    edges = staged(edges, "edges")
+    c = communities(edges)
+    text = F.split(F.lower(F.concat_ws(" ", "label", "keywords")), r"[^\p{L}\p{N}]+")
+    hits = edges.filter(F.size(F.array_intersect(text, F.array(*map(F.lit, words)))) > 0).select("rel_id", F.col("src_id").alias("id"))
+    matched = hits.join(c, "id").groupBy("community").agg(F.count("*").alias("matched"))
+    order = (F.desc("matched"), F.desc("weight"), F.asc("community"))
+    top = summary_of(edges, c).join(matched, "community").orderBy(*order).limit(k)
+    return _ranked(top, *order).select(F.concat(F.lit("community:"), "community").alias("item"), "rank", "nodes", "edges", "weight")
+
+
+def vector_context(vectors: DataFrame, edges: DataFrame, query: list[float], k: int, key: str = "id", node: str = "id") -> DataFrame:
+    """(id, hop, score): the k nearest nodes and the nodes one edge away, these with the best score of those that led to them. Ties go by ``key``."""
+    near = top_k(vectors, query, k, key=key).select(F.col(node).alias("id"), "score")
+    both = edges.select(F.col("src_id").alias("id"), F.col("tgt_id").alias("to")).union(edges.select("tgt_id", "src_id"))
+    around = both.join(F.broadcast(near), "id").groupBy(F.col("to").alias("id")).agg(F.max("score").alias("score"))  # near has k rows
+    around = around.join(F.broadcast(near.select("id")), "id", "left_anti").select("id", F.lit(1).alias("hop"), "score")
+    return near.select("id", F.lit(0).alias("hop"), "score").unionByName(around)
+
+
+def cited(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item, ..) of chunks -> the same with ``source_path`` and ``chunk_idx`` of each; ``chunks``: (item, source_path, chunk_idx). Items of no chunk keep nulls."""
+    return ranked.join(chunks.select("item", "source_path", "chunk_idx"), "item", "left")
+
+
+def of_sources(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """What a retrieval mode may see if it is asked for some kinds of sources: any mode takes the filtered vectors, nodes or edges."""
+    return rows.filter(F.col("source_type").isin(kinds))
+
+
 def fuse(*lists: DataFrame, k: int) -> DataFrame:
     """One list of the items of several ranked ones."""
     every = lists[0]

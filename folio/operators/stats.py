@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,22 +21,59 @@ def stratified_sample(df: DataFrame, strata: list[str], n: int, key: str, seed:
     return ranked.orderBy("_o", key).limit(n).drop("_o", "_n", "_take")
 
 
+def rounded(x: Column) -> Column:
+    """A number of at least 1e-6 or 0, not negative, to two places; the binary number itself is compared with the middle between two, and a true middle goes to the even one.
+
+    Its mantissa is a whole number of 53 bits, so the comparison is one of whole numbers.
+    """
+    low = F.floor(x.cast("decimal(38, 12)") * 100).cast("long")
+    power = F.lit(52) - F.floor(F.log2(F.greatest(x, F.lit(1e-6)))).cast("int")
+    power = F.least(power, F.lit(62))
+    scale = F.call_function("shiftleft", F.lit(1).cast("long"), power)
+    exact = (x * scale).cast("long").cast("decimal(20, 0)") * F.lit(1000).cast("decimal(5, 0)")
+    middle = (low * 10 + 5).cast("decimal(17, 0)") * scale.cast("decimal(20, 0)")
+    return (low + F.when(exact > middle, 1).when((exact == middle) & (low % 2 == 1), 1).otherwise(0)) / 100
+
+
+def ranks(values: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value) -> (group, value, upto, n): each value with the rank of its last row and the group's rows.
+
+    Counts of whole units are added up first and then the values inside a unit, so no task holds all values of a group.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c")).withColumn("_unit", F.floor(value))
+    before = Window.partitionBy(group).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(group)
+    units = counted.groupBy(group, "_unit").agg(F.sum("_c").alias("_u"))
+    units = units.select(group, "_unit", F.coalesce(F.sum("_u").over(before), F.lit(0)).alias("_before"), F.sum("_u").over(every).alias("n"))
+    inside = Window.partitionBy(group, "_unit").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.join(units, [group, "_unit"]).select(group, value, (F.col("_before") + F.sum("_c").over(inside)).alias("upto"), "n")
+
+
+def at_ranks(values: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median, p90): the 90th percentile is the value at rank floor(0.9 n), one at least."""
+    r = ranks(values, group, value)
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(value)))
+    n = F.col("n")
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    return r.groupBy(group).agg(((at(low) + at(high)) / 2).alias("median"), at(F.greatest(F.floor(n * 9 / 10), F.lit(1))).alias("p90"))
+
+
 def condition_summary(calls: DataFrame) -> DataFrame:
-    """(condition, seconds, gen_tokens, ok) -> counts and times per condition. The 90th percentile is the value at rank floor(0.9 n), one at least."""
-    good = F.col("ok")
-    s = F.when(good, F.col("seconds"))
-    sorted_ = F.sort_array(F.collect_list(s))
-    at = F.greatest(F.floor(F.size(sorted_) * 0.9).cast("int"), F.lit(1))
-    return calls.groupBy("condition").agg(
-        F.count(s).alias("n"),
-        F.sum((~good).cast("int")).alias("failures"),
-        F.bround(F.median(s), 2).alias("median_s"),
-        F.bround(F.avg(s), 2).alias("mean_s"),
-        F.when(F.size(sorted_) > 0, F.bround(F.element_at(sorted_, at), 2)).alias("p90_s"),
-        F.bround(F.min(s), 2).alias("min_s"),
-        F.bround(F.max(s), 2).alias("max_s"),
-        F.median(F.when(good, F.col("gen_tokens"))).cast("int").alias("median_tokens"),
+    """(condition, seconds, gen_tokens, entities, relations, ok) -> counts and times per condition; one without a successful call says so in ``note``."""
+    good = calls.filter("ok")
+    base = calls.groupBy("condition").agg(
+        F.count(F.when(F.col("ok"), F.col("seconds"))).alias("n"),
+        F.sum((~F.col("ok")).cast("int")).alias("failures"),
+        rounded(F.avg(F.when(F.col("ok"), F.col("seconds")))).alias("mean_s"),
+        rounded(F.min(F.when(F.col("ok"), F.col("seconds")))).alias("min_s"),
+        rounded(F.max(F.when(F.col("ok"), F.col("seconds")))).alias("max_s"),
     )
+    times = at_ranks(good, "condition", "seconds").select("condition", rounded(F.col("median")).alias("median_s"), rounded(F.col("p90")).alias("p90_s"))
+    out = base.join(times, "condition", "left")
+    for field, name in (("gen_tokens", "median_tokens"), ("entities", "median_entities"), ("relations", "median_relations")):
+        out = out.join(at_ranks(good, "condition", field).select("condition", F.col("median").cast("int").alias(name)), "condition", "left")
+        out = out.withColumn(name, F.when(F.col("n") > 0, F.coalesce(name, F.lit(0))))
+    return out.withColumn("note", F.when(F.col("n") == 0, "no successful calls"))
 
 
 def condition_deltas(summary: DataFrame, open_: str, schema: str, glean: str) -> DataFrame:

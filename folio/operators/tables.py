@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 ALLOWED = [("pending", "processing"), ("processing", "processed"), ("processing", "failed"), ("failed", "processing")]
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of equal key; others stay."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace those of equal key; others stay. Of rows of one key in ``new`` the latest counts (``latest``)."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(latest(new, keys, order))
 
 
-def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row a key: the greatest by ``order``, ties and no order by all other fields."""
+    fields = [c for c in rows.columns if c not in keys]
+    by = F.struct(*([order] if order else []), *fields) if fields else F.lit(1)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), by).alias("_r")).select("_r.*")
+
+
+def merge(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """As ``upsert``, but a null field of ``new`` leaves the old value."""
+    new = latest(new, keys, order)
     fields = [c for c in old.columns if c not in keys]
     renamed = new.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in fields))
     return old.join(renamed, keys, "full").select(*keys, *(F.coalesce(f"_new_{c}", c).alias(c) for c in fields))
@@ -59,5 +67,38 @@ def purge(rows: DataFrame, namespace: str, id_col: str = "id") -> DataFrame:
     return rows.filter(~(_true(marks[0]) | _true(marks[1]) | _true(marks[2])))
 
 
+def purge_graph(nodes: DataFrame, edges: DataFrame, namespace: str) -> tuple[DataFrame, DataFrame]:
+    """The graph without a namespace's nodes, and without the edges that would dangle."""
+    from folio.operators.graph import detach
+
+    left = purge(nodes, namespace)
+    return left, detach(edges, left)
+
+
+def in_namespace(table: DataFrame, namespace: str) -> DataFrame:
+    """What a namespace sees of a table that several share: its own rows, without the mark."""
+    return table.filter(F.col("namespace") == namespace).drop("namespace")
+
+
+def write_in_namespace(table: DataFrame, new: DataFrame, namespace: str, keys: list[str]) -> DataFrame:
+    """Upsert into one namespace; the same keys in others are other rows."""
+    return upsert(table, new.withColumn("namespace", F.lit(namespace)), ["namespace", *keys])
+
+
+def lookup(table: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+    """Rows of the table whose field ``by`` is asked for."""
+    return table.join(asked.select(by).distinct(), by, "left_semi")
+
+
+def is_empty(table: DataFrame) -> DataFrame:
+    """One row that says whether the table has none."""
+    return table.limit(1).agg((F.count("*") == 0).alias("is_empty"))
+
+
+def reset(table: DataFrame, namespace: str | None = None) -> DataFrame:
+    """The table without its rows, or without one namespace's."""
+    return table.filter(F.lit(False)) if namespace is None else table.filter(~F.col("namespace").eqNullSafe(namespace))
+
+
 def _true(c):
     return F.coalesce(c, F.lit(False))

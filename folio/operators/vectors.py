@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from folio.functions.text import cosine
 
 DIM = 384
+#: Numbers of the queries that are sent to the tasks at once.
+QUERY_NUMBERS = 1 << 21
 
 
 def hashing_embedder(dim: int = DIM):
@@ -45,9 +47,70 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
     return out.orderBy(F.desc(F.round("score", 9)), key).limit(k)
 
 
+def at_least(vectors: DataFrame, query: list[float], least: float) -> DataFrame:
+    """All vectors whose score reaches a cut-off."""
+    return scored(vectors, F.array(*(F.lit(float(x)) for x in query))).filter(F.col("score") >= least)
+
+
+def _unit_rows(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, unit vectors) of an Arrow list column's rows of ``dim`` numbers that are no null and no zero vector."""
+    import pyarrow as pa
+
+    size = column.value_lengths().fill_null(-1).to_numpy()
+    rows = np.flatnonzero(size == dim)
+    flat = column.take(pa.array(rows)).flatten()
+    v = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    norm = np.sqrt((v * v).sum(1))
+    good = norm > 0
+    return rows[good], v[good] / norm[good, None]
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """(query_id, q) x vectors -> the k nearest vectors of each query. The stated query set goes to all tasks; each keeps its k best before the shuffle."""
-    pairs = vectors.select(key, "embedding").crossJoin(F.broadcast(queries.select("query_id", "q")))
-    pairs = pairs.withColumn("score", cosine(F.col("embedding"), F.col("q"))).filter(F.col("score").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "score", "rank")
+    """(query_id, q) x vectors -> (query_id, key, score, rank): the k nearest vectors of each query, ties by key.
+
+    The stated query set goes to the tasks in blocks of so many numbers, and each Arrow batch is multiplied with a block as matrices and keeps its k best a
+    query, before the shuffle. Null and zero vectors and those of another size than the query match nothing.
+    """
+    kinds = {c: vectors.schema[key].dataType.simpleString() if c == key else queries.schema["query_id"].dataType.simpleString() for c in ("query_id", key)}
+    blocks: list[dict[int, list]] = [{}]
+    held = 0
+    for r in queries.select("query_id", "q").filter("size(q) > 0").toLocalIterator():
+        if held + len(r.q) > QUERY_NUMBERS and held:
+            blocks.append({})
+            held = 0
+        blocks[-1].setdefault(len(r.q), []).append((r.query_id, r.q))
+        held += len(r.q)
+    found = None
+    for block in blocks:
+        sets = []
+        for dim, rows in block.items():
+            q = np.array([v for _, v in rows], np.float64)
+            norm = np.sqrt((q * q).sum(1))
+            sets.append((dim, [i for (i, _), n in zip(rows, norm, strict=True) if n > 0], q[norm > 0] / norm[norm > 0, None]))
+        shared = vectors.sparkSession.sparkContext.broadcast(sets)
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            for batch in batches:
+                for dim, ids, q in shared.value:
+                    rows, v = _unit_rows(batch.column(1), dim)
+                    keys = batch.column(0).take(pa.array(rows))
+                    order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+                    rows, v = rows[order], v[order]
+                    for a in range(0, len(q), 256):
+                        score = np.round(v @ q[a : a + 256].T, 9)
+                        top = np.argsort(-score, axis=0, kind="stable")[:k]  # of equal scores the least keys come first
+                        asked = pa.array([i for i in ids[a : a + 256] for _ in range(len(top))], key_type(kinds["query_id"]))
+                        yield pa.RecordBatch.from_arrays([asked, batch.column(0).take(pa.array(rows[top.T.ravel()])), pa.array(np.take_along_axis(score, top, 0).T.ravel())], ["query_id", key, "score"])
+
+        part = vectors.select(key, "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "score", "rank")
+
+
+def key_type(kind: str):
+    import pyarrow as pa
+
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import patterns as P
-from folio.functions.text import keywords
+from folio.functions.text import file_name, keywords
 from folio.operators import extract, graph, notes, retrieval, stats, tables, vectors
 from folio.plans import views
 from folio.plans.views import GRAPH, quoted
-from folio.session import table
+from folio.session import shared_dir, staged, table
 from folio.sources import files
 from folio.streaming.ingest import event_counts as counted_events
 
@@ -75,7 +77,7 @@ _EDGE_DEGREE = f"""{GRAPH}, scored AS (
 
 @query("edge_degree", f"WITH {_EDGE_DEGREE} SELECT rel_id, edge_degree FROM scored")
 def edge_degree(spark, sf):
-    return graph.edge_degrees(views.graph_edges(spark, sf)).select("rel_id", "edge_degree")
+    return graph.edge_degrees(staged(views.graph_edges(spark, sf), "edges")).select("rel_id", "edge_degree")
 
 
 @query("popular_labels", f"WITH {GRAPH} SELECT id, entity_name, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN degree USING (id) ORDER BY degree DESC, id LIMIT 20")
@@ -127,15 +129,26 @@ h1 AS (SELECT DISTINCT b AS id FROM both_ WHERE a = 'region:3'), h2 AS (SELECT D
 SELECT id, min(hop)::INT AS hop FROM (SELECT 'region:3' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 UNION ALL SELECT id, 3 FROM h3) GROUP BY id""",
 )
 def bfs_khop(spark, sf):
-    return graph.k_hop(views.graph_edges(spark, sf), spark.range(1).select(F.lit("region:3").alias("id")), 3)
+    return graph.k_hop(staged(views.graph_edges(spark, sf), "edges"), spark.range(1).select(F.lit("region:3").alias("id")), 3)
+
 
+_COMMUNITY = f"""{GRAPH}, linked AS (SELECT src_id AS id, tgt_id AS near FROM edges UNION SELECT tgt_id, src_id FROM edges), spreading(id, community) USING KEY (id) AS (
+  SELECT id, id FROM (SELECT DISTINCT id FROM linked)
+  UNION
+  SELECT l.id, min(s.community) FROM spreading s JOIN linked l ON l.near = s.id JOIN recurring.spreading r ON r.id = l.id GROUP BY l.id, r.community HAVING min(s.community) < r.community
+)"""
 
-@query("graph_communities")
+
+@query("graph_communities", f"WITH RECURSIVE {_COMMUNITY} SELECT id, community FROM spreading")
 def graph_communities(spark, sf):
     return graph.communities(views.graph_edges(spark, sf))
 
 
-@query("community_summary")
+@query(
+    "community_summary",
+    f"""WITH RECURSIVE {_COMMUNITY} SELECT c.community, c.nodes, e.edges, e.weight FROM (SELECT community, count(*) AS nodes FROM spreading GROUP BY ALL) c
+LEFT JOIN (SELECT community, count(*) AS edges, round(sum(weight), 6) AS weight FROM edges JOIN spreading ON src_id = id GROUP BY ALL) e USING (community)""",
+)
 def community_summary(spark, sf):
     return retrieval.community_summary(views.graph_edges(spark, sf))
 
@@ -177,6 +190,23 @@ def purge_notes(spark, sf):
     return tables.purge(_store(spark, sf), "note").select("id")
 
 
+@query("purge_edges", f"WITH {GRAPH} SELECT rel_id FROM edges WHERE NOT starts_with(src_id, 'supplier:') AND NOT starts_with(tgt_id, 'supplier:')")
+def purge_edges(spark, sf):
+    """A namespace goes with its nodes and all edges at them."""
+    kind = F.when(F.col("entity_type") == "supplier", "book").otherwise("note")
+    held = views.graph_nodes(spark, sf).withColumn("source_type", kind).withColumn("ref_doc_id", F.lit(None).cast("string"))
+    return tables.purge_graph(held, views.graph_edges(spark, sf), "book")[1].select("rel_id")
+
+
+@query("graph_export", f"WITH {GRAPH} SELECT src_id, tgt_id, label, weight FROM edges")
+def graph_export(spark, sf):
+    """A graph that was exported and imported again."""
+    path = f"{shared_dir(spark)}/folio-graph-{uuid.uuid4().hex}"
+    n, e = views.graph_nodes(spark, sf), views.graph_edges(spark, sf)
+    files.write_graph(n, e, path)
+    return files.read_graph(spark, path, n.schema, e.schema)[1].select("src_id", "tgt_id", "label", "weight")
+
+
 @query("rebuild_notes", f"WITH {_STORE}, {_NOTES} SELECT id, source_type FROM store WHERE coalesce(source_type, '') <> 'note' UNION ALL SELECT ref_doc_id, 'note' FROM kept")
 def rebuild_notes(spark, sf):
     fresh = notes.entities(notes.parse(views.notes(spark))).select(F.col("ref_doc_id").alias("id"), "source_type")
@@ -214,9 +244,9 @@ def vector_topk_filtered(spark, sf):
     return _rounded(vectors.top_k(table(spark, sf, "embeddings"), QUERY, 10, F.col("label") == 3))
 
 
-@query("vector_cutoff", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM scored WHERE scored.score >= 0.05 ORDER BY round(scored.score, 9) DESC, vec_id LIMIT 100")
+@query("vector_cutoff", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM scored WHERE scored.score >= 0.05 ")
 def vector_cutoff(spark, sf):
-    return _rounded(vectors.top_k(table(spark, sf, "embeddings"), QUERY, 100, at_least=0.05))
+    return _rounded(vectors.at_least(table(spark, sf, "embeddings"), QUERY, 0.05))
 
 
 @query("vectors_by_ids", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
@@ -289,10 +319,43 @@ def docs_page(spark, sf):
     return tables.page(_status(spark, sf), ["updated_at", "doc_id"], 50, 25).select("doc_id", "updated_at")
 
 
-@query("docs_by_hash", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON md5(d.text) = md5(b.text)")
+_ASKED = "asked AS (SELECT * FROM documents WHERE doc_id % 100 = 0)"
+
+
+def _by(spark, sf, field):
+    """Documents that share a field's value with the stated query set of every hundredth one."""
+    docs = table(spark, sf, "documents").select("doc_id", field.alias("f"))
+    return tables.lookup(docs, docs.filter("doc_id % 100 = 0"), "f").select("doc_id")
+
+
+@query("docs_by_hash", f"WITH {_ASKED} SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM asked)")
 def docs_by_hash(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    return docs.join(table(spark, sf, "benchmark").select("item_id", F.md5(F.col("text").cast("binary")).alias("h")), "h").select("doc_id", "item_id")
+    return _by(spark, sf, F.md5(F.col("text").cast("binary")))
+
+
+@query("docs_by_path", f"WITH {_ASKED} SELECT doc_id FROM documents WHERE source || '/' || (doc_id % 700) IN (SELECT source || '/' || (doc_id % 700) FROM asked)")
+def docs_by_path(spark, sf):
+    return _by(spark, sf, F.concat("source", F.lit("/"), (F.col("doc_id") % 700).cast("string")))
+
+
+@query("docs_by_basename", f"WITH {_ASKED} SELECT doc_id FROM documents WHERE doc_id % 700 IN (SELECT doc_id % 700 FROM asked)")
+def docs_by_basename(spark, sf):
+    return _by(spark, sf, file_name(F.concat(F.lit("x/"), "source", F.lit("/"), (F.col("doc_id") % 700).cast("string"))))
+
+
+@query("docs_by_track", f"WITH {_ASKED} SELECT doc_id FROM documents WHERE source IN (SELECT source FROM asked)")
+def docs_by_track(spark, sf):
+    return _by(spark, sf, F.col("source"))
+
+
+@query("kv_is_empty", "SELECT count(*) = 0 AS is_empty FROM documents WHERE lang = 'xx'")
+def kv_is_empty(spark, sf):
+    return tables.is_empty(table(spark, sf, "documents").filter("lang = 'xx'"))
+
+
+@query("kv_drop", "SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY lang")
+def kv_drop(spark, sf):
+    return tables.reset(table(spark, sf, "documents").withColumn("namespace", F.col("lang")), "en").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("status_merge", f"WITH {_STATUS} SELECT coalesce(s.doc_id, c.c_custkey) AS doc_id, coalesce(c.st, s.status) AS status, s.updated_at, coalesce(c.c_acctbal, s.chunks) AS chunks FROM status s FULL JOIN (SELECT *, CASE WHEN c_acctbal > 0 THEN 'processed' END AS st FROM customer) c ON s.doc_id = c.c_custkey")
@@ -344,9 +407,15 @@ def cache_misses(spark, sf):
     return tables.missing(turns.filter("role = 'user'"), turns.filter("role = 'assistant'"), ["key"])
 
 
-@query("namespace_isolation", "SELECT lang AS namespace, count(*) AS n, count(DISTINCT source) AS names FROM documents GROUP BY lang")
+@query("namespace_isolation", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'new' ELSE 'a' END AS value FROM documents")
 def namespace_isolation(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("lang").alias("namespace")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("names"))
+    """Two namespaces hold the same keys; one is written to, the other is written to as well, and the first sees its own writes only."""
+    keys = table(spark, sf, "documents").select("doc_id")
+    shared = keys.select(F.lit("a").alias("namespace"), "doc_id", F.lit("a").alias("value")).unionByName(keys.select(F.lit("b").alias("namespace"), "doc_id", F.lit("b").alias("value")))
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select("doc_id").distinct()
+    shared = tables.write_in_namespace(shared, toxic.withColumn("value", F.lit("new")), "a", ["doc_id"])
+    shared = tables.write_in_namespace(shared, keys.withColumn("value", F.lit("other")), "b", ["doc_id"])
+    return tables.in_namespace(shared, "a")
 
 
 @query("retrieve_by_source", f"WITH {_STORE} SELECT id FROM store WHERE source_type IN ('note', 'book')")
@@ -384,12 +453,14 @@ def extract_triples(spark, sf):
 
 
 def _calls(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_type").alias("condition"), F.col("value").alias("seconds"), F.get_json_object("props", "$.k").cast("int").alias("gen_tokens"), (F.col("event_id") % 11 != 0).alias("ok"))
+    return table(spark, sf, "events").select(F.col("event_type").alias("condition"), F.col("value").alias("seconds"), F.get_json_object("props", "$.k").cast("int").alias("gen_tokens"), (F.col("user_id") % 13).cast("int").alias("entities"), (F.col("event_id") % 7).cast("int").alias("relations"), ((F.col("event_id") % 11 != 0) & (F.col("event_type") != "purchase")).alias("ok"))
 
 
-_SUMMARY = """calls AS (SELECT event_type AS condition, CASE WHEN event_id % 11 <> 0 THEN value END AS s, CASE WHEN event_id % 11 <> 0 THEN (props::JSON->>'k')::INT END AS k FROM events),
-summary AS (SELECT condition, count(s) AS n, count(*) - count(s) AS failures, round_even(median(s), 2) AS median_s, round_even(avg(s), 2) AS mean_s,
-  round_even(list_sort(list(s) FILTER (s IS NOT NULL))[greatest(floor(count(s) * 0.9), 1)::INT], 2) AS p90_s, round_even(min(s), 2) AS min_s, round_even(max(s), 2) AS max_s, trunc(median(k))::INT AS median_tokens FROM calls GROUP BY condition)"""
+_OK = "event_id % 11 <> 0 AND event_type <> 'purchase'"
+_SUMMARY = f"""calls AS (SELECT event_type AS condition, CASE WHEN {_OK} THEN value END AS s, CASE WHEN {_OK} THEN (props::JSON->>'k')::INT END AS k, CASE WHEN {_OK} THEN user_id % 13 END AS e, CASE WHEN {_OK} THEN event_id % 7 END AS r FROM events),
+summary AS (SELECT condition, count(s) AS n, count(*) - count(s) AS failures, printf('%.2f', median(s))::DOUBLE AS median_s, printf('%.2f', avg(s))::DOUBLE AS mean_s,
+  printf('%.2f', list_sort(list(s) FILTER (s IS NOT NULL))[greatest(floor(count(s) * 0.9), 1)::INT])::DOUBLE AS p90_s, printf('%.2f', min(s))::DOUBLE AS min_s, printf('%.2f', max(s))::DOUBLE AS max_s,
+  trunc(median(k))::INT AS median_tokens, trunc(median(e))::INT AS median_entities, trunc(median(r))::INT AS median_relations, CASE WHEN count(s) = 0 THEN 'no successful calls' END AS note FROM calls GROUP BY condition)"""
 
 
 @query("condition_summary", f"WITH {_SUMMARY} SELECT * FROM summary")
@@ -400,9 +471,9 @@ def condition_summary(spark, sf):
 _M = "max(CASE WHEN condition = '{}' THEN median_s END)"
 
 
-@query("condition_deltas", f"WITH {_SUMMARY} SELECT round((1 - {_M.format('click')} / {_M.format('view')}) * 100, 6) AS schema_saving_pct, round(({_M.format('purchase')} / {_M.format('view')} - 1) * 100, 6) AS glean_cost_pct FROM summary")
+@query("condition_deltas", f"WITH {_SUMMARY} SELECT round((1 - {_M.format('click')} / {_M.format('view')}) * 100, 6) AS schema_saving_pct, round(({_M.format('signup')} / {_M.format('view')} - 1) * 100, 6) AS glean_cost_pct FROM summary")
 def condition_deltas(spark, sf):
-    out = stats.condition_deltas(stats.condition_summary(_calls(spark, sf)), "view", "click", "purchase")
+    out = stats.condition_deltas(stats.condition_summary(_calls(spark, sf)), "view", "click", "signup")
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
@@ -453,6 +524,38 @@ def retrieve_local(spark, sf):
     return retrieval.local(views.graph_nodes(spark, sf), views.graph_edges(spark, sf), ["supplier", "000000001", "part"], 20)
 
 
+@query(
+    "retrieve_communities",
+    f"""WITH RECURSIVE {_COMMUNITY}, hit AS (SELECT community, count(*) AS matched FROM edges JOIN spreading ON src_id = id WHERE len(list_intersect(string_split_regex(lower(label || ' ' || keywords), '[^\\p{{L}}\\p{{N}}]+'), {_WORDS})) > 0 GROUP BY ALL),
+c AS (SELECT community, count(*) AS nodes FROM spreading GROUP BY ALL), e AS (SELECT community, count(*) AS edges, round(sum(weight), 6) AS weight FROM edges JOIN spreading ON src_id = id GROUP BY ALL)
+SELECT 'community:' || community AS item, (row_number() OVER (ORDER BY matched DESC, weight DESC, community))::INT AS rank, nodes, edges, weight FROM hit JOIN c USING (community) JOIN e USING (community) ORDER BY rank LIMIT 10""",
+)
+def retrieve_communities(spark, sf):
+    return retrieval.global_communities(views.graph_edges(spark, sf), WORDS, 10)
+
+
+@query(
+    "retrieve_vector_context",
+    f"""WITH {_SCORED}, near AS (SELECT 'supplier:' || vec_id AS id, score FROM scored ORDER BY round(score, 9) DESC, vec_id LIMIT 5), {GRAPH}, linked AS (SELECT src_id AS id, tgt_id AS near_id FROM edges UNION SELECT tgt_id, src_id FROM edges)
+SELECT id, 0 AS hop, round(score, 6) AS score FROM near UNION ALL SELECT near_id, 1, round(max(score), 6) FROM linked JOIN near USING (id) WHERE near_id NOT IN (SELECT id FROM near) GROUP BY near_id""",
+)
+def retrieve_vector_context(spark, sf):
+    held = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("supplier:"), F.col("vec_id").cast("string")).alias("id"), "embedding")
+    out = retrieval.vector_context(held, views.graph_edges(spark, sf), QUERY, 5, "vec_id", "id")
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "retrieve_cited",
+    f"WITH {_SCORED}, top AS (SELECT * FROM scored WHERE label % 2 = 0 ORDER BY round(score, 9) DESC, vec_id LIMIT 20) SELECT 'chunk:' || t.vec_id AS item, (row_number() OVER (ORDER BY round(t.score, 9) DESC, t.vec_id))::INT AS rank, d.source || '.pdf' AS source_path, (d.doc_id % 9)::INT AS chunk_idx FROM top t LEFT JOIN documents d ON d.doc_id = t.vec_id",
+)
+def retrieve_cited(spark, sf):
+    """Chunks of books alone, each with the file and the place it is from."""
+    held = table(spark, sf, "embeddings").withColumn("source_type", F.when(F.col("label") % 2 == 0, "book").otherwise("note"))
+    chunks = table(spark, sf, "documents").select(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string")).alias("item"), F.concat("source", F.lit(".pdf")).alias("source_path"), (F.col("doc_id") % 9).cast("int").alias("chunk_idx"))
+    return retrieval.cited(retrieval.naive(retrieval.of_sources(held, ["book"]), QUERY, 20), chunks)
+
+
 @query("retrieve_global", f"WITH {_EDGE_DEGREE}, {_GLOBAL} SELECT 'edge:' || rel_id AS item, rank FROM global_top WHERE rank <= 20")
 def retrieve_global(spark, sf):
     return retrieval.global_(views.graph_edges(spark, sf), WORDS, 20)
@@ -464,14 +567,20 @@ SELECT item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP
 _FUSED = _FUSED.replace("scored AS (SELECT vec_id", "scored_vectors AS (SELECT vec_id")
 
 
+def _graph_lists(spark, sf):
+    """Local and global over one edge table."""
+    edges = staged(views.graph_edges(spark, sf), "edges")
+    return retrieval.local(views.graph_nodes(spark, sf), edges, ["supplier", "000000001", "part"], 20), retrieval.global_(edges, WORDS, 20)
+
+
 @query("retrieve_hybrid", f"WITH {_FUSED.replace('{more}', '')}")
 def retrieve_hybrid(spark, sf):
-    return retrieval.fuse(retrieve_local(spark, sf), retrieve_global(spark, sf), k=20)
+    return retrieval.fuse(*_graph_lists(spark, sf), k=20)
 
 
 @query("retrieve_mix", f"WITH {_FUSED.replace('{more}', "UNION ALL SELECT 'chunk:' || vec_id, rank FROM near WHERE rank <= 20")}")
 def retrieve_mix(spark, sf):
-    return retrieval.fuse(retrieve_local(spark, sf), retrieve_global(spark, sf), retrieve_naive(spark, sf), k=20)
+    return retrieval.fuse(*_graph_lists(spark, sf), retrieve_naive(spark, sf), k=20)
 
 
 @query("query_modes", "SELECT * FROM (VALUES " + ", ".join(f"('{m}')" for m in P.MODES) + ") AS t(mode)")
@@ -524,7 +633,7 @@ def question_prompt(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", retrieval.question_prompt(F.col("text"), F.lit("CTX")).alias("prompt"))
 
 
-@query("ndjson_chunks")
+@query("ndjson_chunks", """SELECT conv_id, turn, '{"model":"mix","message":{"role":"assistant","content":' || to_json(text) || '},"done":' || (role = 'assistant')::VARCHAR || '}' AS line FROM conversations""")
 def ndjson_chunks(spark, sf):
     turns = table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", files.ndjson("mix", F.col("text"), F.col("role") == "assistant").alias("line"))

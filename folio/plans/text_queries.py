@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from folio.functions import patterns as P
 from folio.functions.text import book_id, preview, stem, ustrip
 from folio.operators import chunking, classify, dedup, inspect, nodes
 from folio.plans.views import DOCS, documents, quoted
-from folio.session import table
+from folio.session import shared_dir, table
 from folio.sources import files
 
 QUERIES: dict = {}
@@ -269,12 +271,17 @@ def tier_summary(spark, sf):
 
 @query("insert_counts", f"{_NODES} SELECT kind, tier, count(*) AS n FROM all_nodes GROUP BY kind, tier")
 def insert_counts(spark, sf):
-    return nodes.build_nodes(_given_chunks(spark, sf)).groupBy("kind", "tier").agg(F.count("*").alias("n"))
+    path = f"{shared_dir(spark)}/folio-nodes-{uuid.uuid4().hex}"
+    nodes.write_nodes(nodes.build_nodes(_given_chunks(spark, sf)), path)
+    return spark.read.parquet(path).groupBy("kind", "tier").agg(F.count("*").alias("n"))
 
 
 @query("checkpoint_roundtrip", "SELECT doc_id, i AS chunk_idx, substr(text, i * 1500 + 1, 1500) AS text FROM (SELECT *, unnest(range(greatest(1, ceil(length(text) / 1500)::INT)))::INT AS i FROM documents)")
 def checkpoint_roundtrip(spark, sf):
-    return dedup._saved(chunk_fixed(spark, sf), "checkpoint")
+    path = f"{shared_dir(spark)}/folio-chunks-{uuid.uuid4().hex}"
+    build = lambda: chunk_fixed(spark, sf)
+    files.checkpoint_or(spark, path, build)  # there is none yet: it is built and written
+    return files.read_checkpoint(spark, path, "doc_id long, chunk_idx int, text string")
 
 
 @query("html_text")
@@ -299,16 +306,18 @@ def shingle_counts(spark, sf):
 
 
 _PAIRS = """sets AS (
-  SELECT lower(text) AS t, CASE WHEN length(text) >= 5 THEN list_distinct(list_transform(range(1, length(text) - 3), lambda i: hash(substr(lower(text), i, 5)))) ELSE [] END AS s
-  FROM (SELECT DISTINCT ON (lower(text)) text FROM documents)
+  SELECT id, CASE WHEN length(text) >= 5 THEN list_distinct(list_transform(range(1, length(text) - 3), lambda i: hash(substr(lower(text), i, 5)))) ELSE [] END AS s
+  FROM (SELECT min(doc_id) AS id, min_by(text, doc_id) AS text FROM documents GROUP BY lower(text))
 ), near AS (
-  SELECT a.t AS ta, b.t AS tb, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n
-  FROM sets a JOIN sets b ON a.t < b.t AND len(a.s) >= 0.85 * len(b.s) AND len(b.s) >= 0.85 * len(a.s) AND len(a.s) > 0
+  SELECT a.id AS x, b.id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n
+  FROM sets a JOIN sets b ON a.id < b.id AND len(a.s) >= 0.85 * len(b.s) AND len(b.s) >= 0.85 * len(a.s) AND len(a.s) > 0
 ), pairs AS (
-  SELECT least(x.doc_id, y.doc_id) AS id_a, greatest(x.doc_id, y.doc_id) AS id_b, i / (n - i) AS jaccard
-  FROM near JOIN documents x ON lower(x.text) = ta JOIN documents y ON lower(y.text) = tb WHERE i >= 0.85 * (n - i)
-  UNION ALL SELECT x.doc_id, y.doc_id, 1.0 FROM documents x JOIN documents y ON lower(x.text) = lower(y.text) AND x.doc_id < y.doc_id
+  SELECT x AS id_a, y AS id_b, i / (n - i) AS jaccard FROM near WHERE i >= 0.85 * (n - i)
 )"""
+# a walk in order of ids over those that have a similar one before them; all others stay
+_KEPT = f"""{_PAIRS}, asked AS (SELECT id_b AS id, list(id_a) AS before FROM pairs GROUP BY id_b), gone AS (
+  SELECT unnest(list_reduce(list(struct_pack(id := id, before := before) ORDER BY id), lambda acc, x: CASE WHEN len(list_filter(x.before, lambda b: NOT list_contains(acc, b))) > 0 THEN list_append(acc, x.id) ELSE acc END, []::BIGINT[])) AS id FROM asked
+), kept AS (SELECT id FROM sets WHERE id NOT IN (SELECT id FROM gone))"""
 
 
 def _pairs(spark, sf):
@@ -320,17 +329,20 @@ def near_dup_pairs(spark, sf):
     return _pairs(spark, sf).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-# the greedy walk has no SQL form that is fast over the whole table; a test holds both against a plain loop
-@query("dedup_greedy")
+@query("text_classes", "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY lower(text)) AS class_id FROM documents")
+def text_classes(spark, sf):
+    return dedup.text_classes(table(spark, sf, "documents"))
+
+
+@query("dedup_greedy", f"WITH {_KEPT} SELECT id FROM kept")
 def dedup_greedy(spark, sf):
-    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return dedup.keep_first(ids, _pairs(spark, sf))
+    return dedup.greedy(table(spark, sf, "documents"))
 
 
-@query("dedup_stats")
+@query("dedup_stats", f"WITH {_KEPT} SELECT (SELECT count(*) FROM documents) AS n_in, count(*) AS n_kept, (SELECT count(*) FROM documents) - count(*) AS n_removed FROM kept")
 def dedup_stats(spark, sf):
-    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return dedup.dedup_stats(ids, dedup.keep_first(ids, _pairs(spark, sf)))
+    docs = table(spark, sf, "documents")
+    return dedup.dedup_stats(docs.select(F.col("doc_id").alias("id")), dedup.greedy(docs))
 
 
 @query("minhash_signatures")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Inputs below this are dealt to all cores where rows are costly; larger ones have files and row groups enough.
+SMALL_INPUT = 512 << 20
+_local_folders: dict[str, str] = {}
+
 
 def local_session(cores: str = "*", memory: str = "4g", partitions: int = 8) -> SparkSession:
     return (
@@ -17,5 +24,33 @@ def local_session(cores: str = "*", memory: str = "4g", partitions: int = 8) ->
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="folio-")
+    return _local_folders[app]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage that a lost executor can't undo."""
+    path = f"{shared_dir(df.sparkSession)}/folio-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in one row group is one task's work, however many cores there are: it is dealt to all of them. Large ones and streams stay as they are."""
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,9 +16,17 @@ CHUNKS = "chunk_id string, ref_doc_id string, source_path string, chunk_idx int,
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of all PDF and EPUB files below a folder, suffixes in any case."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[pP][dD][fF],[eE][pP][uU][bB]}").load(folder)
-    return raw.select("path", "content", "length").orderBy("path")
+    """(path, length) of all PDF and EPUB files below a folder, suffixes in any case, sorted; their contents are not read."""
+    return _binary(spark, folder).select("path", "length").orderBy("path")
+
+
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the same files, in no order."""
+    return _binary(spark, folder).select("path", "content")
+
+
+def _binary(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[pP][dD][fF],[eE][pP][uU][bB]}").load(folder)
 
 
 def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]) -> DataFrame:
@@ -80,7 +88,7 @@ def strip_tags(html):
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of all Markdown files below a folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
@@ -92,6 +100,35 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str = CHUNKS) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
+def checkpoint_or(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The checkpoint's chunks; where there is none, they are built and written first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        write_checkpoint(build(), path)
+    return read_checkpoint(spark, path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A summary table as lines of JSON; null fields are left out."""
+    report.write.mode("overwrite").json(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two tables of JSON lines in one folder."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """An exported graph, with the schemas it was written with."""
+    return spark.read.schema(nodes).json(f"{path}/nodes"), spark.read.schema(edges).json(f"{path}/edges")
+
+
 def read_json_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """A checkpoint that is one JSON array of chunks."""
     schema = "text string, source_path string, content_type string, metadata struct<has_code: boolean>, code_blocks array<string>"

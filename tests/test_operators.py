@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import random
+import statistics
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from folio.functions.text import stem, ustrip
-from folio.operators import chunking, dedup, graph, notes, tables
+from folio.functions.text import human_time, stem, ustrip
+from folio.operators import chunking, dedup, extract, graph, nodes, notes, stats, tables, vectors
 from folio.sources import config, files
 from folio.streaming import ingest
 
@@ -27,25 +29,45 @@ def _texts():
     return [*out, "", "abc", "ABC", "abcd", "same text here", "Same Text HERE"]
 
 
-def test_near_duplicates_and_greedy_walk(spark):
+def test_near_duplicates_and_greedy_walk(spark, monkeypatch):
     texts = _texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t.lower(), i)
+    assert {(r.id, r.class_id) for r in dedup.text_classes(docs).collect()} == {(i, first[t.lower()]) for i, t in enumerate(texts)}
     want = set()
-    for i, a in enumerate(texts):
-        for j in range(i + 1, len(texts)):
-            x, y = _shingles(a), _shingles(texts[j])
-            if a.lower() == texts[j].lower() or (x and y and len(x & y) >= 0.85 * len(x | y)):
+    for i in sorted(first.values()):
+        for j in sorted(first.values()):
+            x, y = _shingles(texts[i]), _shingles(texts[j])
+            if i < j and x and y and len(x & y) >= 0.85 * len(x | y):
                 want.add((i, j))
-    pairs = dedup.near_dup_pairs(docs)
-    assert {(r.id_a, r.id_b) for r in pairs.collect()} == want
+    monkeypatch.setattr(dedup, "BUCKET", 3)
+    assert {(r.id_a, r.id_b) for r in dedup.near_dup_pairs(docs).collect()} == want
     kept: list[int] = []
-    for j in range(len(texts)):
-        if not any((i, j) in want for i in kept):
+    for j, t in enumerate(texts):
+        if first[t.lower()] == j and not any((i, j) in want for i in kept):
             kept.append(j)
-    ids = docs.select(F.col("doc_id").alias("id"))
-    stays = dedup.keep_first(ids, pairs)
+    stays = dedup.greedy(docs)
     assert sorted(r.id for r in stays.collect()) == kept
-    assert dedup.dedup_stats(ids, stays).first().n_removed == len(texts) - len(kept)
+    assert dedup.dedup_stats(docs.select(F.col("doc_id").alias("id")), stays).first().n_removed == len(texts) - len(kept)
+
+
+def test_minhash_is_the_least_of_each_map(spark):
+    texts = ["some text here", "some text here!", "abc", "", "é🙂bcdé🙂bcd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = {r.id: r.s for r in dedup.shingle_sets(docs).collect()}
+    rng = np.random.default_rng(1)
+    a, b = [int(x) | 1 for x in rng.integers(1, 1 << 61, dedup.PERMS, dtype=np.uint64)], [int(x) for x in rng.integers(0, 1 << 61, dedup.PERMS, dtype=np.uint64)]
+    for r in dedup.minhash(docs).collect():
+        want = [min((((h % 2**64) * x + y) % 2**64) >> 1 for h in hashed[r.id]) for x, y in zip(a, b, strict=True)] if hashed[r.id] else []
+        assert (r.n, r.signature) == (len(hashed[r.id]), want)
+
+
+def test_first_of_each_text(spark):
+    rows = [(3, "a", None), (1, "a", 2), (2, None, 1), (5, None, 1), (4, "", 0)]
+    got = dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, x int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a", 2), (2, None, 1), (4, "", 0)]
 
 
 def test_shingles_of_any_signs(spark):
@@ -109,7 +131,7 @@ def test_files(spark, tmp_path):
             raise ValueError("broken")
         return content.decode()
 
-    out = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in files.extract(found, {"pdf": pdf}).collect()}
+    out = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in files.extract(files.contents(spark, str(tmp_path)), {"pdf": pdf}).collect()}
     assert out["d.pdf"] == ("text", None) and out["a.pdf"] == ("", "ValueError: broken") and out["b.EPUB"][0] == ""
 
 
@@ -138,3 +160,100 @@ def test_lsh_candidates_are_all_band_collisions(spark, monkeypatch):
     got = [tuple(r) for r in dedup.lsh_candidates(spark.createDataFrame(rows, "id long, n int, signature array<long>")).collect()]
     want = {(i, j) for i in bands for j in bands if i < j and any(x == y for x, y in zip(bands[i], bands[j], strict=True))}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rounding_is_that_of_the_binary_number(spark):
+    rng = random.Random(3)
+    values = [36.535, 0.125, 0.375, 2.675, 1.005, 0.0, 0.005, 0.015, 490.02, 1e-9, *(rng.randrange(100_000) / 1000 for _ in range(3000)), *(rng.random() * 500 for _ in range(1000))]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", stats.rounded(F.col("x")).alias("r")).collect()
+    assert [(r.x, r.r) for r in got if r.r != round(r.x, 2)] == []
+
+
+def test_summary_of_conditions(spark):
+    rng = random.Random(5)
+    rows = [(c, rng.choice([rng.random() * 9, 2.5, 7.0]), rng.randrange(99), rng.randrange(9), rng.randrange(5), c != "none" and rng.random() < 0.9) for c in ("a", "b", "none") for _ in range(rng.choice([40, 41]))]
+    calls = spark.createDataFrame(rows, "condition string, seconds double, gen_tokens int, entities int, relations int, ok boolean")
+    for r in stats.condition_summary(calls).collect():
+        good = [x for x in rows if x[0] == r.condition and x[5]]
+        s = sorted(x[1] for x in good)
+        assert (r.n, r.failures) == (len(s), sum(x[0] == r.condition for x in rows) - len(s))
+        if s:
+            assert (r.median_s, r.p90_s, r.min_s, r.max_s) == tuple(round(x, 2) for x in (statistics.median(s), s[int(len(s) * 0.9) - 1], s[0], s[-1]))
+            assert (r.median_tokens, r.median_entities, r.median_relations) == tuple(int(statistics.median(x[i] for x in good)) for i in (2, 3, 4)) and r.note is None
+        else:
+            assert r.note == "no successful calls" and r.median_s is None
+
+
+def test_human_time(spark):
+    got = spark.createDataFrame([(3600.0,), (47.9 * 3600,), (48.0 * 3600,), (86400 * 13.47,)], "s double").select(human_time(F.col("s")).alias("t")).collect()
+    assert [r.t for r in got] == ["1.0 hours", "47.9 hours", "2.0 days", "13.5 days"]
+
+
+def test_upsert_takes_the_latest_of_repeated_keys(spark):
+    kind = "k long, v string, at int"
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], kind)
+    new = spark.createDataFrame([(2, "x", 5), (2, "y", 3), (3, "z", 1), (3, "z", 1)], kind)
+    assert sorted(tuple(r) for r in tables.upsert(old, new, ["k"], "at").collect()) == [(1, "a", 0), (2, "x", 5), (3, "z", 1)]
+    assert tables.merge(old, new, ["k"], "at").count() == 3
+    assert tables.is_empty(tables.reset(old)).first().is_empty and not tables.is_empty(old).first().is_empty
+
+
+def test_gleaning_keeps_what_only_one_pass_found(spark):
+    kind = "id long, entities array<struct<name: string, type: string>>, relations array<struct<source: string, target: string, type: string>>"
+    one = spark.createDataFrame([(1, [("A", "t")], []), (2, [("B", "t")], [])], kind)
+    two = spark.createDataFrame([(1, [("A", "t"), ("C", "t")], [("A", "C", "r")]), (3, [("D", "t")], [])], kind)
+    got = {r.id: ([e.name for e in r.entities], len(r.relations)) for r in extract.glean(one, two).collect()}
+    assert got == {1: (["A", "C"], 1), 2: (["B"], 0), 3: (["D"], 0)}
+    assert extract.no_triples(one.select("id")).count() == 0
+
+
+def test_nearest_vectors_of_each_query(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_NUMBERS", 9)  # several blocks
+    rng = np.random.default_rng(1)
+    held = {i: rng.normal(size=4).round(1).tolist() for i in range(30)} | {40: None, 41: [0.0] * 4, 42: [1.0, 2.0]} | {50: [1.0, 0.0, 0.0, 0.0], 51: [2.0, 0.0, 0.0, 0.0]}
+    asked = {1: [1.0, 0.0, 0.0, 0.0], 2: [0.3, -1.0, 2.0, 0.1], 3: [2.0, 1.0], 4: [0.0] * 4, 5: [0.1, 0.2, 0.3, 0.4]}
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = set()
+    for q, v in asked.items():
+        scored = sorted((-round(cos(x, v), 9), i) for i, x in held.items() if x and len(x) == len(v) and any(x) and any(v))
+        want |= {(q, i, r) for r, (_, i) in enumerate(scored[:3], 1)}
+    got = vectors.top_k_each(spark.createDataFrame(list(held.items()), "vec_id long, embedding array<float>"), spark.createDataFrame(list(asked.items()), "query_id long, q array<double>"), 3)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_chunks_that_are_alike_are_merged(spark):
+    chunks = spark.createDataFrame([("a", i, f"t{i}") for i in range(4)], "ref string, chunk_idx int, text string")
+    held = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [1.0, 0.1]), ("a", 2, [0.0, 1.0]), ("a", 3, [0.1, 1.0])], "ref string, chunk_idx int, embedding array<float>")
+    assert sorted((r.chunk_idx, r.text) for r in chunking.merge_similar(chunks, held).collect()) == [(0, "t0\nt1"), (2, "t2\nt3")]
+
+
+def test_chapters_make_a_book(spark):
+    rows = [("b", 2, "two"), ("b", 1, "one"), ("b", 3, "  "), ("c", 1, "")]
+    assert [tuple(r) for r in files.join_chapters(spark.createDataFrame(rows, "path string, ord int, text string")).collect()] == [("b", "one\n\ntwo")]
+
+
+def test_checkpoints_reports_and_graphs(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([("c1", "b1", "p", 0, "math", "t", [], False)], files.CHUNKS)
+
+    for _ in range(2):
+        assert files.checkpoint_or(spark, str(tmp_path / "cp"), build).first().chunk_id == "c1"
+    assert len(calls) == 1
+    (tmp_path / "old.json").write_text(json.dumps([{"text": "t", "source_path": "p", "content_type": "math", "metadata": {"has_code": True}, "code_blocks": ["x"]}, {"text": "u", "source_path": "p", "content_type": "math", "code_blocks": []}]))
+    got = files.read_json_checkpoint(spark, str(tmp_path / "old.json")).collect()
+    assert [(r.text, r.metadata and r.metadata.has_code, r.code_blocks) for r in got] == [("t", True, ["x"]), ("u", None, [])]
+    files.write_report(spark.createDataFrame([("a", 1)], "name string, n int"), str(tmp_path / "report"))
+    assert [json.loads(line) for f in (tmp_path / "report").glob("part*") for line in f.read_text().splitlines()] == [{"name": "a", "n": 1}]
+
+
+def test_notes_and_nodes_from_files(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.md").write_text("# Concept A\n[[B]]\n")
+    assert [r.title for r in notes.parse(files.read_notes(spark, str(tmp_path / "n"))).collect()] == ["Concept A"]
+    rows = lambda kind, text: spark.createDataFrame([(f"{kind}1", text, kind)], "node_id string, text string, source_type string")
+    nodes.write_nodes(rows("book", "x").unionByName(rows("note", "y")), str(tmp_path / "nodes"))
+    nodes.write_nodes(rows("note", "z"), str(tmp_path / "nodes"))  # only its own namespace is written anew
+    assert sorted((r.source_type, r.text) for r in spark.read.parquet(str(tmp_path / "nodes")).collect()) == [("book", "x"), ("note", "z")]
