@@ -1,35 +1,20 @@
-"""Shared folder, staged tables and vectorised word hashing for the operators of this subpackage."""
+"""Bounded broadcasts and vectorised word hashing for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.session import staged
+
+__all__ = ["mix", "shingle_sets", "small", "staged", "text_blocks", "words", "grams", "WORD"]
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Small tables are broadcast only up to this many rows, counted first.
 BROADCAST_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; where it is unset (tests), a local one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage that a lost executor can't undo."""
-    path = f"{shared_dir(df.sparkSession)}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame) -> DataFrame:
     """Mark a counted, small table for broadcast; a larger one is joined as any other."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
