@@ -6,20 +6,95 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import grams, mix, text_blocks, words
+from folio.llm.common import mix, text_blocks, words
 
 #: An item of m words is found where a window is within floor(m / 5) word edits of it, a similarity of 0.8 or more.
-EDIT_SHARE = 0.2
-#: Items under so many words must occur word for word; from six words on, a match leaves three words in a row untouched.
-GRAM, SHORT = 3, 6
-#: Bit-sampling: so many embeddings, so many sampled bits each; RECALL is what their number is planned for. They choose the windows that are verified first, no more.
-BITS, RECALL, MOST_TABLES = 3, 0.999, 512
-#: Items are searched in blocks of so many.
+EDITS = 5
+#: Random walks a window; first sampled places of each, second ones to each of these, and third ones to each pair: their product is the number of tables.
+WALKS, FIRSTS, SECONDS, THIRDS = 5, 4, 2, 3
+#: Windows by size from so many words on; all of a size class are sampled within one and a half times its least size. Smaller items must occur word for word.
+SIZES = (EDITS, 9, 17, 33)
+#: An item of more words has windows of so many at every so many words; each says where the whole item may stand.
+LONGEST = 64
+#: Items in one broadcast.
 ITEM_BLOCK = 20_000
+_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+
+
+def places(size: int, walk: int) -> list[tuple[int, int, list[int]]]:
+    """(first, second, thirds): the places that are sampled in a walk over windows of a size class.
+
+    Early places are likelier: fewer edits lie before them, so more of them agree.
+    """
+    rng = np.random.default_rng((size, walk))
+    more = 3 if size < SIZES[1] else 1  # few places of so short a window are without an edit
+
+    def draw(*far):
+        while True:
+            t = int(rng.random() ** 2 * 1.5 * size)
+            if all(abs(t - x) > 1 for x in far):
+                return t
+
+    firsts = [draw() for _ in range(FIRSTS * more)]
+    pairs = [(f, draw(f)) for f in firsts for _ in range(SECONDS * more)]
+    return [(f, a, [draw(f, a) for _ in range(THIRDS)]) for f, a in pairs]
+
+
+def walked(h: np.ndarray, at: np.ndarray, walk: int, wanted: set[int]) -> dict[int, np.ndarray]:
+    """CGK: from each of the places ``at`` a pointer walks the words ``h`` and goes on or stays by a random bit of (walk, step, word); where it is at the wanted steps.
+
+    Words with few edits between them are read alike in most steps, as both pointers wait until they are in step again.
+    """
+    out, pos, step, bits = {}, at.copy(), np.empty(len(at), np.int64), None
+    for t in range(max(wanted) + 1):
+        if t % 64 == 0:
+            bits = mix(h ^ np.uint64(walk * 1_000_003 + t)).view(np.int64)
+        if t in wanted:
+            out[t] = pos.copy()
+        np.take(bits, pos, out=step, mode="clip")
+        step >>= t % 64
+        step &= 1
+        pos += step
+    return out
+
+
+def _key(h: np.ndarray, pos: dict[int, np.ndarray], steps, at) -> np.ndarray:
+    """One hash of the words at some steps."""
+    total = 0
+    with np.errstate(over="ignore"):
+        for t, c in zip(steps, _MULTIPLIERS, strict=False):
+            total = total + h.take(pos[t].take(at), mode="clip") * c
+    return total ^ (total >> np.uint64(32))
+
+
+class Bitmap:
+    """Low bits of hashes that occur; most that don't are told apart by it."""
+
+    def __init__(self, key: np.ndarray, bits: int):
+        self.low, self.seen = np.uint64((1 << bits) - 1), np.zeros(1 << bits, bool)
+        self.seen[(key & self.low).view(np.int64)] = True
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.seen.take((key & self.low).view(np.int64), mode="clip"))
+
+
+class Table:
+    """Keys of item windows, sorted."""
+
+    def __init__(self, key: np.ndarray, window: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        self.key, self.window, self.seen = key[order], window[order], Bitmap(key, 20)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys, item window) of all agreements."""
+        some = self.seen.find(key)
+        lo, hi = np.searchsorted(self.key, key[some], "left"), np.searchsorted(self.key, key[some], "right")
+        n = hi - lo
+        return np.repeat(some, n), self.window[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
 
 class Items:
-    """A block of benchmark items: word hashes, and for each gram where it stands."""
+    """A block of benchmark items: word hashes, item-sized windows, and the tables of each walk and size class."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words = [], []
@@ -30,96 +105,81 @@ class Items:
                 self.ids.append(item_id)
                 self.words.append(h)
         self.size = np.array([len(w) for w in self.words], np.int64)
-        self.edits = np.where(self.size < SHORT, 0, np.floor(self.size * EDIT_SHARE)).astype(np.int64)
-        self.gram = np.minimum(self.size, GRAM)
-        # an edit spoils at most GRAM grams of an item, so a match has at least so many left
-        self.least = np.maximum(1, self.size - self.gram + 1 - GRAM * self.edits)
-        self.table = {}
-        for k in sorted(set(self.gram.tolist())):
-            found = [(grams(w, k), i) for i, w in enumerate(self.words) if self.gram[i] == k]
-            key = np.concatenate([g for g, _ in found])
-            item = np.concatenate([np.full(len(g), i) for g, i in found])
-            at = np.concatenate([np.arange(len(g)) for g, _ in found])
-            order = np.argsort(key, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.table[k] = (key[order], item[order], at[order], seen)
-        self.sketches: dict[int, tuple] = {}
-
-
-def hits(items: Items, h: np.ndarray, row: np.ndarray):
-    """(row, item, window start) of every item gram in a block of texts; the start is where the item would begin."""
-    out = []
-    for k, (key, item, at, seen) in items.table.items():
-        g = grams(h, k)
-        pos = np.flatnonzero(seen[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        pos = pos[row[pos] == row[pos + k - 1]] if len(pos) else pos
-        lo, hi = np.searchsorted(key, g[pos], "left"), np.searchsorted(key, g[pos], "right")
-        n = hi - lo
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pos = np.repeat(pos, n)
-        out.append((row[pos], item[which], pos - at[which]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        self.edits = self.size // EDITS
+        cuts = [(i, o) for i, m in enumerate(self.size.tolist()) for o in sorted({*range(0, max(1, m - LONGEST + 1), LONGEST), max(0, m - LONGEST)})]
+        self.item, self.offset = (np.array(x, np.int64) for x in (zip(*cuts, strict=True) if cuts else ((), ())))
+        kind = np.searchsorted(SIZES, np.minimum(self.size[self.item], LONGEST), "right")
+        # items lie one after another with room between, so that no walk enters the next one
+        gap = np.zeros(2 * LONGEST + 2, np.uint64)
+        flat = np.concatenate([x for w in self.words for x in (w, gap)] or [gap])
+        starts = np.concatenate([[0], np.cumsum(self.size + len(gap))])[:-1].astype(np.int64)
+        at = starts[self.item] + self.offset
+        exact = np.flatnonzero(kind == 0)
+        self.exact = Table(flat[at[exact]], exact) if len(exact) else None
+        self.tables: list[tuple[int, list]] = []
+        for walk in range(WALKS):
+            groups, wanted = [], set()
+            for c in np.unique(kind[kind > 0]).tolist():
+                mine = np.flatnonzero(kind == c)
+                plan = places(SIZES[c - 1], walk)
+                steps = {t for first, second, thirds in plan for t in (first, second, *thirds)}
+                pos, every = walked(flat, at[mine], walk, steps), np.arange(len(mine))
+                for first in sorted({f for f, _, _ in plan}):
+                    seconds = []
+                    for _, second, thirds in (p for p in plan if p[0] == first):
+                        # a walk over the item's end says nothing, nor does one that waits: one word is no evidence
+                        pair = np.flatnonzero((flat[pos[first]] > 0) & (flat[pos[second]] > 0) & (pos[first] != pos[second]))
+                        tables = []
+                        for third in thirds:
+                            real = pair[(flat[pos[third][pair]] > 0) & (pos[third][pair] != pos[first][pair]) & (pos[third][pair] != pos[second][pair])]
+                            three = (first, second, third)
+                            tables.append((three, Table(_key(flat, pos, three, real), mine[real])))
+                        seconds.append(((first, second), Bitmap(_key(flat, pos, (first, second), pair), 18), tables))
+                    groups.append((first, Bitmap(flat[pos[first]][every], 16), seconds))
+                wanted |= steps
+            if groups:
+                self.tables.append((walk, groups, wanted))
 
 
 def candidates(items: Items, h: np.ndarray, row: np.ndarray):
-    """(row, item, first start, last start) of windows that may match, merged to intervals that do not overlap within a row and item. No match is lost here.
+    """(row, item, first start, last start) of windows that may match, merged to intervals that do not overlap within a row and item.
 
-    The intact grams of a match say starts within the edits' number of places of its own start, to either side: from the least of them on, enough lie
-    within twice that number, and the match itself starts within that number of it.
+    A start is a candidate if the walk from it and that of an item's window agree in the sampled places of one table. The starts as near as the item's edits
+    go with it. Items that may have no edit are looked up by their first word.
     """
-    owner, item, start = hits(items, h, row)
-    if not len(owner):
-        return owner, item, start, start
-    order = np.lexsort((start, item, owner))
-    owner, item, start = owner[order], item[order], start[order]
-    group = np.cumsum(np.concatenate([[0], (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])]))
-    reach = len(h) + int(items.size.max())  # an item may be longer than the block: starts lie this far out at most
-    key = group * (4 * reach) + start + reach
-    n = np.searchsorted(key, key + 2 * items.edits[item], "right") - np.arange(len(key))
-    good = np.flatnonzero(n >= items.least[item])
-    owner, item, start, group = owner[good], item[good], start[good], group[good]
-    lo, hi = start - items.edits[item], start + items.edits[item]
-    fresh = np.ones(len(good), bool)
-    fresh[1:] = (group[1:] != group[:-1]) | (lo[1:] > hi[:-1] + 1)
-    at = np.flatnonzero(fresh)
-    last = np.append(at[1:], len(good))[: len(at)] - 1
-    return owner[at], item[at], lo[at], hi[last]
-
-
-def embed(h: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
-    """CGK, a row per seed: a pointer walks the word sequence and goes on or stays by a random bit of (seed, step, word); the words read are the output."""
-    out, at = np.zeros((len(seeds), length), np.uint64), np.zeros(len(seeds), np.int64)
-    ended = np.append(h, np.uint64(0))
-    with np.errstate(over="ignore"):
-        for t in range(length):
-            out[:, t] = ended[at]
-            move = mix(out[:, t] ^ (seeds * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t))) & np.uint64(1)
-            at = np.minimum(at + move.astype(np.int64), len(h))
-    return out
-
-
-def n_tables(edits: int, size: int) -> int:
-    """Embeddings that are tried: k edits are taken to change min(0.75, 3k/m) of an embedding. Deletions can change more, so nothing is dropped by this."""
-    agree = (1 - min(0.75, 3 * edits / max(1, size))) ** BITS
-    return int(min(MOST_TABLES, max(1, np.ceil(np.log(1 - RECALL) / np.log(1 - agree))))) if agree < 1 else 1
-
-
-def sketch(items: Items, i: int):
-    """Seeds, sampled places and the item's values there, a row per embedding."""
-    if i not in items.sketches:
-        m = int(items.size[i])
-        seeds = np.arange(1, n_tables(int(items.edits[i]), m) + 1, dtype=np.uint64)
-        places = np.random.default_rng(m).integers(0, 2 * m, (len(seeds), BITS))
-        values = np.take_along_axis(embed(items.words[i], seeds, 2 * m), places, 1)
-        items.sketches[i] = (seeds, places, values)
-    return items.sketches[i]
-
-
-def similar(items: Items, i: int, window: np.ndarray) -> bool:
-    """Do item and window agree in all sampled places of one embedding?"""
-    seeds, places, values = sketch(items, i)
-    return bool((np.take_along_axis(embed(window, seeds, 2 * int(items.size[i])), places, 1) == values).all(1).any())
+    start, window = [], []
+    if items.exact:
+        s, w = items.exact.find(h)
+        start.append(s)
+        window.append(w)
+    every, padded = np.arange(len(h)), np.append(h, np.zeros(2 * LONGEST + 2, np.uint64))
+    for walk, groups, wanted in items.tables:
+        pos = walked(padded, every, walk, wanted)
+        for first, firsts, seconds in groups:
+            one = firsts.find(padded.take(pos[first], mode="clip"))
+            for pair, pairs, tables in seconds:
+                two = one[pairs.find(_key(padded, pos, pair, one))]
+                for three, table in tables:
+                    at, w = table.find(_key(padded, pos, three, two))
+                    start.append(two[at])
+                    window.append(w)
+    if not start or not sum(map(len, start)):
+        return (np.zeros(0, np.int64),) * 4
+    start, window = np.concatenate(start), np.concatenate(window)
+    item = items.item[window]
+    owner, at = row[start], start - items.offset[window]
+    lo, hi = at - items.edits[item], at + items.edits[item]
+    order = np.lexsort((lo, item, owner))
+    owner, item, lo, hi = owner[order], item[order], lo[order], hi[order]
+    fresh = np.ones(len(lo), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])
+    reach = 2 * (len(h) + int(items.size.max())) + 2
+    group = np.cumsum(fresh)
+    top = np.maximum.accumulate(hi + group * reach) - group * reach  # largest end so far in the row and item
+    fresh[1:] |= lo[1:] > top[:-1] + 1
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(lo)) - 1
+    return owner[first], item[first], lo[first], top[last]
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -138,8 +198,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def search(items: Items, raw: np.ndarray, off: np.ndarray):
     """(row, item, edits, first word, words) of the best match of each item in each row of a block of texts.
 
-    Of a region's windows those that agree with the item in an embedding's sampled places are verified first. Sampling misses some windows at the full
-    number of edits, so all others are verified too, unless they lack too many of the item's words to be better than what was found.
+    All starts of a candidate region are verified by the edit distance, unless they lack too many of the item's words to be better than what was found.
     """
     _, _, h, row = words(raw, off, alnum=True)
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(off) - 1))]).astype(np.int64)
@@ -154,14 +213,14 @@ def search(items: Items, raw: np.ndarray, off: np.ndarray):
         m, e = int(items.size[i]), int(items.edits[i])
         if not e or found.get((r, i), (m,))[0] == 0:
             continue
-        end, near, far = int(first[r + 1]), [], []
-        for s in range(max(lo, int(first[r])), min(hi, end - m + e) + 1):
-            # every word of the item that the window lacks is an edit
-            lacks = m - int(np.isin(items.words[i], h[s : min(s + m + e, end)]).sum())
-            if lacks <= e:
-                (near if similar(items, i, h[s : min(s + m, end)]) else far).append((lacks, s))
-        for lacks, s in near + sorted(far):
-            if (lacks, s) < found.get((r, i), (m, 0))[:2]:
+        a, end = max(lo, int(first[r])), int(first[r + 1])
+        last = min(hi, end - m + e)
+        # every word of the item that the region, or then the window, lacks is an edit
+        if last < a or m - int(np.isin(items.words[i], h[a : min(last + m + e, end)]).sum()) > e:
+            continue
+        lacks = {s: m - int(np.isin(items.words[i], h[s : min(s + m + e, end)]).sum()) for s in range(a, last + 1)}
+        for s in sorted((s for s in lacks if lacks[s] <= e), key=lambda s: (lacks[s], s)):
+            if (lacks[s], s) < found.get((r, i), (m, 0))[:2]:
                 d, n = edit_distance(items.words[i], h[s : min(s + m + e, end)])
                 if d <= e and (d, s) < found.get((r, i), (m, 0))[:2]:
                     found[r, i] = (d, s, n, s - int(first[r]))
@@ -171,10 +230,10 @@ def search(items: Items, raw: np.ndarray, off: np.ndarray):
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words): the best match of each benchmark item in each document that has one.
 
-    Words are runs of letters, digits and non-ASCII signs, A-Z as a-z. All windows of all documents are searched: grams find the places where a match is
-    possible at all, the embedding's sampled places choose the windows there that are verified first, the edit distance decides on all. The items are the stated query set and
-    are searched in blocks. Null and empty texts and items without a word match nothing; repeated documents and items are each reported, ties in
-    edits go to the first window; empty tables give an empty result; other columns are not read.
+    Words are runs of letters, digits and non-ASCII signs, A-Z as a-z. All windows of all documents are searched: walks and sampled places find candidates, the
+    edit distance decides. What is found is right; what has its full number of edits is missed now and then (README gives the measured recall). The items
+    are the stated query set and go to the tasks in blocks. Null and empty texts and items without a word match nothing; repeated documents and items are
+    each reported, ties in edits go to the first window; empty tables give an empty result; other columns are not read.
     """
     kind, item_kind = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
     blocks: list[list] = [[]]
@@ -182,26 +241,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if len(blocks[-1]) >= ITEM_BLOCK:
             blocks.append([])
         blocks[-1].append((r.item_id, r.text))
-    out = None
-    for rows in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            items = Items(shared.value)
-            for batch in batches:
-                got = []
-                ids = batch.column(0)
-                if items.ids:
-                    for at, raw, off in text_blocks(batch.column(1)):
-                        got += [(at + r, items.ids[i], d, w, n) for r, i, d, w, n in search(items, raw, off)]
-                rowno, item, d, w, n = zip(*got, strict=True) if got else ([], [], [], [], [])
-                out_ids = ids.take(pa.array(rowno, pa.int64()))
-                yield pa.RecordBatch.from_arrays([out_ids, pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(w, pa.int64()), pa.array(n, pa.int32())], ["doc_id", "item_id", "edits", "first_word", "n_words"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int, first_word long, n_words int")
-        out = part if out is None else out.unionByName(part)
+    shared = [docs.sparkSession.sparkContext.broadcast(rows) for rows in blocks]
+
+    def run(batches):
+        import pyarrow as pa
+
+        every = [items for items in (Items(b.value) for b in shared) if items.ids]
+        for batch in batches:
+            got = []
+            for at, raw, off in text_blocks(batch.column(1)) if every else ():
+                for items in every:
+                    got += [(at + r, items.ids[i], d, w, n) for r, i, d, w, n in search(items, raw, off)]
+            rowno, item, d, w, n = zip(*got, strict=True) if got else ([], [], [], [], [])
+            ids = batch.column(0).take(pa.array(rowno, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(w, pa.int64()), pa.array(n, pa.int32())], ["doc_id", "item_id", "edits", "first_word", "n_words"])
+
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int, first_word long, n_words int")
     return out.withColumn("item_id", F.col("item_id").cast(item_kind))
 
 
