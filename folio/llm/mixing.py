@@ -13,6 +13,8 @@ BLOCKS = 4096
 PASSES = 3
 #: A uniform number is made of this many hash bits.
 BITS = 53
+#: Buckets of each output shard in which its copies are ordered.
+PLACES = 1024
 #: Documents that are added one by one where whole blocks and the last block's documents leave words missing.
 TOP_UPS = 3
 
@@ -73,9 +75,27 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), "quotas")
 
 
-def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: int = PASSES, carry: list[str] | None = None) -> DataFrame:
+def local_shuffle(copies: DataFrame, seed: int) -> DataFrame:
+    """(_id, _h, copy, shard) -> (_id, slots): where each copy comes in its shard, in hashed order, from 0 without gaps.
+
+    A shard's copies fall into buckets by the leading bits of their hashes; the buckets' counts add up to offsets, and each bucket is ordered for itself.
+    """
+    mixed = copies.withColumn("_o", F.xxhash64(F.lit(seed), "shard", "_h", "copy")).withColumn("_bucket", F.floor(F.shiftrightunsigned("_o", 1) / (2**63 // PLACES)).cast("int"))
+    mixed = staged(mixed, "copies")
+    upto = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = mixed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("shard", "_bucket").orderBy(F.shiftrightunsigned("_o", 1), "_o", "_id", "copy")
+    placed = mixed.withColumn("_k", F.row_number().over(inside) - 1).join(small(staged(offsets, "offsets")), ["shard", "_bucket"])
+    slot = F.struct("copy", (F.col("_offset") + F.col("_k")).alias("slot"))
+    return placed.groupBy("_id").agg(F.transform(F.sort_array(F.collect_list(slot)), lambda x: x["slot"]).alias("slots"))  # a document has few copies
+
+
+def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: int = PASSES, carry: list[str] | None = None, order: bool = False) -> DataFrame:
     """Columns of ``docs`` (those in ``carry``, or all) plus ``size``, ``source_size``, ``target``, ``taken`` and ``shards`` (the output shard of each copy taken).
 
+    With ``order`` also ``slots``: the shards are shuffled locally, and each copy has a place in its shard.
+
     A source's documents fall into blocks by hash and the blocks into a hashed order. The source gives whole passes over its blocks and then the first
     blocks of another pass up to its target; in the block where the target falls documents are taken in hashed order, and last, one after another, up to
     TOP_UPS documents of the source that are in fewer than ``passes`` times and come nearest to what is missing. The splitting tree deals each source's block draws to the output shards; draws are used in order, so
@@ -83,7 +103,7 @@ def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: in
     no words are taken like others, equal rows are dealt each (which of them is taken twice is left open, they being equal), an empty table gives an
     empty result, and clashing columns of ``docs`` are replaced.
     """
-    made = ("size", "source_size", "target", "taken", "shards")
+    made = ("size", "source_size", "target", "taken", "shards", "slots")
     keep = [c for c in carry or docs.columns if c not in made]
     body = [c for c in keep if c != "source"]
     sized = docs.select("source", F.struct(*body).alias("_row"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
@@ -139,9 +159,14 @@ def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: in
     place = lambda e: F.least(e, "whole") * F.col("n_used") + F.when(e >= F.col("whole"), F.least("turn", "edge")).otherwise(F.col("turn"))
     shard_of = lambda e: F.size(F.filter("ends", lambda end: end <= place(e)))
     shards = F.when(copies > 0, F.transform(number, shard_of)).otherwise(F.array().cast("array<int>"))
-    return rows.select(*cols, (copies * F.col("size")).alias("taken"), shards.alias("shards"))
+    out = rows.withColumn("taken", copies * F.col("size")).withColumn("shards", shards)
+    if not order:
+        return out.select(*cols, "taken", "shards")
+    out = staged(out, "taken")
+    slots = local_shuffle(out.select("_id", "_h", F.posexplode("shards").alias("copy", "shard")), seed + 2)
+    return out.join(slots, "_id", "left").select(*cols, "taken", "shards", F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
 
 
 def op9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_documents(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mix_documents(docs, carry=["doc_id"], order=True).select("doc_id", "size", "source_size", "target", "taken", "shards", "slots")
