@@ -11,13 +11,25 @@ from folio.session import staged
 __all__ = ["mix", "shingle_sets", "small", "staged", "text_blocks", "words", "grams", "WORD"]
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Small tables are broadcast only up to this many rows, counted first.
+#: Small tables are broadcast only up to this many rows and list elements, counted first.
 BROADCAST_ROWS = 20_000
+#: Rows of one key that go to one task of a join with one row a key.
+SPLIT = 4096
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Mark a counted, small table for broadcast; a larger one is joined as any other."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """Mark a staged table of few rows (and few elements in its column of lists) for broadcast; a larger one is joined as any other."""
+    size = F.count("*") + (F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_ROWS else df
+
+
+def with_each(rows: DataFrame, per: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Join many rows a key with one row a key. ``count`` says how many rows a key has: those of very many are dealt to several tasks, and the one row to each."""
+    parts = F.ceil(F.col(count) / SPLIT)
+    hot = small(staged(per.filter(F.col(count) > SPLIT).select(key, parts.alias("_parts")), "hot"))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), "_parts")).cast("long")).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(count) > SPLIT, parts - 1).otherwise(F.lit(0)).cast("long")))
+    return dealt.join(per.withColumn("_part", copies), [key, "_part"], how).drop("_part")
 
 
 # --- vectorised hashing of the words of an Arrow batch -----------------------------------------------------------

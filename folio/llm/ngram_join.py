@@ -7,7 +7,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import mix, shingle_sets, small, staged, text_blocks
+from folio.llm.common import mix, shingle_sets, small, staged, text_blocks, with_each
 from folio.llm.components import components
 
 #: A shingle of more documents than this is frequent: two frequent shingles together are one signature.
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, t: in
         a = group.column("center")[0].as_py()
         return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    texts = docs.select(row_key(docs).alias("row"), "text").join(small(need), "row").select("text", "cls", "to")
+    texts = docs.select(row_key(docs).alias("row"), "text").join(small(need, "to"), "row").select("text", "cls", "to")
     out = texts.mapInArrow(send, "center long, task long, cls long, own boolean, body binary").groupBy("center", "task").applyInArrow(compare, "a long, b long")
     return staged(out.distinct(), "verified")
 
@@ -235,8 +235,8 @@ def links(docs: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     sketched = staged(sketched.groupBy("cls").agg(F.first("s").alias("s")), "sketches")
     of = lambda name: sketched.select(F.col("cls").alias(name), F.col("s").alias(f"s{name}"))
 
-    heads = sigs.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("sig", F.col("head.cls").alias("a"), F.col("head.n").alias("na"))
-    star = sigs.join(heads, "sig").filter(F.col("a") != F.col("cls")).filter(_fit("n", "na", t)).select("a", F.col("cls").alias("b"), "na", "n").distinct()
+    heads = sigs.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("sig", F.col("head.cls").alias("a"), F.col("head.n").alias("na"), "m")
+    star = with_each(sigs, staged(heads, "heads"), "sig", "m").filter(F.col("a") != F.col("cls")).filter(_fit("n", "na", t)).select("a", F.col("cls").alias("b"), "na", "n").distinct()
     star = star.join(of("a"), "a").join(of("b"), "b").filter(_near(F.col("sa"), F.col("sb"), F.col("na"), F.col("n"), t)).select("a", "b", "n")
     star = staged(star, "star")
     first = verified(star, docs, owners, k, t)
@@ -250,8 +250,8 @@ def links(docs: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
         if turn < ROUNDS:  # other members of each signature, first of its largest component, for the rest to be compared with
             draw = lambda j: F.struct(-F.col("members") if turn % 2 == 0 else F.lit(0).cast("long"), F.xxhash64(F.lit(turn), F.lit(j), "sig", "cls"))  # noqa: E731, B023
             head = F.struct("cls", "n", "comp", "s")
-            heads = open_.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(head, draw(j)) for j in range(HEADS)))).alias("heads"))
-            again = open_.join(heads, "sig").select("cls", "n", "comp", "s", F.explode("heads").alias("head"))
+            heads = open_.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(head, draw(j)) for j in range(HEADS)))).alias("heads"), F.count("*").alias("m"))
+            again = with_each(open_, staged(heads, "heads"), "sig", "m").select("cls", "n", "comp", "s", F.explode("heads").alias("head"))
             again = again.filter((F.col("comp") != F.col("head.comp")) & _fit("n", F.col("head.n"), t))
             again = again.filter(_near(F.col("s"), F.col("head.s"), F.col("n"), F.col("head.n"), t))
             again = again.select(F.col("head.cls").alias("a"), F.col("cls").alias("b"), "n").distinct()
@@ -285,8 +285,9 @@ def join_components(docs: DataFrame, k: int = 4, t: int = 85) -> DataFrame:
     """
     owned, comps = links(docs, k, t)
     least = owned.groupBy("cls").agg(F.min("doc_id").alias("low"))
-    comps = least.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ids = comps.groupBy("comp").agg(F.min("low").alias("component_id"), F.collect_list("cls").alias("all")).select("component_id", F.explode("all").alias("cls"))
+    comps = staged(least.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "classes")
+    lowest = comps.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("m"))
+    ids = with_each(comps.select("comp", "cls"), lowest, "comp", "m").select("cls", "component_id")
     full = owned.filter("n > 0").join(ids, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(owned.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
