@@ -16,6 +16,8 @@ WALKS, FIRSTS, SECONDS, THIRDS = 5, 4, 2, 3
 SIZES = (EDITS, 9, 17, 33)
 #: An item of more words has windows of so many at every so many words; each says where the whole item may stand.
 LONGEST = 64
+#: Starts whose walks are in memory together, few enough for a processor's cache.
+STARTS = 1 << 15
 #: Items in one broadcast.
 ITEM_BLOCK = 20_000
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -152,17 +154,20 @@ def candidates(items: Items, h: np.ndarray, row: np.ndarray):
         s, w = items.exact.find(h)
         start.append(s)
         window.append(w)
-    every, padded = np.arange(len(h)), np.append(h, np.zeros(2 * LONGEST + 2, np.uint64))
-    for walk, groups, wanted in items.tables:
-        pos = walked(padded, every, walk, wanted)
-        for first, firsts, seconds in groups:
-            one = firsts.find(padded.take(pos[first], mode="clip"))
-            for pair, pairs, tables in seconds:
-                two = one[pairs.find(_key(padded, pos, pair, one))]
-                for three, table in tables:
-                    at, w = table.find(_key(padded, pos, three, two))
-                    start.append(two[at])
-                    window.append(w)
+    padded = np.append(h, np.zeros(2 * LONGEST + 2, np.uint64))
+    for a in range(0, len(h), STARTS):
+        part, every = padded[a : a + STARTS + 2 * LONGEST + 2], np.arange(min(STARTS, len(h) - a))
+        for walk, groups, wanted in items.tables:
+            pos = walked(part, every, walk, wanted)
+            for first, firsts, seconds in groups:
+                one = firsts.find(part.take(pos[first], mode="clip"))
+                for pair, pairs, tables in seconds:
+                    two = one[pairs.find(_key(part, pos, pair, one))]
+                    for three, table in tables:
+                        at, w = table.find(_key(part, pos, three, two))
+                        if len(w):
+                            start.append(a + two[at])
+                            window.append(w)
     if not start or not sum(map(len, start)):
         return (np.zeros(0, np.int64),) * 4
     start, window = np.concatenate(start), np.concatenate(window)
@@ -227,6 +232,28 @@ def search(items: Items, raw: np.ndarray, off: np.ndarray):
     return [(r, i, d, at, n) for (r, i), (d, _, n, at) in sorted(found.items())]
 
 
+def _shared(benchmark: DataFrame) -> list:
+    """The stated query set, as broadcasts of so many items each; one at a time is in the driver's memory as rows."""
+    context, rows, out = benchmark.sparkSession.sparkContext, [], []
+    for r in benchmark.select("item_id", "text").toLocalIterator():
+        rows.append((r.item_id, r.text))
+        if len(rows) == ITEM_BLOCK:
+            out.append(context.broadcast(rows))
+            rows = []
+    return [*out, context.broadcast(rows)] if rows else out
+
+
+def _found(shared: list, batches):
+    """(batch, matches in it): (row, item_id, edits, first word, words), for the batch's last column."""
+    every = [items for items in (Items(b.value) for b in shared) if items.ids]
+    for batch in batches:
+        got = []
+        for at, raw, off in text_blocks(batch.column(batch.num_columns - 1)) if every else ():
+            for items in every:
+                got += [(at + r, items.ids[i], d, w, n) for r, i, d, w, n in search(items, raw, off)]
+        yield batch, got
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words): the best match of each benchmark item in each document that has one.
 
@@ -236,24 +263,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each reported, ties in edits go to the first window; empty tables give an empty result; other columns are not read.
     """
     kind, item_kind = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
-    blocks: list[list] = [[]]
-    for r in benchmark.select("item_id", "text").toLocalIterator():  # the query set, a block at a time in memory of the tasks
-        if len(blocks[-1]) >= ITEM_BLOCK:
-            blocks.append([])
-        blocks[-1].append((r.item_id, r.text))
-    shared = [docs.sparkSession.sparkContext.broadcast(rows) for rows in blocks]
+    shared = _shared(benchmark)
 
     def run(batches):
         import pyarrow as pa
 
-        every = [items for items in (Items(b.value) for b in shared) if items.ids]
-        for batch in batches:
-            got = []
-            for at, raw, off in text_blocks(batch.column(1)) if every else ():
-                for items in every:
-                    got += [(at + r, items.ids[i], d, w, n) for r, i, d, w, n in search(items, raw, off)]
-            rowno, item, d, w, n = zip(*got, strict=True) if got else ([], [], [], [], [])
-            ids = batch.column(0).take(pa.array(rowno, pa.int64()))
+        for batch, got in _found(shared, batches):
+            row, item, d, w, n = zip(*got, strict=True) if got else ([], [], [], [], [])
+            ids = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(w, pa.int64()), pa.array(n, pa.int32())], ["doc_id", "item_id", "edits", "first_word", "n_words"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int, first_word long, n_words int")
@@ -261,11 +278,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found, columns as they are. Rows with a null doc_id are kept or dropped by their text alone."""
-    marked = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("text").cast("string"))).alias("doc_id"), "text")
-    hit = matches(marked, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("text").cast("string")))
-    return docs.join(hit, key == F.col("_hit"), "left_anti")
+    """The documents in which no benchmark item is found, columns as they are.
+
+    Each row is judged by its own text as it passes by, whatever its doc_id: nothing is joined or shuffled. Null texts stay; an empty table stays empty.
+    """
+    shared = _shared(benchmark)
+    ordered = docs.select(*(c for c in docs.columns if c != "text"), "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, got in _found(shared, batches):
+            stays = np.ones(batch.num_rows, bool)
+            stays[[r for r, *_ in got]] = False
+            yield batch.filter(pa.array(stays))
+
+    return ordered.mapInArrow(run, ordered.schema).select(*docs.columns)
 
 
 def op10_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

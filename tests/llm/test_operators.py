@@ -575,6 +575,16 @@ def test_decontamination_odd_inputs(spark):
     assert decontaminate.clean(empty(spark), items).count() == 0
 
 
+def test_decontamination_keeps_rows_by_their_own_text(spark):
+    """Null ids, repeated rows, one id with two texts, and columns of clashing names."""
+    item = " ".join(f"w{j}" for j in range(12))
+    rows = [(None, item), (None, "clean text"), (None, None), (1, "x " + item), (1, "other text"), (2, "same"), (2, "same")]
+    docs = texts_of(spark, [(i, t, "s") for i, t in rows]).withColumn("item_id", F.lit(7)).withColumn("edits", F.array(F.lit("a")))
+    got = decontaminate.clean(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and got.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, "clean text"), (None, None), (1, "other text"), (2, "same"), (2, "same")], key=str)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     import corpus_pipeline
@@ -592,3 +602,25 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) <= {r.doc_id for r in kept.collect()} and len(out)
     assert len(set(zip(out.shard, out.slot, strict=True))) == len(out)
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows and an empty table pass through every stage."""
+    import corpus_pipeline
+
+    good = [t for t in pd.read_parquet(f"{SF}/documents.parquet").text if t and len(t.split()) > 80][:40]
+    rows = [(None, good[0], "s"), (None, good[1], None), (None, None, "s"), (3, good[2], "s"), (3, good[2], "s"), (4, good[3] + " ", "t"), *((10 + i, t, f"s{i % 3}") for i, t in enumerate(good))]
+    for name, table in (("some", rows), ("none", [])):
+        sf = tmp_path / name
+        texts_of(spark, table and [(i, t, s) for i, t, s in table]).write.parquet(str(sf / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{other}.parquet").write.parquet(str(sf / f"{other}.parquet"))
+        docs = spark.read.parquet(str(sf / "documents.parquet"))
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            out = function(spark, docs, str(sf)).persist()
+            assert out.columns == docs.columns, stage
+            if name == "none":
+                assert out.count() == 0, stage
+            docs = out
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(sf)).collect()
+        assert len({(r.shard, r.slot) for r in last}) == len(last) == docs.count()
