@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each is written as a table and read again as the next one's documents.
 
 All stages but the last return the columns of ``documents``. Null texts are empty; every stage works on all rows that its predecessor kept; an empty
-table passes through.
+table passes through. Rows of a null doc_id are rows like others: the classifier, the search for benchmark items and the mix judge them by their texts, near
+duplicates keep one of each group (one with a doc_id, if the group has any), and the last stage gives each a shard and slot of its own.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix takes; documents that it does not take go."""
+    """A row for each copy of a document that the mix takes; documents that it does not take go. The last stage deals the copies to shards anew, as the columns
+    of ``documents`` have no room for the splitting tree's shards."""
     return mixing.mix_documents(docs).select(*docs.columns, F.explode("shards")).drop("col")
 
 
