@@ -42,14 +42,20 @@ _FENCE, _INDENT, _REF = re.compile(P.CODE_FENCE), re.compile(P.INDENTED), re.com
 
 def _software(text: str, limit: int) -> list[dict]:
     """Code goes out of the prose into numbered blocks, fences first; each chunk takes back the blocks it refers to. Chunks of references alone go."""
-    blocks: list[str] = []
-
-    def note(code: str) -> str:
-        blocks.append(code)
-        return f"\n[CODE_{len(blocks) - 1}]\n"
-
-    prose = _FENCE.sub(lambda m: note(m[1].strip()), text)
-    prose = _INDENT.sub(lambda m: note(m[1].rstrip()), prose)
+    fences = list(_FENCE.finditer(text))
+    blocks, parts, at = [m[1].strip() for m in fences], [], 0
+    for i, fence in enumerate([*fences, None]):
+        between = text[at : fence.start() if fence else None]
+        seen = 0
+        for line in _INDENT.finditer(between):
+            parts += [between[seen : line.start()], f"\n[CODE_{len(blocks)}]\n"]
+            blocks.append(line[1].rstrip())
+            seen = line.end()
+        parts.append(between[seen:])
+        if fence:
+            parts.append(f"\n[CODE_{i}]\n")
+            at = fence.end()
+    prose = "".join(parts)
     out = []
     for piece in split_text(prose, limit):
         numbers = [int(r[6:-1]) for r in _REF.findall(piece)]
