@@ -11,7 +11,7 @@ from folio.functions import patterns as P
 from folio.functions.text import book_id, preview, stem, ustrip
 from folio.operators import chunking, classify, dedup, inspect, nodes
 from folio.plans.views import DOCS, documents, quoted
-from folio.session import shared_dir, table
+from folio.session import shared_dir, spread, table
 from folio.sources import files
 
 QUERIES: dict = {}
@@ -166,7 +166,7 @@ FLAGS = f"""array_to_string(list_filter([
 
 @query("flag_issues", f"WITH {DOCS} SELECT doc_id, {FLAGS} AS flags FROM (SELECT *, {_S} AS s FROM docs)")
 def flag_issues(spark, sf):
-    return documents(spark, sf).select("doc_id", joined(inspect.flag_issues(F.col("text"))).alias("flags"))
+    return spread(documents(spark, sf)).select("doc_id", joined(inspect.flag_issues(F.col("text"))).alias("flags"))
 
 
 @query("metadata_missing", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'content_type,has_code,source' WHEN doc_id % 3 = 1 THEN 'content_type,has_code' ELSE '' END AS missing FROM documents")
