@@ -91,10 +91,10 @@ def local_shuffle(copies: DataFrame, seed: int) -> DataFrame:
     return placed.groupBy("_id").agg(F.transform(F.sort_array(F.collect_list(slot)), lambda x: x["slot"]).alias("slots"))  # a document has few copies
 
 
-def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: int = PASSES, carry: list[str] | None = None, order: bool = False) -> DataFrame:
+def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: int = PASSES, carry: list[str] | None = None, with_slots: bool = False) -> DataFrame:
     """Columns of ``docs`` (those in ``carry``, or all) plus ``size``, ``source_size``, ``target``, ``taken`` and ``shards`` (the output shard of each copy taken).
 
-    With ``order`` also ``slots``: the shards are shuffled locally, and each copy has a place in its shard.
+    With ``with_slots`` also ``slots``: the shards are shuffled locally, and each copy has a place in its shard.
 
     A source's documents fall into blocks by hash and the blocks into a hashed order. The source gives whole passes over its blocks and then the first
     blocks of another pass up to its target; in the block where the target falls documents are taken in hashed order, and last, one after another, up to
@@ -160,7 +160,7 @@ def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: in
     shard_of = lambda e: F.size(F.filter("ends", lambda end: end <= place(e)))
     shards = F.when(copies > 0, F.transform(number, shard_of)).otherwise(F.array().cast("array<int>"))
     out = rows.withColumn("taken", copies * F.col("size")).withColumn("shards", shards)
-    if not order:
+    if not with_slots:
         return out.select(*cols, "taken", "shards")
     out = staged(out, "taken")
     slots = local_shuffle(out.select("_id", "_h", F.posexplode("shards").alias("copy", "shard")), seed + 2)
@@ -169,4 +169,4 @@ def mix_documents(docs: DataFrame, n_shards: int = 16, seed: int = 5, passes: in
 
 def op9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_documents(docs, carry=["doc_id"], order=True).select("doc_id", "size", "source_size", "target", "taken", "shards", "slots")
+    return mix_documents(docs, carry=["doc_id"], with_slots=True).select("doc_id", "size", "source_size", "target", "taken", "shards", "slots")

@@ -477,7 +477,7 @@ def test_mix_odd_inputs(spark):
 
 def test_mix_shuffles_shards(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("slots", F.lit(1)).withColumn("size", F.lit("x"))
-    got = mixing.mix_documents(docs, 4, order=True).toPandas()
+    got = mixing.mix_documents(docs, 4, with_slots=True).toPandas()
     places = [(s, k) for shards, slots in zip(got.shards, got.slots, strict=True) for s, k in zip(shards, slots, strict=True)]
     for shard in range(4):
         assert sorted(k for s, k in places if s == shard) == list(range(sum(s == shard for s, _ in places)))
@@ -485,7 +485,8 @@ def test_mix_shuffles_shards(spark):
     # neighbours in a shard are not neighbours by id
     ids = sorted((k, i) for i, shards, slots in zip(got.doc_id, got.shards, got.slots, strict=True) for s, k in zip(shards, slots, strict=True) if s == 0)
     assert sum(abs(a[1] - b[1]) < 2 for a, b in zip(ids, ids[1:], strict=False)) < 0.2 * len(ids)
-    assert mixing.mix_documents(odd(spark), order=True).count() == 10 and mixing.mix_documents(empty(spark), order=True).count() == 0
+    assert "slots" not in mixing.mix_documents(odd(spark)).columns
+    assert mixing.mix_documents(odd(spark), with_slots=True).count() == 10 and mixing.mix_documents(empty(spark), with_slots=True).count() == 0
 
 
 def test_split_quotas_keep_sums(spark):
