@@ -11,7 +11,7 @@ from folio.llm.common import mix, text_blocks, words
 #: An item of m words is found where a window is within floor(m / 5) word edits of it, a similarity of 0.8 or more.
 EDITS = 5
 #: Random walks a window; first sampled places of each, second ones to each of these, and third ones to each pair: their product is the number of tables.
-WALKS, FIRSTS, SECONDS, THIRDS = 5, 4, 2, 3
+WALKS, FIRSTS, SECONDS, THIRDS = 4, 4, 2, 4
 #: Windows by size from so many words on; all of a size class are sampled within one and a half times its least size. Smaller items must occur word for word.
 SIZES = (EDITS, 9, 17, 33)
 #: An item of more words has windows of so many at every so many words; each says where the whole item may stand.

