@@ -19,7 +19,7 @@ LONGEST = 64
 #: Starts whose walks are in memory together, few enough for a processor's cache.
 STARTS = 1 << 15
 #: Items in one broadcast.
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 4_000
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -72,7 +72,8 @@ def _key(h: np.ndarray, pos: dict[int, np.ndarray], steps, at) -> np.ndarray:
 class Bitmap:
     """Low bits of hashes that occur; most that don't are told apart by it."""
 
-    def __init__(self, key: np.ndarray, bits: int):
+    def __init__(self, key: np.ndarray):
+        bits = max(12, len(key).bit_length() + 5)  # one place in 32 is taken, or fewer
         self.low, self.seen = np.uint64((1 << bits) - 1), np.zeros(1 << bits, bool)
         self.seen[(key & self.low).view(np.int64)] = True
 
@@ -85,7 +86,7 @@ class Table:
 
     def __init__(self, key: np.ndarray, window: np.ndarray):
         order = np.argsort(key, kind="stable")
-        self.key, self.window, self.seen = key[order], window[order], Bitmap(key, 20)
+        self.key, self.window, self.seen = key[order], window[order], Bitmap(key)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the keys, item window) of all agreements."""
@@ -136,8 +137,8 @@ class Items:
                             real = pair[(flat[pos[third][pair]] > 0) & (pos[third][pair] != pos[first][pair]) & (pos[third][pair] != pos[second][pair])]
                             three = (first, second, third)
                             tables.append((three, Table(_key(flat, pos, three, real), mine[real])))
-                        seconds.append(((first, second), Bitmap(_key(flat, pos, (first, second), pair), 18), tables))
-                    groups.append((first, Bitmap(flat[pos[first]][every], 16), seconds))
+                        seconds.append(((first, second), Bitmap(_key(flat, pos, (first, second), pair)), tables))
+                    groups.append((first, Bitmap(flat[pos[first]][every]), seconds))
                 wanted |= steps
             if groups:
                 self.tables.append((walk, groups, wanted))
