@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import ball_kmeans, chat_format, decontaminate, html_extract, language_id, lexical_search, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup
+from folio.llm import ball_kmeans, chat_format, decontaminate, html_extract, language_id, lexical_search, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_bradley_terry": quality_classifier.op1_bradley_terry,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_host_rules": quality_rules.op5_host_rules,
     "op9_mixed": mixing.op9_mixed,
     "op3_feistel_shards": sharding.op3_feistel_shards,
+    "op11_weak_supervision": toxicity.op11_weak_supervision,
     "op12_sorted_accumulation": lexical_search.op12_sorted_accumulation,
     "op13_ball_kmeans": ball_kmeans.op13_ball_kmeans,
 }
