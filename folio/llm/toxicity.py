@@ -66,7 +66,9 @@ def text_terms(raw: np.ndarray, off: np.ndarray, lengths=range(SHORTEST, LONGEST
     s, e, h, row = words(raw, off, lower=True, alnum=True)
     n = np.bincount(row, minlength=len(off) - 1)
     total, down = _sums(raw)
-    lead = np.append(np.flatnonzero((raw & 0xC0) != 0x80), np.full(LONGEST + 1, len(raw)))
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    last = len(lead)
+    lead = np.append(lead, np.full(LONGEST + 1, len(raw)))
     at = np.searchsorted(lead, s)
     long_ = np.flatnonzero((lead[at + SHORTEST - 1] < e) & (lead[at] == s)) if len(s) else np.zeros(0, np.int64)
     if first is not None and len(long_):
@@ -76,7 +78,7 @@ def text_terms(raw: np.ndarray, off: np.ndarray, lengths=range(SHORTEST, LONGEST
     out = [(row, h, s, e)]
     for k in lengths:
         end = lead[at + k]
-        ok = end < e
+        ok = (end <= e) & (at + k <= last)
         out.append((row[ok], _beginning(total, down, s[ok], end[ok]), s[ok], end[ok]))
     return (*(np.concatenate(x) for x in zip(*out, strict=True)), n)
 
@@ -267,7 +269,7 @@ def forest(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
     return parent
 
 
-def label_model(votes: np.ndarray, terms: int, prior: np.ndarray, rounds: int = 40) -> dict:
+def label_model(votes: np.ndarray, terms: int, prior: np.ndarray, rounds: int = 80) -> dict:
     """The posterior class of each row of votes (0 or 1), each voter's rate of firing by class (and by its parent's vote), and the forest of correlations.
 
     The first ``terms`` columns are the term voters: texts in which two of them fire start as toxic, one as open, none as clean. ``prior`` has each voter's
@@ -279,7 +281,7 @@ def label_model(votes: np.ndarray, terms: int, prior: np.ndarray, rounds: int =
     q = np.where(fired >= 2, 0.95, np.where(fired == 1, 0.6, 0.02))
     v, parent = votes.astype(np.float64), np.full(m, -1)
     for r in range(rounds):
-        if r in (5, 15):
+        if r % 8 == 4:
             parent = forest(v, q)
         above = np.where(parent[None, :] >= 0, v[:, np.maximum(parent, 0)], 0)
         odds = np.full(n, np.log(np.clip(q.mean(), 1e-3, 1 - 1e-3) / np.clip(1 - q.mean(), 1e-3, 1 - 1e-3)))
@@ -293,7 +295,7 @@ def label_model(votes: np.ndarray, terms: int, prior: np.ndarray, rounds: int =
             p = np.clip(np.where(above == 1, rates[y, 1], rates[y, 0]), 1e-6, 1 - 1e-6)
             odds += sign * np.where(v == 1, np.log(p), np.log(1 - p)).sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        done, q = np.abs(new - q).max() < 1e-5 and r > 16, new
+        done, q = np.abs(new - q).max() < 1e-5 and r % 8 > 4 and r > 24, new
         if done:
             break
     return {"posterior": q, "rates": rates, "parent": parent}
