@@ -18,6 +18,8 @@ SKETCH = 16
 ROUNDS, HEADS = 2, 8
 #: Shingles whose documents are counted in one task, and shingles that are compared with one set in one task.
 COUNTED, COMPARED = 2_000_000, 1 << 18
+#: Buckets of row keys that are broadcast so that texts which nobody asks for stay out of the shuffle; each is a row of one number.
+BUCKETS = 1 << 19
 
 
 def row_key(docs: DataFrame):
@@ -204,7 +206,10 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, t: in
         a = group.column("center")[0].as_py()
         return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    texts = docs.select(row_key(docs).alias("row"), "text").join(small(need, "to"), "row").select("text", "cls", "to")
+    bucket = lambda: F.pmod("row", F.lit(BUCKETS)).alias("bucket")
+    held = F.broadcast(need.select(bucket()).distinct())  # BUCKETS rows at most
+    texts = docs.select(row_key(docs).alias("row"), "text").withColumn("bucket", bucket()).join(held, "bucket", "left_semi")
+    texts = texts.join(small(need, "to"), "row").select("text", "cls", "to")
     out = texts.mapInArrow(send, "center long, task long, cls long, own boolean, body binary").groupBy("center", "task").applyInArrow(compare, "a long, b long")
     return staged(out.distinct(), "verified")
 
