@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions import patterns as P
 from folio.functions.text import capitalize
 from folio.operators.graph import communities, edge_degrees
+from folio.operators.lexical import InvertedIndex, rerank
 from folio.operators.vectors import top_k
 from folio.session import staged
 
@@ -76,6 +77,14 @@ def global_communities(edges: DataFrame, words: list[str], k: int) -> DataFrame:
     return _ranked(top, *order).select(F.concat(F.lit("community:"), "community").alias("item"), "rank", "nodes", "edges", "weight")
 
 
+def reranked(chunks: DataFrame, index: InvertedIndex, query: DataFrame, k: int) -> DataFrame:
+    """(item, score, rank): retrieved chunks (item "chunk:<id>", ..) in the order of their BM25 score for the query, one row (query_id, text)."""
+    asked = chunks.select(F.substring_index("item", ":", -1).cast(index.postings.schema["id"].dataType).alias("id"))
+    pairs = asked.crossJoin(query.select("query_id").limit(1))  # one query
+    out = rerank(index, query, pairs, k)
+    return out.select(F.concat(F.lit("chunk:"), F.col("id").cast("string")).alias("item"), "score", "rank")
+
+
 def vector_context(vectors: DataFrame, edges: DataFrame, query: list[float], k: int, key: str = "id", node: str = "id") -> DataFrame:
     """(id, hop, score): the k nearest nodes and the nodes one edge away, these with the best score of those that led to them. Ties go by ``key``."""
     near = top_k(vectors, query, k, key=key).select(F.col(node).alias("id"), "score")

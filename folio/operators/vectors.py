@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from folio.functions.text import cosine
 
 DIM = 384
-#: Numbers of the queries that are sent to the tasks at once.
-QUERY_NUMBERS = 1 << 21
+#: Vectors and queries of one group of ``top_k_each``.
+VECTORS, QUERIES = 8192, 1024
 
 
 def hashing_embedder(dim: int = DIM):
@@ -68,49 +68,36 @@ def _unit_rows(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """(query_id, q) x vectors -> (query_id, key, score, rank): the k nearest vectors of each query, ties by key.
 
-    The stated query set goes to the tasks in blocks of so many numbers, and each Arrow batch is multiplied with a block as matrices and keeps its k best a
-    query, before the shuffle. Null and zero vectors and those of another size than the query match nothing.
+    Both sides are dealt into blocks by hash, and each pair of blocks is one group that is multiplied as matrices and keeps its k best a query before the
+    shuffle; nothing passes through the driver. The work is queries times vectors, so a large set of queries goes through ``vector_index.search_exact``
+    instead. Null and zero vectors and those of another size than the query match nothing.
     """
     kinds = {c: vectors.schema[key].dataType.simpleString() if c == key else queries.schema["query_id"].dataType.simpleString() for c in ("query_id", key)}
-    blocks: list[dict[int, list]] = [{}]
-    held = 0
-    for r in queries.select("query_id", "q").filter("size(q) > 0").toLocalIterator():
-        if held + len(r.q) > QUERY_NUMBERS and held:
-            blocks.append({})
-            held = 0
-        blocks[-1].setdefault(len(r.q), []).append((r.query_id, r.q))
-        held += len(r.q)
-    found = None
-    for block in blocks:
-        sets = []
-        for dim, rows in block.items():
-            q = np.array([v for _, v in rows], np.float64)
-            norm = np.sqrt((q * q).sum(1))
-            sets.append((dim, [i for (i, _), n in zip(rows, norm, strict=True) if n > 0], q[norm > 0] / norm[norm > 0, None]))
-        shared = vectors.sparkSession.sparkContext.broadcast(sets)
-
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            for batch in batches:
-                for dim, ids, q in shared.value:
-                    rows, v = _unit_rows(batch.column(1), dim)
-                    keys = batch.column(0).take(pa.array(rows))
-                    order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
-                    rows, v = rows[order], v[order]
-                    for a in range(0, len(q), 256):
-                        score = np.round(v @ q[a : a + 256].T, 9)
-                        top = np.argsort(-score, axis=0, kind="stable")[:k]  # of equal scores the least keys come first
-                        asked = pa.array([i for i in ids[a : a + 256] for _ in range(len(top))], key_type(kinds["query_id"]))
-                        yield pa.RecordBatch.from_arrays([asked, batch.column(0).take(pa.array(rows[top.T.ravel()])), pa.array(np.take_along_axis(score, top, 0).T.ravel())], ["query_id", key, "score"])
-
-        part = vectors.select(key, "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
-        found = part if found is None else found.unionByName(part)
+    asked = queries.select("query_id", "q").filter("size(q) > 0")
+    parts, blocks = (max(1, -(-n // most)) for n, most in ((vectors.count(), VECTORS), (asked.count(), QUERIES)))
+    deal = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = vectors.select(key, "embedding", deal(key, parts, "part"), each(blocks, "block"))
+    right = asked.select("query_id", "q", deal("query_id", blocks, "block"), each(parts, "part"))
+
+    def run(vs, qs):
+        import pyarrow as pa
+
+        out = []
+        sizes = np.unique(qs.column("q").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) if qs.num_rows else []
+        for dim in sizes:
+            rows, v = _unit_rows(vs.column("embedding").combine_chunks(), int(dim)) if vs.num_rows else (np.zeros(0, np.int64), np.zeros((0, int(dim))))
+            asked, q = _unit_rows(qs.column("q").combine_chunks(), int(dim))
+            keys = vs.column(key).combine_chunks().take(pa.array(rows)) if vs.num_rows else vs.column(key).slice(0, 0)
+            order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+            rows, v = rows[order], v[order]
+            for a in range(0, len(q), 256):
+                score = np.round(v @ q[a : a + 256].T, 9)
+                top = np.argsort(-score, axis=0, kind="stable")[:k]  # of equal scores the least keys come first
+                ids = qs.column("query_id").take(pa.array(np.repeat(asked[a : a + 256], len(top))))
+                out.append(pa.table({"query_id": ids, key: vs.column(key).take(pa.array(rows[top.T.ravel()])), "score": pa.array(np.take_along_axis(score, top, 0).T.ravel())}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": qs.column("query_id").slice(0, 0), key: vs.column(key).slice(0, 0), "score": pa.array([], pa.float64())})
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "score", "rank")
-
-
-def key_type(kind: str):
-    import pyarrow as pa
-
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

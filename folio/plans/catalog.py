@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import store_queries, text_queries
+from folio.plans import search_queries, store_queries, text_queries
 
-QUERIES = text_queries.QUERIES | store_queries.QUERIES
-ORACLES = text_queries.ORACLES | store_queries.ORACLES
+QUERIES = text_queries.QUERIES | store_queries.QUERIES | search_queries.QUERIES
+ORACLES = text_queries.ORACLES | store_queries.ORACLES | search_queries.ORACLES

@@ -208,7 +208,8 @@ def test_gleaning_keeps_what_only_one_pass_found(spark):
 
 
 def test_nearest_vectors_of_each_query(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "QUERY_NUMBERS", 9)  # several blocks
+    monkeypatch.setattr(vectors, "QUERIES", 2)  # several blocks
+    monkeypatch.setattr(vectors, "VECTORS", 9)
     rng = np.random.default_rng(1)
     held = {i: rng.normal(size=4).round(1).tolist() for i in range(30)} | {40: None, 41: [0.0] * 4, 42: [1.0, 2.0]} | {50: [1.0, 0.0, 0.0, 0.0], 51: [2.0, 0.0, 0.0, 0.0]}
     asked = {1: [1.0, 0.0, 0.0, 0.0], 2: [0.3, -1.0, 2.0, 0.1], 3: [2.0, 1.0], 4: [0.0] * 4, 5: [0.1, 0.2, 0.3, 0.4]}
