@@ -65,10 +65,10 @@ def summary_of(edges: DataFrame, c: DataFrame) -> DataFrame:
     return c.groupBy("community").agg(F.count("*").alias("nodes")).join(inside, "community", "left")
 
 
-def global_communities(edges: DataFrame, words: list[str], k: int) -> DataFrame:
-    """(item, rank, nodes, edges, weight): communities by how many of their edges have a query word, then by their weight."""
+def global_communities(edges: DataFrame, words: list[str], k: int, of=communities) -> DataFrame:
+    """(item, rank, nodes, edges, weight): communities by how many of their edges have a query word, then by their weight. ``of`` makes (id, community) of edges."""
     edges = staged(edges, "edges")
-    c = communities(edges)
+    c = of(edges)
     text = F.split(F.lower(F.concat_ws(" ", "label", "keywords")), r"[^\p{L}\p{N}]+")
     hits = edges.filter(F.size(F.array_intersect(text, F.array(*map(F.lit, words)))) > 0).select("rel_id", F.col("src_id").alias("id"))
     matched = hits.join(c, "id").groupBy("community").agg(F.count("*").alias("matched"))

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folio.operators import lexical, retrieval, vector_index
+from folio.operators import lexical, modularity, retrieval, vector_index
 from folio.plans import views
-from folio.plans.store_queries import _EDGE_DEGREE, _SCORED, QUERY
+from folio.plans.store_queries import _EDGE_DEGREE, _SCORED, QUERY, WORDS
 from folio.session import shared_dir, staged, table
 
 QUERIES: dict = {}
@@ -118,3 +118,21 @@ def retrieve_local_synonyms(spark, sf):
     nodes = staged(views.graph_nodes(spark, sf), "nodes")
     table_ = lexical.synonyms(nodes, least=2, k=3, least_pmi=0.0, key="id", text="entity_name")
     return retrieval.local(nodes, views.graph_edges(spark, sf), lexical.expanded([_ASKED], table_), 20)
+
+
+# --- communities that divide a component -------------------------------------------------------------------------
+@query("modularity_communities")
+def modularity_communities(spark, sf):
+    return modularity.communities(views.graph_edges(spark, sf))
+
+
+@query("modularity_parts")
+def modularity_parts(spark, sf):
+    """What each community adds to the modularity of the whole graph."""
+    edges = staged(views.graph_edges(spark, sf), "edges")
+    return modularity.parts(edges, modularity.communities(edges)).withColumn("part", F.round("part", 9))
+
+
+@query("retrieve_modular_communities")
+def retrieve_modular_communities(spark, sf):
+    return retrieval.global_communities(views.graph_edges(spark, sf), WORDS, 10, modularity.communities)
