@@ -7,9 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from folio.operators import lexical, modularity, retrieval, vector_index
+from folio.operators.band_index import BandIndex
+from folio.operators.bucketed import BucketedTable
 from folio.plans import views
 from folio.plans.store_queries import _EDGE_DEGREE, _SCORED, QUERY, WORDS
+from folio.plans.text_queries import _KEPT
 from folio.session import shared_dir, staged, table
+from folio.streaming.upserts import batch_upsert, upsert_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -136,3 +140,47 @@ def modularity_parts(spark, sf):
 @query("retrieve_modular_communities")
 def retrieve_modular_communities(spark, sf):
     return retrieval.global_communities(views.graph_edges(spark, sf), WORDS, 10, modularity.communities)
+
+
+# --- tables that change by batches -------------------------------------------------------------------------------
+_BATCHES = 3
+_BATCHED = f"""taken AS (SELECT (doc_id % {_BATCHES})::INT AS batch, doc_id, lang, n_chars FROM documents), again AS (SELECT * FROM taken UNION ALL SELECT {_BATCHES}, doc_id, 'again', n_chars FROM documents WHERE doc_id % 5 = 0)"""
+
+
+def _fresh(spark, name):
+    return f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
+
+
+@query("kv_upsert_buckets", f"WITH {_BATCHED} SELECT doc_id, arg_max(lang, batch) AS lang, any_value(n_chars) AS n_chars FROM again GROUP BY doc_id HAVING doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def kv_upsert_buckets(spark, sf):
+    """Documents in three upserts, some changed by a fourth and some deleted by a fifth; each rewrites the buckets it touches."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    held = BucketedTable(spark, _fresh(spark, "kv"), "doc_id long, lang string, n_chars long", ["doc_id"], 16)
+    for batch in range(_BATCHES):
+        held.upsert(docs.filter(F.col("doc_id") % _BATCHES == batch))
+    held.upsert(docs.filter("doc_id % 5 = 0").withColumn("lang", F.lit("again")))
+    held.delete(table(spark, sf, "labels").filter("toxic = 1"))
+    return held.read()
+
+
+@query("stream_upsert", "SELECT md5(text) AS key, count(DISTINCT text) AS texts, max(doc_id) AS last FROM documents GROUP BY 1")
+def stream_upsert(spark, sf):
+    """The documents as a stream into a table by text, with the last document of each; the batch is delivered twice."""
+    held = BucketedTable(spark, _fresh(spark, "stream"), "key string, texts long, last long", ["key"], 16)
+    prepare = lambda df: df.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.lit(1).cast("long").alias("texts"), F.max("doc_id").alias("last"))
+    docs = table(spark, sf, "documents")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]")  # a pattern may name one file as well as a folder
+    upsert_stream(stream, held, _fresh(spark, "stream-checkpoint"), "last", prepare).awaitTermination()
+    batch_upsert(held, "last", prepare)(docs.withColumn("doc_id", F.col("doc_id") + 1), held.versions()[-1])  # a version that is there already
+    return held.read()
+
+
+@query("dedup_batches", f"WITH {_KEPT} SELECT id FROM kept")
+def dedup_batches(spark, sf):
+    """The documents in three batches by id, each held against what the ones before kept."""
+    docs = table(spark, sf, "documents")
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    kept = BandIndex(spark, _fresh(spark, "bands"))
+    for batch in range(_BATCHES):
+        kept.add(docs.filter(F.floor(F.col("doc_id") * _BATCHES / (most + 1)) == batch), batch)
+    return kept.kept().select("id")

@@ -352,4 +352,5 @@ def minhash_signatures(spark, sf):
 
 @query("lsh_candidates")
 def lsh_candidates(spark, sf):
-    return dedup.lsh_candidates(dedup.minhash(table(spark, sf, "documents")))
+    docs = table(spark, sf, "documents")
+    return dedup.lsh_candidates(dedup.minhash(docs), dedup.text_classes(docs))
