@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import patterns as P
 from folio.functions.text import lines, ustrip
+from folio.session import spread
 
 MAX_CHARS = 1500
 #: Boundaries from the largest to the smallest; the last resort is any character.
@@ -140,3 +143,58 @@ def merge_similar(chunks: DataFrame, vectors: DataFrame, threshold: float = 0.8)
     run = both.withColumn("_run", F.sum("_new").over(w))
     merged = run.groupBy("ref", "_run").agg(F.min("chunk_idx").alias("chunk_idx"), F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))).alias("_t"))
     return merged.select("ref", "chunk_idx", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"))
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Numbers of a sentence's vector, and what one more chunk costs against the scatter within chunks.
+SENTENCE_DIM, CHUNK_COST = 64, 0.8
+
+
+def sentence_vectors(sentences: list[str], dim: int = SENTENCE_DIM) -> np.ndarray:
+    """Signed hashed counts of the words of each sentence, at unit length; a sentence without words is zero."""
+    words = [s.lower().split() for s in sentences]
+    number = {w: zlib.crc32(w.encode("utf-8", "replace")) for ws in words for w in ws}
+    v = np.zeros((len(sentences), dim))
+    if number:
+        h = np.array([number[w] for ws in words for w in ws], np.int64)
+        np.add.at(v, (np.repeat(np.arange(len(words)), [len(ws) for ws in words]), h % dim), np.where(h >> 31, 1.0, -1.0))
+    length = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(length > 0, length, 1)
+
+
+def segmented(v: np.ndarray, size: np.ndarray, limit: int, cost: float = CHUNK_COST) -> tuple[list[int], float]:
+    """(ends of the segments, cost) of the cheapest division of a row of vectors: ``cost`` a segment plus the squared distances to the segments' means.
+
+    Segments of several vectors have ``limit`` characters at most. The best division of every beginning is found from those of shorter ones; of equally good
+    ones the last segment is the longest. The work is the vectors times those that fit a segment.
+    """
+    n = len(v)
+    total = np.vstack([np.zeros(v.shape[1]), np.cumsum(v, 0)])
+    square = np.concatenate([[0.0], np.cumsum((v * v).sum(1))])
+    chars = np.concatenate([[0], np.cumsum(size)])
+    best, back = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    for i in range(1, n + 1):
+        j = np.arange(min(i - 1, int(np.searchsorted(chars, chars[i] - limit))), i)
+        d = total[i] - total[j]
+        c = best[j] + square[i] - square[j] - (d * d).sum(1) / (i - j) + cost
+        at = int(np.flatnonzero(c <= c.min() + 1e-12)[0])
+        best[i], back[i] = c[at], j[at]
+    ends, i = [], n
+    while i:
+        ends.append(i)
+        i = int(back[i])
+    return ends[::-1], float(best[n])
+
+
+def _by_vectors(text: str, limit: int) -> list[dict]:
+    cuts = [m.end() for m in _SENTENCE.finditer(text)]
+    pieces = [p for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if b > a for p in split_text(text[a:b], limit)]
+    ends, _ = segmented(sentence_vectors(pieces), np.array([len(p) for p in pieces], np.int64), limit) if pieces else ([], 0.0)
+    chunks = ["".join(pieces[a:b]).strip() for a, b in zip([0, *ends], ends, strict=False)]
+    return [{"text": c, "code_blocks": []} for c in chunks if c]
+
+
+def chunk_vectors(df: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
+    """The vector strategy: a text is cut between sentences so that the sentences of a chunk are alike, by the cheapest division of all. Sentences longer than
+    ``limit`` are cut first; null and blank texts have no chunk."""
+    return _numbered(spread(df), _chunk_udf(_by_vectors, limit)("text"), "vector")

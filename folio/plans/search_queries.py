@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folio.operators import lexical, modularity, retrieval, vector_index
+from folio.operators import chunking, extract, lexical, modularity, retrieval, vector_index
 from folio.operators.band_index import BandIndex
 from folio.operators.bucketed import BucketedTable
 from folio.plans import views
+from folio.plans import store_queries
 from folio.plans.store_queries import _EDGE_DEGREE, _SCORED, QUERY, WORDS
+from folio.plans.views import GRAPH
 from folio.plans.text_queries import _KEPT
 from folio.session import shared_dir, staged, table
+from folio.streaming.transitions import invalid_transitions_stream
 from folio.streaming.upserts import batch_upsert, upsert_stream
 
 QUERIES: dict = {}
@@ -184,3 +187,36 @@ def dedup_batches(spark, sf):
     for batch in range(_BATCHES):
         kept.add(docs.filter(F.floor(F.col("doc_id") * _BATCHES / (most + 1)) == batch), batch)
     return kept.kept().select("id")
+
+
+@query("invalid_transitions_stream", store_queries.ORACLES["invalid_transitions"])
+def invalid_transitions_as_stream(spark, sf):
+    """The same changes as ``invalid_transitions``, from the events as a stream."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "pending").when(kind == "click", "processing").when(kind == "purchase", "processed").otherwise("failed")
+    history = events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), status.alias("status"), "ts")
+    out = _fresh(spark, "transitions")
+    invalid_transitions_stream(history).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id long, seq long, before string, status string").parquet(out)
+
+
+# --- names and chunks --------------------------------------------------------------------------------------------
+_FUZZY = f"""{GRAPH}, exact AS (SELECT lower(trim(entity_name)) AS name, count(*) AS n, min(id) AS id FROM nodes GROUP BY ALL), alike AS MATERIALIZED (
+  SELECT a.name AS id, b.name AS near FROM exact a JOIN exact b ON a.name <> b.name AND regexp_replace(a.name, '[^0-9]', '', 'g') = regexp_replace(b.name, '[^0-9]', '', 'g')
+    AND abs(length(a.name) - length(b.name)) <= least(length(a.name), length(b.name)) // {extract.PER_EDIT} AND levenshtein(a.name, b.name) <= least(length(a.name), length(b.name)) // {extract.PER_EDIT}
+), spreading(id, entity) USING KEY (id) AS (
+  SELECT name, name FROM exact
+  UNION
+  SELECT l.id, min(s.entity) FROM spreading s JOIN alike l ON l.near = s.id JOIN recurring.spreading r ON r.id = l.id GROUP BY l.id, r.entity HAVING min(s.entity) < r.entity
+)"""
+
+
+@query("resolve_fuzzy", f"WITH RECURSIVE {_FUZZY} SELECT e.name, s.entity, w.n, w.id FROM exact e JOIN spreading s ON s.id = e.name JOIN (SELECT entity, sum(n)::BIGINT AS n, min(e.id) AS id FROM exact e JOIN spreading s ON s.id = e.name GROUP BY entity) w USING (entity)")
+def resolve_fuzzy(spark, sf):
+    return extract.resolve_fuzzy(views.graph_nodes(spark, sf))
+
+
+@query("chunk_vectors")
+def chunk_vectors(spark, sf):
+    return chunking.chunk_vectors(table(spark, sf, "documents").select("doc_id", "text"))
