@@ -239,14 +239,21 @@ def _shared(benchmark: DataFrame) -> list:
     for r in benchmark.select("item_id", "text").toLocalIterator():
         rows.append((r.item_id, r.text))
         if len(rows) == ITEM_BLOCK:
-            out.append(context.broadcast(rows))
+            out.append(context.broadcast({"rows": rows}))
             rows = []
-    return [*out, context.broadcast(rows)] if rows else out
+    return [*out, context.broadcast({"rows": rows})] if rows else out
+
+
+def _built(held: dict) -> Items:
+    """The tables of a block of items; a worker's later tasks find them in its copy of the broadcast."""
+    if "items" not in held:
+        held["items"] = Items(held["rows"])
+    return held["items"]
 
 
 def _found(shared: list, batches):
     """(batch, matches in it): (row, item_id, edits, first word, words), for the batch's last column."""
-    every = [items for items in (Items(b.value) for b in shared) if items.ids]
+    every = [items for items in (_built(b.value) for b in shared) if items.ids]
     for batch in batches:
         got = []
         for at, raw, off in text_blocks(batch.column(batch.num_columns - 1)) if every else ():
