@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: so many texts per language, whole ones, of up to SHORT characters where there are such.
-TEXTS, SHORT = 48, 1500
+#: Bound of the training sample: so many texts per language, whole ones, of up to SHORT characters where there are such, and BUDGET characters in all. A
+#: language whose shortest chosen text is longer than that is learned from so much of it.
+TEXTS, SHORT, BUDGET = 48, 1500, 80_000
 #: Texts are parsed in pieces of so many characters side by side; the parses are then joined to that of the whole text.
 PIECE = 512
 #: Characters parsed at once.
@@ -175,12 +176,16 @@ def _letter(points: np.ndarray) -> np.ndarray:
 
 
 def training_sample(labelled: DataFrame) -> dict[str, str]:
-    """(text, lang, hash) -> each language's sample: in each of TEXTS hash classes the text of lowest hash, a short one if the class has any."""
-    part = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by = F.struct(F.length("text") > SHORT, "hash", "text")
-    rows = part.groupBy("lang", F.pmod("hash", F.lit(TEXTS)).alias("class")).agg(F.min_by("text", by).alias("text"))
+    """(text, lang, hash) -> each language's sample: in each of TEXTS hash classes the short text of lowest hash, or the shortest if the class has no short one;
+    of these, from the shortest on, as many whole ones as BUDGET holds. That much reaches the driver, however long the texts are."""
+    part = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("n", F.length("text"))
+    by = F.struct(F.greatest("n", F.lit(SHORT)), "hash", "text")
+    chosen = part.groupBy("lang", F.pmod("hash", F.lit(TEXTS)).alias("class")).agg(F.min_by(F.struct("text", "n"), by).alias("c")).select("lang", "class", "c.*")
+    order = Window.partitionBy("lang").orderBy("n", "class")  # TEXTS rows a language
+    fits = chosen.withColumn("sum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.row_number().over(order) == 1)
+    rows = fits.filter(F.col("first") | (F.col("sum") <= BUDGET)).select("lang", "class", F.substring("text", 1, BUDGET).alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows.collect()):  # at most TEXTS rows a language
+    for r in sorted(rows.collect()):
         samples.setdefault(r.lang, []).append(r.text)
     return {k: "\n".join(v) for k, v in samples.items()}
 

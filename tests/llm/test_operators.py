@@ -430,6 +430,19 @@ def test_phrases_are_longest_matches(monkeypatch, piece):
     assert model.phrases([model.codes(samples["d"])])[0, 3] == 1
 
 
+def test_language_samples_stay_within_their_budget(spark):
+    """A corpus of books alone is learned from as few of them as the budget holds; one book beyond it gives its beginning."""
+    rng = random.Random(4)
+    book = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n // 6))
+    rows = [(i, book("abcde", 30_000 + 97 * i), "aa") for i in range(30)] + [(100 + i, book("vwxyz", 150_000), "bb") for i in range(3)] + [(200, "short one", "cc"), (201, "", "dd"), (202, None, "dd"), (203, "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("hash", F.xxhash64("text"))
+    sample = language_id.training_sample(frame)
+    assert set(sample) == {"aa", "bb", "cc", "dd"} and all(len(t) <= language_id.BUDGET + language_id.TEXTS for t in sample.values())
+    assert sum(t in sample["aa"] for _, t, k in rows if k == "aa") == 2 and len(sample["bb"]) == language_id.BUDGET
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(frame, sample).collect()}
+    assert all(got[i] == k for i, t, k in rows if k and t and k in ("aa", "bb"))
+
+
 def test_languages_odd_inputs(spark):
     samples = {"en": "the cat sat on the mat", "fr": "le chat est sur la table"}
     got = {r.doc_id: r.lang_pred for r in language_id.identify(odd(spark), samples).collect()}
