@@ -22,8 +22,11 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = ENDS_P | frozenset("body caption dd dt figcaption legend li summary tbody td tfoot th thead tr".split())
 _SPACE = re.compile(r"\s+")
+#: What the heading of reader comments says, and words of notices.
+_REPLIES = re.compile(r"^\W*(\d+\s+)?(reader\s+)?(comments?|replies|responses|discussion|leave a (reply|comment))\b", re.I)
+_NOTICE = re.compile(r"\b(cookies?|consent|newsletter|gdpr|privacy)\b", re.I)
 
-PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 96, 32, 8, 16
+PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 96, 32, 10, 16
 INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
 #: Blocks of pages that are labelled side by side.
 PAGES, STEPS = 64, 4096
@@ -167,7 +170,7 @@ def vectors(page: list[tuple[tuple, str, float]]) -> np.ndarray:
         x[i, :PATH_DIM] = paths[path]
         words = text.split(" ")
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([_slot(w.lower(), WORD_DIM) for w in words], minlength=WORD_DIM) / len(words) ** 0.5
-        shape = (min(len(words), 60) / 30, text[-1] in ".!?", "©" in text, len(path) / 8, i / max(1, len(page) - 1), len(words) < 4, linked, min(len(page), 100) / 50)
+        shape = (min(len(words), 60) / 30, text[-1] in ".!?", "©" in text, len(path) / 8, i / max(1, len(page) - 1), len(words) < 4, linked, min(len(page), 100) / 50, len(words) < 6 and bool(_REPLIES.match(text)), bool(_NOTICE.search(text)))
         x[i, PATH_DIM + WORD_DIM :] = shape
     return np.clip(x, 0, 3)
 
@@ -278,7 +281,7 @@ MARKS = {
     "ad": "ad ads advert sponsored promo banner adslot advertisement".split(),
     "notice": "cookie notice consent alert newsletter subscribe popup gdpr".split(),
     "sidebar": "sidebar related widget aside recommended trending rail".split(),
-    "comments": "comments comment replies discussion respond".split(),
+    "comments": "comments comment replies discussion respond commentlist comment-list comments-area thread responses disqus".split(),
     "header": "header masthead top site-header branding".split(),
     "footer": "footer foot copyright site-footer legal colophon".split(),
     "form": "search login signup form".split(),
@@ -294,6 +297,7 @@ def made_page(rng) -> tuple[str, list[bool]]:
     """
     html, truth = [], []
     bare, quoted = rng.random() < 0.3, rng.random() < 0.5
+    wrapped, linky = rng.random() < 0.12, rng.random() < 0.14
 
     def put(markup, text, main):
         html.append(markup.replace("@", text))
@@ -338,7 +342,9 @@ def made_page(rng) -> tuple[str, list[bool]]:
             tag = rng.choice(["div", "div", "aside", "section", "p"])
             put(f"<{tag}{named(MARKS[kind], True)}>@</{tag}>", _sentences(rng, 1, 3), False)
         elif kind == "notice":
-            put(f"<div{named(MARKS[kind], True)}><p>@</p></div>", _sentences(rng, 1, 2), False)
+            said = f"{_words(rng, rng.randint(1, 4)).capitalize()} {rng.choice(['cookies', 'consent', 'newsletter', 'privacy', 'cookie'])} {_words(rng, rng.randint(1, 5))}." if rng.random() < 0.5 else ""
+            mark = "" if said and rng.random() < 0.5 else named(MARKS[kind], True)
+            put(rng.choice([f"<div{mark}><p>@</p></div>", f"<div{mark}>@</div>", f"<p{mark}>@</p>"]), said or _sentences(rng, 1, 2), False)
         elif kind == "form":
             put(f"<form{named(MARKS[kind])}><label>@</label><input><button>ok</button></form>", _words(rng, 2), False)
             truth.append(False)
@@ -355,12 +361,15 @@ def made_page(rng) -> tuple[str, list[bool]]:
             put(rng.choice(["<h2>@</h2>", "<p>@</p>", "<a href='/'>@</a>", "@"]), _words(rng, rng.randint(1, 4)), False)
             html.append(f"</{tag}>")
         elif kind == "comments":
-            tag = rng.choice(["section", "div", "ol"])
-            html.append(f"<{tag}{named(MARKS[kind], True)}>")
-            if rng.random() < 0.4:
-                put("<h3>@</h3>", _words(rng, 1), False)
+            tag = rng.choice(["section", "div", "ol", "ul"])
+            told = rng.random() < 0.35  # only the heading tells
+            html.append(f"<{tag}{'' if told else named(MARKS[kind], True)}>")
+            if told or rng.random() < 0.4:
+                said = rng.choice(["Comments", "@ Comments", "@ comments", "@ Replies", "Responses", "Leave a reply", "Discussion"]).replace("@", str(rng.randint(2, 40)))
+                put(f"<h{(k := rng.randint(2, 4))}>@</h{k}>", said if told or rng.random() < 0.5 else _words(rng, 1), False)
+            entry = rng.choice(["<p>@</p>", '<div class="comment"><p>@</p></div>', "<li>@</li>"] if not told else ["<p>@</p>", "<div><p>@</p></div>", "<li>@</li>"])
             for _ in range(rng.randint(1, 5)):
-                put(rng.choice(["<p>@</p>", '<div class="comment"><p>@</p></div>', "<li>@</li>"]), _sentences(rng, 1, 3), False)
+                put(entry, _sentences(rng, 1, 3), False)
             html.append(f"</{tag}>")
         else:
             tag = "footer" if bare or rng.random() < 0.6 else "div"
@@ -375,6 +384,7 @@ def made_page(rng) -> tuple[str, list[bool]]:
     layout = rng.choice(["article", "main", "section", "div", "div", "div", "div", "table", "flat"])
     outer = [f"<div{holder()}>" for _ in range(rng.choice([0, 0, 1, 2, 3]))]
     inside = rng.random() < 0.5  # does the clutter stand in the same divisions?
+    html.append(f"<form{named(['aspnetForm', 'mainform', 'form1', 'pageform', *HOLDERS], not bare)}>" if wrapped else "")  # as some servers wrap every page
     html += outer if inside else []
     for _ in range(rng.randint(0, 4)):
         clutter(before)
@@ -392,10 +402,10 @@ def made_page(rng) -> tuple[str, list[bool]]:
         close = "" if layout == "flat" else f"</{layout}>"
     if rng.random() < 0.7:
         put(rng.choice(["<h1>@</h1>", "<h1>@</h1>", "<header><h1>@</h1></header>", "<h2>@</h2>"]), rng.choice([_words(rng, rng.randint(1, 8)), _sentences(rng, 1, 1)]), True)
-    plain = rng.choice(["<p>@</p>", "<p>@</p>", "<p>@", "<div>@</div>", "@<br><br>"])
+    plain = rng.choice(["<p>@</p>", "<p>@</p>", "<p>@", "<div>@</div>", "@<br><br>"]) if not linky else "<p><a href='/z'>@</a></p>"
     refrain = rng.choice([_words(rng, rng.randint(1, 6)), _sentences(rng, 1, 1)])
     again = rng.choice([0, 0, 0, 0.3, 0.8])  # pages that say one line over and over
-    for _ in range(rng.randint(1, 14) if rng.random() < 0.85 else rng.randint(15, 90)):
+    for _ in range(1 if rng.random() < 0.16 else rng.randint(1, 14) if rng.random() < 0.85 else rng.randint(15, 90)):
         what = rng.random()
         if rng.random() < again:
             put(plain, refrain, True)
@@ -414,11 +424,12 @@ def made_page(rng) -> tuple[str, list[bool]]:
     for _ in range(rng.randint(0, 4)):
         clutter(after)
     html += ["</div>"] * len(outer) if inside else []
+    html.append("</form>" if wrapped else "")
     head = rng.choice(["<html><head><title>t</title></head><body>", "<head><title>t</title><body>", "<title>t</title>"])
     return head + "".join(html) + "</body></html>", truth
 
 
-def trained(n_pages: int = 1200, seed: int = 9) -> Labeller:
+def trained(n_pages: int = 2000, seed: int = 9) -> Labeller:
     """A labeller trained on made-up pages; the tables are never read for it."""
     rng = random.Random(seed)
     pages = []
