@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import posixpath
+import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +34,33 @@ def _binary(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[pP][dD][fF],[eE][pP][uU][bB]}").load(folder)
 
 
-def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]) -> DataFrame:
-    """(path, content) -> (path, text, error): each file by the extractor of its kind; one that fails or has none gives an empty text and says why."""
+#: What extractors have loaded in this worker, by name: a worker serves many tasks, and a model is as costly as many files.
+_LOADED: dict[str, object] = {}
+
+
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """What ``load`` gives, loaded once in each worker process."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def extract(files: DataFrame, extractors: dict[str, Callable], models: dict[str, Callable[[], object]] | None = None) -> DataFrame:
+    """(path, content) -> (path, text, error): each file by the extractor of its kind; one that fails or has none gives an empty text and says why.
+
+    An extractor takes a file's bytes and, if ``models`` has a loader for its kind, what that has loaded: once a worker, at the first file that needs it.
+    """
+    loaders = models or {}
 
     def run(batches):
+        from folio.sources.files import loaded  # the worker's own module, which outlives the task
+
         for pdf in batches:
             rows = []
             for path, content, kind in zip(pdf["path"], pdf["content"], pdf["kind"], strict=True):
                 try:
-                    rows.append((path, extractors[kind](content), None))
+                    more = (loaded(f"{kind}:{getattr(loaders[kind], '__qualname__', '')}", loaders[kind]),) if kind in loaders else ()
+                    rows.append((path, extractors[kind](content, *more), None))
                 except Exception as e:  # a broken file is a row with an error
                     rows.append((path, "", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "text", "error"])
@@ -65,13 +88,59 @@ class _Text(HTMLParser):
 def html_text(html: pd.Series) -> pd.Series:
     """Text nodes of a page, stripped, one a line."""
 
-    def one(h):
-        p = _Text()
-        p.feed(h or "")
-        p.close()
-        return "\n".join(p.parts)
+    return html.map(page_text)
+
+
+def page_text(html: str | None) -> str:
+    p = _Text()
+    p.feed(html or "")
+    p.close()
+    return "\n".join(p.parts)
+
+
+#: Names in an EPUB container and kinds of documents in its manifest.
+_CONTAINER, _OPF = "{urn:oasis:names:tc:opendocument:xmlns:container}", "{http://www.idpf.org/2007/opf}"
+_PAGES = ("application/xhtml+xml", "text/html", "application/x-dtbook+xml")
+
+
+def chapters_of(content: bytes) -> list[str]:
+    """Texts of an EPUB's documents: those of its spine in their order, then what the manifest has besides. A document that is named but missing is blank.
+
+    The container names the package file, whose folder its links start from; they may be percent-encoded. No package file is an error.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        container = ElementTree.fromstring(book.read("META-INF/container.xml"))
+        package = next(r.attrib["full-path"] for r in container.iter(f"{_CONTAINER}rootfile"))
+        root, names = ElementTree.fromstring(book.read(package)), set(book.namelist())
+        items = {i.attrib["id"]: i.attrib for i in root.iter(f"{_OPF}item") if i.attrib.get("media-type") in _PAGES}
+        spine = [r.attrib.get("idref") for r in root.iter(f"{_OPF}itemref")]
+        order = list(dict.fromkeys([i for i in spine if i in items] + list(items)))
+        texts = []
+        for i in order:
+            name = posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(items[i]["href"].split("#")[0])))
+            texts.append(page_text(book.read(name).decode("utf-8-sig", "replace")) if name in names else "")
+        return texts
+
+
+def epub_text(content: bytes) -> str:
+    """The extractor of EPUB files: chapters that are not blank, with a blank line between."""
+    return "\n\n".join(t for t in chapters_of(content) if t.strip())
+
+
+def epub_chapters(files: DataFrame) -> DataFrame:
+    """(path, content) -> (path, ord, text): a row for each document of each EPUB, in reading order; a book that can't be read has one row, of null text."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(path, i, t) for i, t in enumerate(chapters_of(content))]
+                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, TypeError):
+                    rows.append((path, 0, None))
+            yield pd.DataFrame(rows, columns=["path", "ord", "text"])
 
-    return html.map(one)
+    return files.select("path", "content").mapInPandas(run, "path string, ord int, text string")
 
 
 def join_chapters(chapters: DataFrame) -> DataFrame:
