@@ -68,11 +68,15 @@ def condition_summary(calls: DataFrame) -> DataFrame:
         rounded(F.min(F.when(F.col("ok"), F.col("seconds")))).alias("min_s"),
         rounded(F.max(F.when(F.col("ok"), F.col("seconds")))).alias("max_s"),
     )
-    times = at_ranks(good, "condition", "seconds").select("condition", rounded(F.col("median")).alias("median_s"), rounded(F.col("p90")).alias("p90_s"))
-    out = base.join(times, "condition", "left")
-    for field, name in (("gen_tokens", "median_tokens"), ("entities", "median_entities"), ("relations", "median_relations")):
-        out = out.join(at_ranks(good, "condition", field).select("condition", F.col("median").cast("int").alias(name)), "condition", "left")
-        out = out.withColumn(name, F.when(F.col("n") > 0, F.coalesce(name, F.lit(0))))
+    # the fields as rows, so that all are ranked in one pass over the calls
+    fields = {"gen_tokens": "median_tokens", "entities": "median_entities", "relations": "median_relations"}
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in ("seconds", *fields)))).alias("x")
+    ranked = at_ranks(good.select("condition", each).select(F.struct("condition", "x.field").alias("of"), "x.value"), "of", "value")
+    of = lambda f, c: F.max(F.when(F.col("of.field") == f, F.col(c)))
+    found = ranked.groupBy(F.col("of.condition").alias("condition")).agg(of("seconds", "median").alias("_median"), of("seconds", "p90").alias("_p90"), *(of(f, "median").cast("int").alias(name) for f, name in fields.items()))
+    out = base.join(found, "condition", "left")
+    medians = [F.when(F.col("n") > 0, F.coalesce(name, F.lit(0))).alias(name) for name in fields.values()]
+    out = out.select(*base.columns, rounded(F.col("_median")).alias("median_s"), rounded(F.col("_p90")).alias("p90_s"), *medians)
     return out.withColumn("note", F.when(F.col("n") == 0, "no successful calls"))
 
 
