@@ -25,9 +25,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def edge_degrees(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """The edges (or those in ``of``) with the degrees of both ends added up."""
-    d = degrees(edges)
+def edge_degrees(edges: DataFrame, of: DataFrame | None = None, degree: DataFrame | None = None) -> DataFrame:
+    """The edges (or those in ``of``) with the degrees of both ends added up. ``degree``: the nodes' degrees, where they are known."""
+    d = degrees(edges) if degree is None else degree
     side = lambda c, n: d.select(F.col("id").alias(c), F.col("degree").alias(n))
     out = (edges if of is None else of).join(side("src_id", "_a"), "src_id", "left").join(side("tgt_id", "_b"), "tgt_id", "left")
     return out.withColumn("edge_degree", F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).drop("_a", "_b")

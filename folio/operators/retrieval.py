@@ -35,21 +35,21 @@ def naive(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return _ranked(top_k(vectors, query, k), F.desc(F.round("score", 9)), "vec_id").select(F.concat(F.lit("chunk:"), F.col("vec_id")).alias("item"), "rank")
 
 
-def local(nodes: DataFrame, edges: DataFrame, words: list[str], k: int) -> DataFrame:
+def local(nodes: DataFrame, edges: DataFrame, words: list[str], k: int, degree: DataFrame | None = None) -> DataFrame:
     """(item, rank): edges at entities whose lower-case name has a query word, by words matched, weight and degree."""
     parts = F.split(F.lower("entity_name"), r"[^\p{L}\p{N}]+")
     hits = nodes.withColumn("matched", F.size(F.array_intersect(parts, F.array(*map(F.lit, words))))).filter("matched > 0").select("id", "matched")
     ends = edges.select("rel_id", F.col("src_id").alias("id")).union(edges.select("rel_id", "tgt_id"))
     touched = ends.join(hits, "id").groupBy("rel_id").agg(F.sum("matched").alias("matched"))
-    out = edge_degrees(edges, edges.join(touched, "rel_id")).orderBy(F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").limit(k)
+    out = edge_degrees(edges, edges.join(touched, "rel_id"), degree).orderBy(F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").limit(k)
     return _ranked(out, F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")
 
 
-def global_(edges: DataFrame, words: list[str], k: int) -> DataFrame:
+def global_(edges: DataFrame, words: list[str], k: int, degree: DataFrame | None = None) -> DataFrame:
     """(item, rank): edges by query words in label and keywords, then weight times degree."""
     text = F.split(F.lower(F.concat_ws(" ", "label", "keywords")), r"[^\p{L}\p{N}]+")
     hits = edges.withColumn("matched", F.size(F.array_intersect(text, F.array(*map(F.lit, words))))).filter("matched > 0")
-    scored = edge_degrees(edges, hits).withColumn("strength", F.col("weight") * F.col("edge_degree"))
+    scored = edge_degrees(edges, hits, degree).withColumn("strength", F.col("weight") * F.col("edge_degree"))
     order = (F.desc("matched"), F.desc("strength"), F.asc("rel_id"))
     return _ranked(scored.orderBy(*order).limit(k), *order).select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")
 

@@ -568,9 +568,10 @@ _FUSED = _FUSED.replace("scored AS (SELECT vec_id", "scored_vectors AS (SELECT v
 
 
 def _graph_lists(spark, sf):
-    """Local and global over one edge table."""
+    """Local and global over one edge table and its degrees."""
     edges = staged(views.graph_edges(spark, sf), "edges")
-    return retrieval.local(views.graph_nodes(spark, sf), edges, ["supplier", "000000001", "part"], 20), retrieval.global_(edges, WORDS, 20)
+    degree = staged(graph.degrees(edges), "degrees")
+    return retrieval.local(views.graph_nodes(spark, sf), edges, ["supplier", "000000001", "part"], 20, degree), retrieval.global_(edges, WORDS, 20, degree)
 
 
 @query("retrieve_hybrid", f"WITH {_FUSED.replace('{more}', '')}")
