@@ -40,6 +40,8 @@ LIMIT = 0.5
 CLEAN = 3.0
 #: Weight of the voters' known rates in the label model, as a part of the sample.
 PRIOR = 0.1
+#: How often a label is right, as the label model takes it.
+TRUST = 0.98
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 
@@ -269,12 +271,13 @@ def forest(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
     return parent
 
 
-def label_model(votes: np.ndarray, terms: int, prior: np.ndarray, rounds: int = 80) -> dict:
+def label_model(votes: np.ndarray, terms: int, prior: np.ndarray, said: np.ndarray | None = None, rounds: int = 80) -> dict:
     """The posterior class of each row of votes (0 or 1), each voter's rate of firing by class (and by its parent's vote), and the forest of correlations.
 
     The first ``terms`` columns are the term voters: texts in which two of them fire start as toxic, one as open, none as clean. ``prior`` has each voter's
-    rate by class as known before, which counts as a part (PRIOR) of what the texts say: without it a group of voters that fires in texts of its own, as those
-    of one language do, can change sides as a whole.
+    rate by class as known before, which counts as a part (PRIOR) of what the texts say. ``said`` has what a label says of each row, if any: it is one more voter, right in
+    a part (TRUST) of all cases. Without both a group of voters that fires in texts of its own, as those of one language do, can change sides as a whole, since
+    the silence of all other voters speaks for clean texts.
     """
     n, m = votes.shape
     fired = votes[:, :terms].sum(1)
@@ -285,6 +288,8 @@ def label_model(votes: np.ndarray, terms: int, prior: np.ndarray, rounds: int =
             parent = forest(v, q)
         above = np.where(parent[None, :] >= 0, v[:, np.maximum(parent, 0)], 0)
         odds = np.full(n, np.log(np.clip(q.mean(), 1e-3, 1 - 1e-3) / np.clip(1 - q.mean(), 1e-3, 1 - 1e-3)))
+        if said is not None:
+            odds += np.where(said == 1, 1, -1) * np.log(TRUST / (1 - TRUST))
         rates = np.zeros((2, 2, m))
         for y, w in ((0, 1 - q), (1, q)):
             for b in (0, 1):
@@ -339,7 +344,7 @@ def fit(hits: np.ndarray, shape: np.ndarray, y: np.ndarray) -> dict:
     model["cuts"] = np.quantile(shape[:, 1:] / n[:, None], QUANTILE, axis=0)
     votes = _votes(hits, shape, model)
     prior = np.stack([(votes[y == c].sum(0) + 0.1) / ((y == c).sum() + 1) for c in (0, 1)])
-    labels = label_model(votes, k, prior)
+    labels = label_model(votes, k, prior, y)
     q = labels["posterior"]
     x = linear_features(hits, shape, model)
     mean, scale = x.mean(0), x.std(0)
