@@ -60,13 +60,20 @@ def walked(h: np.ndarray, at: np.ndarray, walk: int, wanted: set[int]) -> dict[i
     return out
 
 
+def _share(h: np.ndarray, pos: dict[int, np.ndarray], steps, i: int, at) -> np.ndarray:
+    """What the word at one of the steps adds to a key."""
+    with np.errstate(over="ignore"):
+        return h.take(pos[steps[i]].take(at), mode="clip") * _MULTIPLIERS[i]
+
+
+def _folded(total: np.ndarray) -> np.ndarray:
+    return total ^ (total >> np.uint64(32))
+
+
 def _key(h: np.ndarray, pos: dict[int, np.ndarray], steps, at) -> np.ndarray:
     """One hash of the words at some steps."""
-    total = 0
     with np.errstate(over="ignore"):
-        for t, c in zip(steps, _MULTIPLIERS, strict=False):
-            total = total + h.take(pos[t].take(at), mode="clip") * c
-    return total ^ (total >> np.uint64(32))
+        return _folded(sum(_share(h, pos, steps, i, at) for i in range(len(steps))))
 
 
 class Bitmap:
@@ -161,11 +168,15 @@ def candidates(items: Items, h: np.ndarray, row: np.ndarray):
         for walk, groups, wanted in items.tables:
             pos = walked(part, every, walk, wanted)
             for first, firsts, seconds in groups:
-                one = firsts.find(part.take(pos[first], mode="clip"))
+                word = part.take(pos[first], mode="clip")
+                one = firsts.find(word)
+                begun = word.take(one) * _MULTIPLIERS[0]
                 for pair, pairs, tables in seconds:
-                    two = one[pairs.find(_key(part, pos, pair, one))]
+                    sums = begun + _share(part, pos, pair, 1, one)
+                    kept = pairs.find(_folded(sums))
+                    two, sums = one.take(kept), sums.take(kept)
                     for three, table in tables:
-                        at, w = table.find(_key(part, pos, three, two))
+                        at, w = table.find(_folded(sums + _share(part, pos, three, 2, two)))
                         if len(w):
                             start.append(a + two[at])
                             window.append(w)
