@@ -98,8 +98,15 @@ class Table:
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the keys, item window) of all agreements."""
         some = self.seen.find(key)
-        lo, hi = np.searchsorted(self.key, key[some], "left"), np.searchsorted(self.key, key[some], "right")
-        n = hi - lo
+        if not len(some):
+            return some, some
+        asked = key.take(some)
+        lo = self.key.searchsorted(asked)
+        same = (self.key.take(lo, mode="clip") == asked).nonzero()[0]
+        some, asked, lo = some.take(same), asked.take(same), lo.take(same)
+        if not len(some):
+            return some, some
+        n = self.key.searchsorted(asked, "right") - lo
         return np.repeat(some, n), self.window[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
 
