@@ -154,19 +154,20 @@ def community_summary(spark, sf):
 
 
 # --- notes -------------------------------------------------------------------------------------------------------
-_NOTES = f"""notes AS (SELECT * FROM (VALUES {", ".join(f"({quoted(p)}, {quoted(c)})" for p, c in views.NOTES)}) AS t(path, content)), parsed AS (
-  SELECT path, 'note::' || md5(path) AS ref_doc_id, rtrim(regexp_replace(content, '(?s)\\A---\\n.*?\\n---\\n', ''), 'ø ' || chr(10)) AS body, content FROM notes
+_NOTES = f"""{views.NOTES}, parsed AS (
+  SELECT path, 'note::' || md5(path) AS ref_doc_id, rtrim(regexp_replace(content, '(?s)\\A---\\n.*?\\n---\\n', ''), 'ø ' || chr(10)) AS body, regexp_extract(content, '(?s)\\A---\\n(.*?)\\n---\\n', 1) AS front FROM notes
 ), kept AS (SELECT *, regexp_extract(body, '(?m)^#\\s+(.+)$', 1) AS title FROM parsed WHERE NOT contains(body, '${{FOAM_'))"""
+_TAGS = "list_filter(list_transform(CASE WHEN regexp_extract(front, '(?m)^tags: *\\[([^\\]]*)\\]', 1) <> '' THEN string_split(regexp_extract(front, '(?m)^tags: *\\[([^\\]]*)\\]', 1), ',') ELSE regexp_extract_all(front, '(?m)^ *- (.*)$', 1) END, lambda t: trim(t)), lambda t: t <> '')"
 
 
 @query("wikilinks", f"WITH {_NOTES} SELECT ref_doc_id, title AS src_id, trim(unnest(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1))) AS tgt_id, 'RELATES_TO' AS label FROM kept")
 def wikilinks(spark, sf):
-    return notes.relations(notes.parse(views.notes(spark))).select("ref_doc_id", "src_id", "tgt_id", "label")
+    return notes.relations(notes.parse(views.notes(spark, sf))).select("ref_doc_id", "src_id", "tgt_id", "label")
 
 
-@query("note_concepts", f"WITH {_NOTES} SELECT ref_doc_id, title AS entity_name, CASE path WHEN 'notes/alpha.md' THEN 'rust,data-types' WHEN 'notes/block.md' THEN 'one,two' ELSE '' END AS tags FROM kept")
+@query("note_concepts", f"WITH {_NOTES} SELECT ref_doc_id, title AS entity_name, array_to_string({_TAGS}, ',') AS tags FROM kept")
 def note_concepts(spark, sf):
-    return notes.entities(notes.parse(views.notes(spark))).select("ref_doc_id", "entity_name", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tags"))
+    return notes.entities(notes.parse(views.notes(spark, sf))).select("ref_doc_id", "entity_name", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tags"))
 
 
 def _store(spark, sf):
@@ -209,7 +210,7 @@ def graph_export(spark, sf):
 
 @query("rebuild_notes", f"WITH {_STORE}, {_NOTES} SELECT id, source_type FROM store WHERE coalesce(source_type, '') <> 'note' UNION ALL SELECT ref_doc_id, 'note' FROM kept")
 def rebuild_notes(spark, sf):
-    fresh = notes.entities(notes.parse(views.notes(spark))).select(F.col("ref_doc_id").alias("id"), "source_type")
+    fresh = notes.entities(notes.parse(views.notes(spark, sf))).select(F.col("ref_doc_id").alias("id"), "source_type")
     return notes.rebuild(_store(spark, sf).select("id", "source_type"), fresh)
 
 
@@ -424,27 +425,18 @@ def retrieve_by_source(spark, sf):
 
 
 # --- extraction runs ---------------------------------------------------------------------------------------------
-_REPLIES = [
-    (1, '{"entities":[{"name":"Spark","type":"Technology"},{"name":"Ada","type":"Pet"}],"relations":[{"source":"Spark","target":"Ada","type":"USES"}]}'),
-    (2, 'Sure: {"entities":[{"name":"Set","type":"Concept"}],"relations":[]} done'),
-    (3, "no json at all"),
-    (4, '{"entities":null,"relations":null}'),
-]
-_PARSED = [(1, "Spark:Technology,Ada:Pet", 1), (2, "Set:Concept", 0), (3, "", 0), (4, "", 0)]
+def _replies(spark, sf):
+    return extract.parse_replies(views.replies(spark, sf))
 
 
-def _replies(spark):
-    return extract.parse_replies(spark.createDataFrame(_REPLIES, "id long, reply string"))
-
-
-@query("parse_extractions", "SELECT id::BIGINT AS id, names, n::INT AS n_relations FROM (VALUES " + ", ".join(f"({i}, '{names}', {n})" for i, names, n in _PARSED) + ") AS t(id, names, n)")
+@query("parse_extractions", f"WITH {views.REPLIES} SELECT id, array_to_string(list_transform(coalesce(r.entities, []), lambda e: e.name || ':' || e.type), ',') AS names, len(coalesce(r.relations, []))::INT AS n_relations FROM parsed_replies")
 def parse_extractions(spark, sf):
-    return _replies(spark).select("id", F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), ",").alias("names"), F.size("relations").alias("n_relations"))
+    return _replies(spark, sf).select("id", F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), ",").alias("names"), F.size("relations").alias("n_relations"))
 
 
-@query("schema_filter", "SELECT id::BIGINT AS id, n::INT AS n_entities FROM (VALUES (1, 1), (2, 1), (3, 0), (4, 0)) AS t(id, n)")
+@query("schema_filter", f"WITH {views.REPLIES} SELECT id, len(list_filter(coalesce(r.entities, []), lambda e: e.type IN ({', '.join(map(quoted, P.ENTITY_TYPES))})))::INT AS n_entities FROM parsed_replies")
 def schema_filter(spark, sf):
-    return extract.in_schema(_replies(spark)).select("id", F.size("entities").alias("n_entities"))
+    return extract.in_schema(_replies(spark, sf)).select("id", F.size("entities").alias("n_entities"))
 
 
 @query("extract_triples")
@@ -584,9 +576,12 @@ def retrieve_mix(spark, sf):
     return retrieval.fuse(*_graph_lists(spark, sf), retrieve_naive(spark, sf), k=20)
 
 
-@query("query_modes", "SELECT * FROM (VALUES " + ", ".join(f"('{m}')" for m in P.MODES) + ") AS t(mode)")
+@query("query_modes", "SELECT mode, count(conv_id) AS turns FROM (VALUES " + ", ".join(f"('{m}')" for m in P.MODES) + ") AS t(mode) LEFT JOIN (SELECT conv_id, CASE WHEN lower(trim(role)) IN ('mix', 'hybrid', 'local', 'global', 'naive') THEN lower(trim(role)) ELSE 'mix' END AS mode FROM conversations) USING (mode) GROUP BY mode")
 def query_modes(spark, sf):
-    return spark.createDataFrame([(m,) for m in P.MODES], "mode string")
+    """The modes, and how many turns ask for each."""
+    modes = spark.createDataFrame([(m,) for m in P.MODES], "mode string")
+    asked = table(spark, sf, "conversations").groupBy(retrieval.validate_mode(F.col("role")).alias("mode")).agg(F.count("*").alias("turns"))
+    return modes.join(asked, "mode", "left").select("mode", F.coalesce("turns", F.lit(0)).alias("turns"))
 
 
 @query("validate_mode", "SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('mix', 'hybrid', 'local', 'global', 'naive') THEN lower(trim(role)) ELSE 'mix' END AS mode FROM conversations")

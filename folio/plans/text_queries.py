@@ -97,9 +97,11 @@ def label_lookup(spark, sf):
     return docs.join(F.broadcast(classify.labels_table(spark)), "title").select("doc_id", "title", joined("content_type").alias("labels"))
 
 
-@query("curated_labels", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(t)}, {quoted(','.join(ls))})" for t, ls in P.LABELS) + ") AS t(title, labels)")
+@query("curated_labels", f"{CLASSIFIED} SELECT h.title, h.labels1 AS labels, count(l.doc_id) AS docs FROM hand h LEFT JOIN labelled l ON l.title = h.title GROUP BY h.title, h.labels1")
 def curated_labels(spark, sf):
-    return classify.labels_table(spark).select("title", joined("content_type").alias("labels"))
+    """The label table, and how many documents have each of its titles."""
+    held = documents(spark, sf).groupBy(stem(F.col("source_path")).alias("title")).agg(F.count("*").alias("docs"))
+    return classify.labels_table(spark).join(held, "title", "left").select("title", joined("content_type").alias("labels"), F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
 @query("curated_split", f"{CLASSIFIED} SELECT doc_id, labels1 IS NOT NULL AS curated FROM labelled")

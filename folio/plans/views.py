@@ -90,13 +90,42 @@ GRAPH = """nodes AS (
   SELECT id, count(*) AS degree FROM (SELECT src_id AS id FROM edges UNION ALL SELECT tgt_id FROM edges WHERE src_id <> tgt_id) GROUP BY id
 )"""
 
-NOTES = [
-    ("notes/alpha.md", "---\ntags: [rust, data-types]\n---\n# Concept X\nSee [[ALPHA]] and [[ statically typed ]].\nø\n"),
-    ("notes/beta.md", "# Concept Y\nLinks [[BETA]] twice [[BETA]].\n"),
-    ("notes/template.md", "# ${FOAM_TITLE_SAFE}\n[[nowhere]]\n"),
-    ("notes/block.md", "---\ntags:\n  - one\n  - two\n---\n# Concept Z\nno links\n"),
-]
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note of each document, of four forms: tags in a line, no front matter, a template, tags in a list."""
+    docs = table(spark, sf_dir, "documents")
+    kind, key = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    join = lambda *parts: F.concat(*(F.lit(x) if i % 2 == 0 else x for i, x in enumerate(parts)))
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    content = (
+        F.when(kind == 0, join("---\ntags: [", lang, ", ", source, "]\n---\n# Concept ", key, "\nSee [[", source, "]] and [[ ", lang, " ]].\nø\n"))
+        .when(kind == 1, join("# Concept ", key, "\nLinks [[", source, "]] twice [[", source, "]].\n"))
+        .when(kind == 2, F.lit("# ${FOAM_TITLE_SAFE}\n[[nowhere]]\n"))
+        .otherwise(join("---\ntags:\n  - ", lang, "\n  - two\n---\n# Concept ", key, "\nno links\n"))
+    )
+    return docs.select(F.concat(F.lit("notes/"), key, F.lit(".md")).alias("path"), content.alias("content"))
+
 
+NOTES = """notes AS (SELECT 'notes/' || doc_id || '.md' AS path, CASE doc_id % 4
+  WHEN 0 THEN E'---\\ntags: [' || coalesce(lang, '') || ', ' || coalesce(source, '') || E']\\n---\\n# Concept ' || doc_id || E'\\nSee [[' || coalesce(source, '') || ']] and [[ ' || coalesce(lang, '') || E' ]].\\nø\\n'
+  WHEN 1 THEN '# Concept ' || doc_id || E'\\nLinks [[' || coalesce(source, '') || ']] twice [[' || coalesce(source, '') || E']].\\n'
+  WHEN 2 THEN E'# ${FOAM_TITLE_SAFE}\\n[[nowhere]]\\n'
+  ELSE E'---\\ntags:\\n  - ' || coalesce(lang, '') || E'\\n  - two\\n---\\n# Concept ' || doc_id || E'\\nno links\\n' END AS content FROM documents)"""
 
-def notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTES, "path string, content string")
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's reply for each document, of four forms: entities and a relation, one entity with words around, no JSON, nulls."""
+    docs = table(spark, sf_dir, "documents")
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    kind = F.col("doc_id") % 4
+    full = F.concat(F.lit('{"entities":[{"name":"'), source, F.lit('","type":"Technology"},{"name":"'), lang, F.lit('","type":"Pet"}],"relations":[{"source":"'), source, F.lit('","target":"'), lang, F.lit('","type":"USES"}]}'))
+    one = F.concat(F.lit('Sure: {"entities":[{"name":"'), lang, F.lit('","type":"Concept"}],"relations":[]} done'))
+    reply = F.when(kind == 0, full).when(kind == 1, one).when(kind == 2, F.lit("no json at all")).otherwise(F.lit('{"entities":null,"relations":null}'))
+    return docs.select(F.col("doc_id").alias("id"), reply.alias("reply"))
+
+
+REPLIES = """replies AS (SELECT doc_id AS id, CASE doc_id % 4
+  WHEN 0 THEN '{"entities":[{"name":"' || coalesce(source, '') || '","type":"Technology"},{"name":"' || coalesce(lang, '') || '","type":"Pet"}],"relations":[{"source":"' || coalesce(source, '') || '","target":"' || coalesce(lang, '') || '","type":"USES"}]}'
+  WHEN 1 THEN 'Sure: {"entities":[{"name":"' || coalesce(lang, '') || '","type":"Concept"}],"relations":[]} done'
+  WHEN 2 THEN 'no json at all' ELSE '{"entities":null,"relations":null}' END AS reply FROM documents), parsed_replies AS (
+  SELECT id, coalesce(from_json(nullif(regexp_extract(reply, '(?s)\\{.*\\}'), ''), '{"entities":[{"name":"VARCHAR","type":"VARCHAR"}],"relations":[{"source":"VARCHAR","target":"VARCHAR","type":"VARCHAR"}]}'), {'entities': [], 'relations': []}) AS r FROM replies
+)"""
