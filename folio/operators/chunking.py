@@ -6,13 +6,13 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from folio.functions import patterns as P
 from folio.functions.text import lines, ustrip
-from folio.session import spread
+from folio.session import by_slices, spread
 
 MAX_CHARS = 1500
 #: Boundaries from the largest to the smallest; the last resort is any character.
@@ -68,15 +68,11 @@ def _software(text: str, limit: int) -> list[dict]:
     return out
 
 
-PIECES = "array<struct<text: string, code_blocks: array<string>>>"
+PIECES = ArrayType(StructType([StructField("text", StringType()), StructField("code_blocks", ArrayType(StringType()))]))
 
 
 def _chunk_udf(split, limit: int):
-    @F.pandas_udf(PIECES)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split(t or "", limit))
-
-    return run
+    return by_slices(lambda t: split(t or "", limit), PIECES)
 
 
 def _numbered(df: DataFrame, pieces, kind: str | None = None) -> DataFrame:
@@ -108,10 +104,7 @@ def chunk_math(df: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
 
 def chunk_routed(df: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
     """Each document by the chunker that its ``route`` names, in one pass."""
-
-    @F.pandas_udf(PIECES)
-    def run(texts: pd.Series, routes: pd.Series) -> pd.Series:
-        return pd.Series([(_software if r == "software" else _prose)(t or "", limit) for t, r in zip(texts, routes, strict=True)], dtype=object)
+    run = by_slices(lambda t, r: (_software if r == "software" else _prose)(t or "", limit), PIECES)
 
     ready = df.withColumn("text", F.when(F.col("route") == "math", without_formulas(F.col("text"))).otherwise(F.col("text")))
     return _numbered(ready, run("text", "route"))

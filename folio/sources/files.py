@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folio.operators.classify import suffix_kind
+from folio.session import by_slices
 
 CHUNKS = "chunk_id string, ref_doc_id string, source_path string, chunk_idx int, route string, text string, code_blocks array<string>, has_code boolean"
 
@@ -84,13 +85,6 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-@F.pandas_udf(StringType())  # a type object: a name can be read only by a session
-def html_text(html: pd.Series) -> pd.Series:
-    """Text nodes of a page, stripped, one a line."""
-
-    return html.map(page_text)
-
-
 def page_text(html: str | None) -> str:
     p = _Text()
     p.feed(html or "")
@@ -98,6 +92,10 @@ def page_text(html: str | None) -> str:
     return "\n".join(p.parts)
 
 
+#: Text nodes of a page, stripped, one a line.
+html_text = by_slices(page_text, StringType())  # a type object: a name can be read only by a session
+
+
 #: Names in an EPUB container and kinds of documents in its manifest.
 _CONTAINER, _OPF = "{urn:oasis:names:tc:opendocument:xmlns:container}", "{http://www.idpf.org/2007/opf}"
 _PAGES = ("application/xhtml+xml", "text/html", "application/x-dtbook+xml")
