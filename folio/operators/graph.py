@@ -71,15 +71,24 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """(id, community): nodes with the least node id of their component; labels spread and jump until nothing changes."""
-    both = edges.select(F.col("src_id").alias("id"), F.col("tgt_id").alias("to")).union(edges.select("tgt_id", "src_id")).distinct()
-    both = staged(both, "both")
-    label = staged(both.groupBy("id").agg(F.least(F.min("to"), F.min("id")).alias("community")), "label")
-    while True:
-        near = both.join(label.select(F.col("id").alias("to"), F.col("community").alias("c")), "to").groupBy("id").agg(F.min("c").alias("c"))
-        top = label.select(F.col("id").alias("community"), F.col("community").alias("j"))
-        step = label.join(near, "id").join(top, "community", "left")
-        new = staged(step.select("id", F.least("community", "c", F.coalesce("j", "community")).alias("community"), F.col("community").alias("was")), "label")
-        if new.filter("community <> was").isEmpty():
-            return new.select("id", "community")
-        label = new.select("id", "community")
+    """(id, community): nodes with the least node id of their component.
+
+    In each round every node that has a lesser neighbour points to the least, pointers jump to their roots, and the edges are contracted to the roots, so that
+    the rounds get smaller. Joins are merged, as ids of one component or hub may be most of a table that looks small on disk.
+    """
+    a, b = F.least("src_id", "tgt_id"), F.greatest("src_id", "tgt_id")
+    links = staged(edges.select(a.alias("a"), b.alias("b")).distinct(), "links")
+    names = staged(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("community", F.col("id")), "names")
+    links = links.filter("a <> b")
+    while not links.isEmpty():
+        up = staged(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), "up")
+        while True:
+            far = up.select(F.col("id").alias("to"), F.col("to").alias("far")).hint("merge")
+            up = staged(up.join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "up")
+            if up.filter("moved").isEmpty():
+                break
+        root = lambda c: up.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")).hint("merge")  # noqa: B023, E731
+        names = staged(names.join(root("community"), "community", "left").select("id", F.coalesce("to_community", "community").alias("community")), "names")
+        ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"))
+        links = staged(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    return names.select("id", "community")

@@ -61,7 +61,7 @@ def community_summary(edges: DataFrame) -> DataFrame:
 
 
 def summary_of(edges: DataFrame, c: DataFrame) -> DataFrame:
-    inside = edges.join(c.withColumnRenamed("id", "src_id"), "src_id").groupBy("community").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
+    inside = edges.join(c.withColumnRenamed("id", "src_id").hint("merge"), "src_id").groupBy("community").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
     return c.groupBy("community").agg(F.count("*").alias("nodes")).join(inside, "community", "left")
 
 
@@ -71,7 +71,7 @@ def global_communities(edges: DataFrame, words: list[str], k: int, of=communitie
     c = of(edges)
     text = F.split(F.lower(F.concat_ws(" ", "label", "keywords")), r"[^\p{L}\p{N}]+")
     hits = edges.filter(F.size(F.array_intersect(text, F.array(*map(F.lit, words)))) > 0).select("rel_id", F.col("src_id").alias("id"))
-    matched = hits.join(c, "id").groupBy("community").agg(F.count("*").alias("matched"))
+    matched = hits.join(c.hint("merge"), "id").groupBy("community").agg(F.count("*").alias("matched"))
     order = (F.desc("matched"), F.desc("weight"), F.asc("community"))
     top = summary_of(edges, c).join(matched, "community").orderBy(*order).limit(k)
     return _ranked(top, *order).select(F.concat(F.lit("community:"), "community").alias("item"), "rank", "nodes", "edges", "weight")
