@@ -28,14 +28,14 @@ def communities(edges: DataFrame) -> DataFrame:
     In each round every community finds the neighbour with which it gains most, of equal gains the one of least id. Where two choose each other, the one of
     greater strength stays and takes the other in, and with it all that chose it and still gain if all the others come along: so the modularity rises with
     every round, and a hub takes many in at once. Then the merged are contracted to one node. A community is named by its least node. Nodes without an edge
-    of positive weight are in none.
+    of positive weight are in none. Joins are merged: what is small on disk may be too much for the driver to send to all.
     """
     links = staged(contracted(edges), "links")
     label = staged(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("community", F.col("id")), "labels")
     twice = 2 * (links.agg(F.sum("w")).first()[0] or 0.0)
     while True:
         k = staged(strengths(links), "strengths")
-        side = lambda c: k.select(F.col("id").alias(c), F.col("k").alias(f"k{c}"))  # noqa: B023, E731
+        side = lambda c: k.select(F.col("id").alias(c), F.col("k").alias(f"k{c}")).hint("merge")  # noqa: B023, E731
         gain = lambda w, x, y: 2 * (w / F.lit(twice) - x / F.lit(twice) * y / F.lit(twice))  # noqa: B023, E731
         pairs = links.filter("a <> b").join(side("a"), "a").join(side("b"), "b").withColumn("gain", gain(F.col("w"), F.col("ka"), F.col("kb"))).filter(F.col("gain") > LEAST)
         both = pairs.select(F.col("a").alias("id"), F.col("b").alias("to"), "w", F.col("ka").alias("k"), F.col("kb").alias("kto"), "gain")
@@ -44,26 +44,26 @@ def communities(edges: DataFrame) -> DataFrame:
         best = staged(best, "best")
         if best.isEmpty():
             break
-        back = best.select(F.col("id").alias("to"), F.col("to").alias("id"))
+        back = best.select(F.col("id").alias("to"), F.col("to").alias("id")).hint("merge")
         mutual = best.join(back, ["id", "to"])
-        roots = mutual.filter((F.col("k") > F.col("kto")) | ((F.col("k") == F.col("kto")) & (F.col("id") < F.col("to")))).select(F.col("id").alias("to"), F.col("to").alias("first"))
-        asking = best.join(roots, "to").join(roots.select(F.col("to").alias("id")), "id", "left_anti")
-        crowd = asking.groupBy("to").agg(F.sum("k").alias("crowd"))
+        roots = mutual.filter((F.col("k") > F.col("kto")) | ((F.col("k") == F.col("kto")) & (F.col("id") < F.col("to")))).select(F.col("id").alias("to"), F.col("to").alias("first")).hint("merge")
+        asking = best.join(roots, "to").join(roots.select(F.col("to").alias("id")).hint("merge"), "id", "left_anti")
+        crowd = asking.groupBy("to").agg(F.sum("k").alias("crowd")).hint("merge")
         after = gain(F.col("w"), F.col("k"), F.col("kto") + F.col("crowd") - F.col("k"))
         merged = staged(asking.join(crowd, "to").filter((F.col("id") == F.col("first")) | (after > LEAST)).select("id", "to"), "merged")
-        moved = lambda c: merged.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
+        moved = lambda c: merged.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")).hint("merge")  # noqa: B023, E731
         ends = links.join(moved("a"), "a", "left").join(moved("b"), "b", "left").select(F.coalesce("to_a", "a").alias("src_id"), F.coalesce("to_b", "b").alias("tgt_id"), F.col("w").alias("weight"))
         links = staged(contracted(ends), "links")
         label = staged(label.join(moved("community"), "community", "left").select("id", F.coalesce("to_community", "community").alias("community")), "labels")
-    return label.join(label.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
+    return label.join(label.groupBy("community").agg(F.min("id").alias("least")).hint("merge"), "community").select("id", F.col("least").alias("community"))
 
 
 def parts(edges: DataFrame, label: DataFrame) -> DataFrame:
     """(community, nodes, inner, strength, part): of each community the nodes, the weight inside, the strength of its nodes, and its part of the modularity."""
     links = staged(contracted(edges), "links")
     twice = F.lit(2 * (links.agg(F.sum("w")).first()[0] or 0.0))
-    own = lambda c: label.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+    own = lambda c: label.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")).hint("merge")
     inner = links.join(own("a"), "a").join(own("b"), "b").filter("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.sum("w").alias("inner"))
-    sums = label.join(strengths(links), "id").groupBy("community").agg(F.count("*").alias("nodes"), F.sum("k").alias("strength"))
-    out = sums.join(inner, "community", "left").withColumn("inner", F.coalesce("inner", F.lit(0.0)))
+    sums = label.join(strengths(links).hint("merge"), "id").groupBy("community").agg(F.count("*").alias("nodes"), F.sum("k").alias("strength"))
+    out = sums.join(inner.hint("merge"), "community", "left").withColumn("inner", F.coalesce("inner", F.lit(0.0)))
     return out.select("community", "nodes", "inner", "strength", (2 * F.col("inner") / twice - (F.col("strength") / twice) * (F.col("strength") / twice)).alias("part"))
