@@ -19,8 +19,10 @@ from folio.session import staged
 
 #: Numbers of the vectors on which cells are learned, cells at most, and rounds of learning.
 SAMPLE_NUMBERS, MAX_CELLS, ROUNDS = 1 << 22, 4096, 8
-#: Vectors of a cell, and queries that ask for a cell, that one task compares.
-PART, ASKED = 4096, 1024
+#: Vectors of a part of a cell; vectors and queries that one task compares.
+PART, SHARE, ASKED = 4096, 65536, 8192
+#: A score that any vector reaches; scores that differ by less may be equal to nine digits.
+ANY, TIE = -2.0, 1e-8
 #: Candidates of a query that are scored again, for each one that is asked for.
 REFINE = 4
 STEPS = 255
@@ -159,79 +161,143 @@ def _cell_table(index: Index) -> dict:
     return {"centroids": index.centroids, "n": n, "radius": radius, "err": err}
 
 
-def _asked(index: Index, queries: DataFrame, pick) -> DataFrame:
-    """(query_id, q, cell, score of the centroid, least) of each cell that ``pick`` takes for a query; q has unit length. ``queries``: (query_id, q, least)."""
-    shared = queries.sparkSession.sparkContext.broadcast(_cell_table(index))
+def _placed(index: Index, queries: DataFrame, probes: int | None) -> DataFrame:
+    """(query_id, q, least, reach, block) of queries (query_id, q, least): q of unit length, ``reach`` what its ``probes``-th nearest cell's centroid scores (any if None).
+
+    Queries are put into blocks by their nearest cells, so that a block asks for few others; only the cells' counts reach the driver.
+    """
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast(_cell_table(index))
     dim, kind = index.dim, queries.schema["query_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
+        live = np.flatnonzero(m["n"] > 0)
         for batch in batches:
             rows, q = _units(batch.column(1), dim)
-            least = batch.column(2).take(rows).fill_null(-2.0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(q), 512):
-                score = q[a : a + 512] @ m["centroids"].T
-                row, cell = pick(score, least[a : a + 512], m)
-                at = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows).take(at), pa.array(q[a + row].tolist(), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(score[row, cell]), pa.array(least[a + row])], ["query_id", "q", "cell", "near", "least"]
-                )
-
-    return queries.select("query_id", "q", "least").mapInArrow(run, f"query_id {kind}, q array<double>, cell int, near double, least double")
-
-
-def nearest_cells(probes: int):
-    """Picks the ``probes`` cells with vectors whose centroids are nearest to a query."""
-
-    def pick(score, least, m):
-        live = np.where(m["n"] > 0, score, -np.inf)
-        cells = np.argsort(-live, 1, kind="stable")[:, : min(probes, max(1, int((m["n"] > 0).sum())))]
-        return np.repeat(np.arange(len(score)), cells.shape[1]), cells.ravel()
-
-    return pick
-
-
-def reaching_cells(score, least, m):
-    """Picks the cells in which a vector can score ``least`` or more: what the centroid scores and the radius can add at most."""
-    return np.nonzero((m["n"] > 0) & (score + m["radius"] >= least[:, None] - 1e-9))
-
-
-def _compared(index: Index, asked: DataFrame, most: int | None) -> DataFrame:
-    """(query_id, key, approx, err): the ``most`` best of each query in each part of a cell (all if None), of those that can score its ``least`` or more."""
+            least = batch.column(2).take(rows).fill_null(ANY).to_numpy(zero_copy_only=False)
+            for a in range(0, len(q) if len(live) else 0, 512):
+                part = q[a : a + 512].astype(np.float32)
+                score = part.astype(np.float64) @ m["centroids"][live].T
+                n = min(probes or len(live), len(live))
+                reach = np.full(len(part), ANY) if probes is None else -np.partition(-score, n - 1, 1)[:, n - 1]
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dim, pa.int32()), pa.array(part.ravel()))
+                ids = batch.column(0).take(rows).slice(a, len(part))
+                yield pa.RecordBatch.from_arrays([ids, vectors, pa.array(least[a : a + 512]), pa.array(reach), pa.array(live[np.argmax(score, 1)])], ["query_id", "q", "least", "reach", "home"])
+
+    placed = staged(queries.select("query_id", "q", "least").mapInArrow(run, f"query_id {kind}, q array<float>, least double, reach double, home long"), "placed")
+    homes = _counted(placed.groupBy("home").agg(F.count("*").alias("n")), "home")
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("query_id"), "n")) / ASKED)
+    return placed.join(F.broadcast(homes), "home").select("query_id", "q", "least", "reach", block.alias("block"))  # a row a cell
+
+
+def _counted(cells: DataFrame, cell: str) -> DataFrame:
+    """With ``before``, the rows of all lesser cells: MAX_CELLS rows at most, in one task."""
+    return cells.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _asks(near, radius, least, reach):
+    """Which cells (columns) a query (row) looks into: those as near as its last probe, of which a vector can score what it must."""
+    return (near >= reach[:, None] - 1e-9) & (near + radius >= least[:, None] - 1e-6)
+
+
+def _tightened(row, at, score, err, cut, most):
+    """What can still be one of the ``most`` best of its row, and the rows' new cuts: what their ``most`` best score for sure."""
+    order = np.lexsort((err - score, row))
+    row, at, score, err = row[order], at[order], score[order], err[order]
+    first = np.searchsorted(row, np.arange(len(cut)))
+    last = first + most - 1
+    full = np.append(first[1:], len(row)) > last
+    cut[full] = np.maximum(cut[full], (score - err)[last[full]])
+    keep = score + err >= cut[row] - TIE
+    return row[keep], at[keep], score[keep], err[keep]
+
+
+def _best_of(q, v, err, cells, ask, least, most):
+    """(row of q, row of v, score, err) of all that can be one of a query's ``most`` best here and can score its ``least``; v lies in order of cells."""
+    cut = np.where(least > ANY, least, -np.inf)
+    row, at, score, off = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, np.float64)
+    held, waiting = [], 0
+    ends = np.append(np.flatnonzero(np.diff(cells)) + 1, len(cells))
+    start = 0
+    for j, end in enumerate(ends.tolist()):
+        rows = np.flatnonzero(ask[:, j])
+        e = err[start:end]
+        for a in range(0, len(rows), 1024):
+            r = rows[a : a + 1024]
+            s = q[r] @ v[start:end].T
+            fresh = np.flatnonzero(np.isneginf(cut[r])) if end - start >= most else ()
+            if len(fresh):
+                cut[r[fresh]] = -np.partition((e - s[fresh]), most - 1, 1)[:, most - 1]
+            i, c = np.nonzero(s + e >= (cut[r] - TIE)[:, None])
+            held.append((r[i], start + c, s[i, c].astype(np.float64), err[start + c]))
+            waiting += len(i)
+        start = end
+        if waiting > 4 * most * len(q) + (1 << 16) or end == len(cells):
+            row, at, score, off = _tightened(*map(np.concatenate, zip((row, at, score, off), *held, strict=True)), cut, most)
+            held, waiting = [], 0
+    return row, at, score, off
+
+
+def _compared(index: Index, placed: DataFrame, most: int, exact: bool) -> DataFrame:
+    """(query_id, key, approx, err): of each query in each share of the vectors those that can be among its ``most`` best and score its ``least`` (``exact``: for
+    sure, whatever rounding took off).
+
+    Parts of cells are put together into shares. A share goes to the blocks of queries that ask for one of its cells; the task that compares the two keeps the best of
+    all these cells, so that what is shuffled grows with the shares and not with the cells that a query asks for.
+    """
     key, low, step, centroids = index.key, index.low, index.step, index.centroids
-    shared = asked.sparkSession.sparkContext.broadcast((centroids, low, step))
-    kinds = index.rows.schema[key].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).alias("blocks"))
-    around = F.broadcast(index.cells.select("cell", "parts").join(blocks, "cell"))  # MAX_CELLS rows at most
-    each = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    left = index.rows.join(around, "cell").select(key, "cell", "part", "code", "err", each("blocks").alias("block"))
-    right = asked.join(around, "cell").select("query_id", "q", "cell", "near", "least", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), each("parts").alias("part"))
+    shared = placed.sparkSession.sparkContext.broadcast((_cell_table(index), low, step))
+    kinds = index.rows.schema[key].dataType.simpleString(), placed.schema["query_id"].dataType.simpleString()
+    slack = (index.dim + 8) * 2.4e-7  # of scores in single precision
+    cells = _counted(index.cells.select("cell", "n", "parts"), "cell")
+    share = lambda part: F.floor((F.col("before") + part * F.col("n") / F.col("parts")) / SHARE)
+    reached = cells.select("cell", share(F.lit(0)).alias("low"), share(F.col("parts") - 1).alias("high"))
+
+    def needed(batches):
+        import pyarrow as pa
+
+        m = shared.value[0]
+        for batch in batches:
+            block, least, reach = (batch.column(c).to_numpy() for c in (0, 2, 3))
+            q = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(block), -1)
+            pairs = set()
+            for a in range(0, len(block), 512):
+                ask = _asks(q[a : a + 512] @ m["centroids"].T, m["radius"], least[a : a + 512], reach[a : a + 512]) & (m["n"] > 0)
+                for b in np.unique(block[a : a + 512]).tolist():
+                    pairs.update((b, c) for c in np.flatnonzero(ask[block[a : a + 512] == b].any(0)).tolist())
+            made = sorted(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int64()), pa.array([c for _, c in made], pa.int32())], ["block", "cell"])
+
+    asked = placed.select("block", "q", "least", "reach").mapInArrow(needed, "block long, cell int").distinct()
+    pairs = asked.join(F.broadcast(reached), "cell").select("block", F.explode(F.sequence("low", "high")).alias("share")).distinct()
+    pairs = F.broadcast(staged(pairs, "pairs"))  # a row for SHARE vectors and ASKED queries
+    left = index.rows.join(F.broadcast(cells), "cell").select(key, "cell", "code", "err", share(F.col("part")).alias("share")).join(pairs, "share")
+    right = placed.join(pairs, "block")
 
     def run(vectors, queries):
         import pyarrow as pa
 
-        out = []
-        if vectors.num_rows and queries.num_rows:
-            c, low, step = shared.value
-            code = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.uint8).reshape(vectors.num_rows, -1)
-            v, err = low + code * step, vectors.column("err").to_numpy()
-            q = queries.column("q").combine_chunks().flatten().to_numpy().reshape(queries.num_rows, -1)
-            near, least = queries.column("near").to_numpy(), queries.column("least").to_numpy()
-            keys, ids = vectors.column(key), queries.column("query_id")
-            for a in range(0, len(q), 128):
-                score = q[a : a + 128] @ v.T + near[a : a + 128, None]
-                fit = score + err >= least[a : a + 128, None] - 1e-9
-                if most is not None and score.shape[1] > most:
-                    cut = -np.partition(-np.where(fit, score, -np.inf), most - 1, 1)[:, most - 1 : most]
-                    fit &= score >= cut
-                row, at = np.nonzero(fit)
-                out.append(pa.table({"query_id": ids.take(pa.array(row + a)), key: keys.take(pa.array(at)), "approx": pa.array(score[row, at]), "err": pa.array(err[at])}))
         empty = pa.table({"query_id": queries.column("query_id").slice(0, 0), key: vectors.column(key).slice(0, 0), "approx": pa.array([], pa.float64()), "err": pa.array([], pa.float64())})
-        return pa.concat_tables(out) if out else empty
-
-    by = ("cell", "part", "block")
+        if not (vectors.num_rows and queries.num_rows):
+            return empty
+        m, low, step = shared.value
+        order = np.argsort(vectors.column("cell").to_numpy(), kind="stable")
+        cell = vectors.column("cell").to_numpy()[order]
+        code = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)[order]
+        v = (m["centroids"][cell] + low + code * step).astype(np.float32)
+        err = vectors.column("err").to_numpy()[order] + slack if exact else np.zeros(len(cell))
+        q = queries.column("q").combine_chunks().flatten().to_numpy().reshape(queries.num_rows, -1)
+        least, reach = queries.column("least").to_numpy(), queries.column("reach").to_numpy()
+        here = np.unique(cell)
+        ask = _asks(q.astype(np.float64) @ m["centroids"][here].T, m["radius"][here], least, reach)
+        row, at, score, err = _best_of(q, v, err, cell, ask, least, most)
+        keys, ids = vectors.column(key).take(pa.array(order[at])), queries.column("query_id").take(pa.array(row))
+        return pa.table({"query_id": ids, key: keys, "approx": pa.array(score), "err": pa.array(err)}) if len(row) else empty
+
+    by = ("block", "share")
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"query_id {kinds[1]}, {key} {kinds[0]}, approx double, err double")
 
 
@@ -249,26 +315,31 @@ def _best(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
 
+def _sure(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, least): what the k best of each query score at least; queries with fewer than k have none."""
+    sure = found.withColumn("sure", F.col("approx") - F.col("err"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sure")))
+    # scores that agree in nine digits go by key: what is that near must be found as well
+    return sure.withColumn("_r", rank).filter(F.col("_r") == k).select("query_id", (F.col("sure") - TIE).alias("least"))
+
+
 def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, key, score, rank): approximately the k nearest vectors of each query (query_id, q), from its ``probes`` nearest cells."""
-    asked = _asked(index, queries.withColumn("least", F.lit(None).cast("double")), nearest_cells(probes))
-    found = _best(_compared(index, staged(asked, "asked"), REFINE * k), REFINE * k)
-    return _scored(found, vectors, queries, k, index.key)
+    placed = _placed(index, queries.withColumn("least", F.lit(None).cast("double")), probes)
+    return _scored(_best(_compared(index, placed, REFINE * k, False), REFINE * k), vectors, queries, k, index.key)
 
 
 def search_exact(index: Index, vectors: DataFrame, queries: DataFrame, k: int, probes: int = 2) -> DataFrame:
     """As ``search``, but the k nearest vectors of all.
 
     The nearest cells give each query k vectors that score a certain value at least. Then every cell in which a vector can score that much is looked
-    into, and what may reach it, rounding allowed for, is scored with the vectors themselves. A query that finds fewer than k vectors at first asks all cells.
+    into, and what may be one of the k best, rounding allowed for, is scored with the vectors themselves. A query that finds fewer than k vectors at first asks all cells.
     """
-    asked = staged(_asked(index, queries.withColumn("least", F.lit(None).cast("double")), nearest_cells(probes)), "asked")
-    sure = _compared(index, asked, k).withColumn("sure", F.col("approx") - F.col("err"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sure")))
-    least = sure.withColumn("_r", rank).filter(F.col("_r") == k).select("query_id", F.col("sure").alias("least"))
-    # scores that agree in nine digits go by key: what is that near must be found as well
-    ready = staged(queries.select("query_id", "q").join(least, "query_id", "left").withColumn("least", F.col("least") - 1e-8), "least")
-    found = _compared(index, staged(_asked(index, ready, reaching_cells), "asked"), None)
+    first = _compared(index, _placed(index, queries.withColumn("least", F.lit(None).cast("double")), probes), k, True)
+    ready = staged(queries.select("query_id", "q").join(_sure(first, k), "query_id", "left"), "least")
+    found = staged(_compared(index, _placed(index, ready, None), k, True), "found")
+    least = _sure(found, k)  # each share has told what can be best in it
+    found = found.join(least, "query_id", "left").filter("least is null or approx + err >= least")
     return _scored(found, vectors, queries, k, index.key)
 
 

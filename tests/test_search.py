@@ -87,6 +87,30 @@ def test_index_searches_few_cells_where_vectors_lie_in_clusters(spark, built):
     assert len(got & {(i, j) for i, js in want.items() for j in js}) >= 0.9 * 4000
 
 
+def test_few_candidates_leave_the_tasks_where_vectors_lie_anywhere(spark, monkeypatch):
+    """What is shuffled for a query must not grow with the cells that it asks for."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 12)]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:50], "query_id long, q array<double>")
+    index = vector_index.build(frame, 12)
+    seen = {}
+
+    def counted(name, f):
+        def run(found, *rest):
+            seen[name] = found.count()
+            return f(found, *rest)
+
+        monkeypatch.setattr(vector_index, name, run)
+
+    counted("_best", vector_index._best)
+    counted("_scored", vector_index._scored)
+    vector_index.search(index, frame, asked, 5, 20)
+    assert seen["_best"] <= 50 * 5 * vector_index.REFINE
+    vector_index.search_exact(index, frame, asked, 5)
+    assert seen["_scored"] <= 50 * 15
+
+
 def test_index_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, q array<double>")
