@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from folio.session import staged
 K1, B = 1.2, 0.75
 #: Postings of a term that one task joins with the queries that ask for it.
 PART = 100_000
+#: Bytes of texts whose words one task counts; pairs of a text and a query that one task adds up; words whose neighbours are paired at once.
+TEXTS, PAIRS, RUN = 16 << 20, 500_000, 1 << 20
 
 
 def words(text):
@@ -29,9 +32,9 @@ class InvertedIndex:
     n_words: int
 
     def write(self, path: str) -> None:
-        """Tables at ``path``; postings lie in order of terms, so that a search's filter on terms skips most row groups."""
+        """Tables at ``path``; postings stay where their texts are, each text's in one place, in runs by term."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{path}/postings")
+        self.postings.write.parquet(f"{path}/postings")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         spark.createDataFrame([(self.n_docs, self.n_words)], "n_docs long, n_words long").coalesce(1).write.parquet(f"{path}/counts")
 
@@ -43,22 +46,26 @@ class InvertedIndex:
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> InvertedIndex:
     """The index of all words of (key, text). Rows of one key are one text; a null text has no words."""
-    found = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("w")).select("id", F.explode("w").alias("term"))
-    counts = staged(found.groupBy("id", "term").agg(F.count("*").alias("tf")), "postings")
-    sizes = staged(counts.groupBy("id").agg(F.sum("tf").alias("n")), "lengths")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    # the texts are shuffled once, before they are words: all that is counted of a text is counted where it lies
+    texts = rows.repartition(max(1, -(-size // TEXTS)), "id").groupBy("id").agg(F.array_join(F.collect_list("t"), " ").alias("t"))
+    found = texts.select("id", words(F.col("t")).alias("w")).select("id", F.size("w").cast("long").alias("n"), F.explode("w").alias("term"))
+    counts = staged(found.groupBy("id", "n", "term").agg(F.count("*").alias("tf")).sortWithinPartitions("term"), "postings")
     terms = staged(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / PART).cast("int")), "terms")
-    whole = sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_words")).first()
-    # only terms of several parts need to be known to deal the postings out
-    several = terms.filter("parts > 1").select("term", "parts")
+    whole = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_words")).first()
+    n_docs = counts.select("id").distinct().count()
+    # only terms of several parts need to be known to deal the postings out: one row for PART postings at most
+    several = F.broadcast(terms.filter("parts > 1").select("term", "parts"))
     placed = counts.join(several, "term", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)).cast("int"))
-    return InvertedIndex(placed.join(sizes, "id").select("term", "part", "id", "tf", "n"), terms, whole.n_docs, whole.n_words)
+    return InvertedIndex(placed.select("term", "part", "id", "tf", "n"), terms, n_docs, whole.n_words)
 
 
 def _asked(found: InvertedIndex, queries: DataFrame) -> DataFrame:
     """(query_id, term, part, idf) of the distinct words of each query that any text has."""
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).distinct().join(found.terms, "term")
     idf = F.log(1 + (F.lit(found.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return asked.select("query_id", "term", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return staged(asked.select("query_id", "term", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "asked")
 
 
 def _weight(found: InvertedIndex):
@@ -71,13 +78,40 @@ def _ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    """Of the rows (query_id, id, score) of each task the k best of each query."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            order = pc.sort_indices(rows, [("query_id", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start")
+            rows = rows.take(order)
+            code = rows.column("query_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            first = np.append(True, code[1:] != code[:-1]) if len(code) else np.zeros(0, bool)
+            start = np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))
+            held = rows.take(pa.array(np.flatnonzero(np.arange(len(code)) - start < k)))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return scores.select("query_id", "id", "score").mapInArrow(run, scores.select("query_id", "id", "score").schema)
+
+
 def bm25(found: InvertedIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k texts of greatest BM25 score for each query (query_id, text); equal scores (to nine digits) by id.
 
-    Postings of very common words lie in several parts, so no task sees all of one word's.
+    The postings of words that are asked for are dealt by text, so that a text's scores are added up in one task, which puts out its k best of each query; pairs
+    of texts and queries are not shuffled. Postings of very common words lie in several parts, so no task sees all of one word's.
     """
-    hits = found.postings.join(_asked(found, queries), ["term", "part"])
-    return _ranked(hits.groupBy("query_id", "id").agg(F.round(F.sum(_weight(found)), 9).alias("score")), k)
+    asked = _asked(found, queries)
+    tasks = max(1, -(-found.n_docs * asked.select("query_id").distinct().count() // PAIRS))
+    own = found.postings.join(asked.select("term", "part").distinct(), ["term", "part"], "left_semi").repartition(tasks, "id")
+    hits = own.join(asked, ["term", "part"])
+    return _ranked(_best(hits.groupBy("query_id", "id").agg(F.round(F.sum(_weight(found)), 9).alias("score")), k), k)
 
 
 def rerank(found: InvertedIndex, queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

@@ -174,6 +174,24 @@ def test_bm25_and_rerank(spark, monkeypatch, part, tmp_path):
     assert ranked == sorted([5, 6, 7, 900], key=lambda i: (-best.get(i, 0), i))
 
 
+def test_a_text_is_counted_and_scored_in_one_place(spark, monkeypatch, tmp_path):
+    """Postings lie with their texts, and only the best of each task are ranked."""
+    monkeypatch.setattr(lexical, "TEXTS", 200, raising=False)
+    docs = made_docs()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lexical.index(spark.createDataFrame(docs, "doc_id long, text string")).write(f"file://{tmp_path}/words")
+        index = lexical.InvertedIndex.read(spark, f"file://{tmp_path}/words")
+        places = index.postings.withColumn("file", F.input_file_name()).groupBy("id").agg(F.countDistinct("file").alias("n"))
+        assert places.agg(F.max("n")).first()[0] == 1 and index.postings.select(F.input_file_name()).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    ranked, seen = lexical._ranked, []
+    monkeypatch.setattr(lexical, "_ranked", lambda scores, k: seen.append(scores.count()) or ranked(scores, k))
+    lexical.bm25(index, spark.createDataFrame([(1, "the alpha"), (2, "beta")], "query_id int, text string"), 3)
+    assert seen == [6]
+
+
 def test_synonyms(spark):
     docs = made_docs()
     counts, pairs, total = Counter(), Counter(), 0
