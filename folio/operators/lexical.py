@@ -125,22 +125,58 @@ def rerank(found: InvertedIndex, queries: DataFrame, candidates: DataFrame, k: i
     return _ranked(pairs.join(hits, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score")), k)
 
 
+def _neighbours(coded: DataFrame, window: int) -> DataFrame:
+    """(x < y, m): how often two codes stand at most ``window`` places apart in the arrays of codes (null: no word that counts), added up a run of arrays at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(0)
+            ends = np.cumsum(np.concatenate([[0], column.value_lengths().fill_null(0).to_numpy()]))
+            a = 0
+            while a < len(column):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + RUN, "right")) - 1)
+                flat = column.slice(a, b - a).flatten()
+                some = flat.is_valid().to_numpy(zero_copy_only=False)
+                codes, at = np.unique(flat.fill_null(0).to_numpy(), return_inverse=True)
+                row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                keys = []
+                for d in range(1, window + 1):
+                    x, y = at[:-d], at[d:]
+                    fit = some[:-d] & some[d:] & (row[:-d] == row[d:]) & (x != y)
+                    keys.append(np.minimum(x, y)[fit] * len(codes) + np.maximum(x, y)[fit])
+                key, m = np.unique(np.concatenate(keys), return_counts=True)
+                n = max(1, len(codes))
+                yield pa.RecordBatch.from_arrays([pa.array(codes[key // n]), pa.array(codes[key % n]), pa.array(m.astype(np.int64))], ["x", "y", "m"])
+                a = b
+
+    return coded.mapInArrow(run, "x long, y long, m long")
+
+
 def synonyms(docs: DataFrame, window: int = 4, least: int = 5, k: int = 5, least_pmi: float = 2.0, stop: list[str] = [], key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B006
     """(word, synonym, pairs, pmi): of each word the k others that most often stand near it beyond chance.
 
     Two words are a pair each time they stand at most ``window`` words apart; ``pmi`` is the logarithm of how many times oftener than chance that is. Only
-    words and pairs with ``least`` occurrences count: rare words go before pairs are made, and pairs are added up before the shuffle. Words of fewer than
-    three letters and stop words are no synonyms.
+    words and pairs with ``least`` occurrences count; pairs are added up before the shuffle. Words of fewer than three letters and stop words are no synonyms.
     """
-    found = docs.select(F.col(key).alias("id"), F.posexplode(words(F.col(text))).alias("at", "word"))
-    usable = found.filter((F.length("word") >= 3) & ~F.col("word").isin(stop) if stop else F.length("word") >= 3)
-    counts = staged(usable.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "words")
-    total = usable.count()
-    # the common words of each text in its own order; a pair is made within the text, so no word is a key of all its neighbours
-    frame = usable.join(counts.select("word"), "word", "left_semi")
-    w = Window.partitionBy("id").orderBy("at").rangeBetween(1, window)
-    near = frame.withColumn("next", F.collect_list("word").over(w)).select("word", F.explode("next").alias("other")).filter("word <> other")
-    ordered = near.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).groupBy("a", "b").agg(F.count("*").alias("pairs")).filter(F.col("pairs") >= least)
+    usable = lambda w: (F.length(w) >= 3) & ~w.isin(stop) if stop else F.length(w) >= 3
+    rows = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("w"))
+    every = staged(rows.select(F.explode("w").alias("word")).filter(usable(F.col("word"))).groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    seed = next(i for i in range(64) if every.groupBy(F.xxhash64("word", F.lit(i))).count().filter("count > 1").isEmpty())  # no two words have one code
+    counts = every.filter(F.col("n") >= least)
+    # neighbours are paired within the text, by codes; rows of one key are one text and share its places
+    coded = rows.filter("id is not null").select("id", F.transform("w", lambda w: F.when(usable(w), F.xxhash64(w, F.lit(seed)))).alias("w"))
+    again = staged(rows.groupBy("id").count().filter("count > 1").select("id"), "again")
+    once = _neighbours(coded.join(again, "id", "left_anti").select("w"), window)
+    placed = coded.join(again, "id", "left_semi").select("id", F.posexplode("w").alias("at", "x")).filter("x is not null")
+    near = placed.withColumn("next", F.collect_list("x").over(Window.partitionBy("id").orderBy("at").rangeBetween(1, window)))
+    shared = near.select("x", F.explode("next").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.lit(1).cast("long").alias("m"))
+    pairs = once.union(shared).groupBy("x", "y").agg(F.sum("m").alias("pairs")).filter(F.col("pairs") >= least)
+    word = lambda c, to: counts.select(F.xxhash64("word", F.lit(seed)).alias(c), F.col("word").alias(to))
+    named = pairs.join(word("x", "u"), "x").join(word("y", "v"), "y")
+    ordered = named.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "pairs")
     side = lambda c: counts.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
     pmi = F.round(F.log(F.col("pairs") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b") * F.lit(2.0 * window))), 6)
     scored = staged(ordered.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pairs", pmi.alias("pmi")).filter(F.col("pmi") >= least_pmi), "pmi")

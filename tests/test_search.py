@@ -209,3 +209,11 @@ def test_synonyms(spark):
     assert got == want and got
     table_ = spark.createDataFrame([("a", "b"), ("a", "c"), ("x", "y")], "word string, synonym string")
     assert lexical.expanded(["a", "c"], table_) == ["a", "c", "b"]
+
+
+def test_synonyms_of_rows_of_one_key_and_of_none(spark):
+    """Rows of one key share their places, as they meet in SQL's join; rows without a key meet nothing."""
+    docs = [(1, "abc def"), (1, "ghi jkl"), (2, "abc def"), (None, "abc def"), (None, "mno pqr")]
+    got = {(r.word, r.synonym): r.pairs for r in lexical.synonyms(spark.createDataFrame(docs, "doc_id long, text string"), window=1, least=1, least_pmi=-9.0).collect()}
+    want = {("abc", "def"): 2, ("abc", "jkl"): 1, ("ghi", "def"): 1, ("ghi", "jkl"): 1}
+    assert got == want | {(b, a): n for (a, b), n in want.items()}
