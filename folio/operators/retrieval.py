@@ -39,16 +39,28 @@ def local(nodes: DataFrame, edges: DataFrame, words: list[str], k: int, degree:
     """(item, rank): edges at entities whose lower-case name has a query word, by words matched, weight and degree."""
     parts = F.split(F.lower("entity_name"), r"[^\p{L}\p{N}]+")
     hits = nodes.withColumn("matched", F.size(F.array_intersect(parts, F.array(*map(F.lit, words))))).filter("matched > 0").select("id", "matched")
-    ends = edges.select("rel_id", F.col("src_id").alias("id")).union(edges.select("rel_id", "tgt_id"))
-    touched = ends.join(hits, "id").groupBy("rel_id").agg(F.sum("matched").alias("matched"))
-    out = edge_degrees(edges, edges.join(touched, "rel_id"), degree).orderBy(F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").limit(k)
-    return _ranked(out, F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), "rel_id").select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")
+    side = lambda c, n: hits.groupBy(F.col("id").alias(c)).agg(F.sum("matched").alias(n))
+    ends = edges.join(side("src_id", "_a"), "src_id", "left").join(side("tgt_id", "_b"), "tgt_id", "left")
+    ends = ends.withColumn("_m", F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).filter("_m > 0 and rel_id is not null")
+    touched = staged(ends.select("rel_id", "src_id", "tgt_id", "weight", F.sum("_m").over(Window.partitionBy("rel_id")).alias("matched")), "touched")
+    # degrees only tell edges apart that have as many words and as much weight as the last of the k best
+    last = touched.orderBy(F.desc("matched"), F.desc("weight")).limit(k).agg(F.min(F.struct("matched", "weight")).alias("_last"))
+    best = touched.join(F.broadcast(last), F.struct("matched", "weight") >= F.col("_last")).drop("_last")  # one row
+    best = staged(best, "best")
+    order = (F.desc("matched"), F.desc("weight"), F.desc("edge_degree"), F.asc("rel_id"))
+    if degree is None:
+        near = best.select(F.col("src_id").alias("id")).union(best.select("tgt_id")).distinct()
+        met = edges.select(F.explode(F.array_distinct(F.array("src_id", "tgt_id"))).alias("id")).join(staged(near, "near"), "id", "left_semi")
+        degree = met.groupBy("id").agg(F.count("*").alias("degree"))
+    out = edge_degrees(edges, best, degree).orderBy(*order).limit(k)
+    return _ranked(out, *order).select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")
 
 
 def global_(edges: DataFrame, words: list[str], k: int, degree: DataFrame | None = None) -> DataFrame:
     """(item, rank): edges by query words in label and keywords, then weight times degree."""
     text = F.split(F.lower(F.concat_ws(" ", "label", "keywords")), r"[^\p{L}\p{N}]+")
     hits = edges.withColumn("matched", F.size(F.array_intersect(text, F.array(*map(F.lit, words))))).filter("matched > 0")
+    hits = hits.select("rel_id", "src_id", "tgt_id", "weight", "matched")  # the texts stay out of the joins
     scored = edge_degrees(edges, hits, degree).withColumn("strength", F.col("weight") * F.col("edge_degree"))
     order = (F.desc("matched"), F.desc("strength"), F.asc("rel_id"))
     return _ranked(scored.orderBy(*order).limit(k), *order).select(F.concat(F.lit("edge:"), "rel_id").alias("item"), "rank")

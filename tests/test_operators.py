@@ -258,3 +258,19 @@ def test_notes_and_nodes_from_files(spark, tmp_path):
     nodes.write_nodes(rows("book", "x").unionByName(rows("note", "y")), str(tmp_path / "nodes"))
     nodes.write_nodes(rows("note", "z"), str(tmp_path / "nodes"))  # only its own namespace is written anew
     assert sorted((r.source_type, r.text) for r in spark.read.parquet(str(tmp_path / "nodes")).collect()) == [("book", "x"), ("note", "z")]
+
+
+def test_local_retrieval_asks_for_few_degrees(spark, monkeypatch):
+    """Degrees are joined to the edges that can be among the best alone."""
+    from folio.operators import retrieval
+
+    nodes = spark.createDataFrame([(f"n{i}", f"Thing {i}") for i in range(40)], "id string, entity_name string")
+    rows = [(f"n{i}___n{j}", f"n{i}", f"n{j}", float((7 * i + j) % 10)) for i in range(40) for j in range(i, 40)]
+    edges = spark.createDataFrame(rows, "rel_id string, src_id string, tgt_id string, weight double")
+    join, seen = retrieval.edge_degrees, []
+    monkeypatch.setattr(retrieval, "edge_degrees", lambda e, of, d: seen.append(of.count()) or join(e, of, d))
+    got = [r.item for r in retrieval.local(nodes, edges, ["thing"], 5).orderBy("rank").collect()]
+    degree = {f"n{i}": 40 for i in range(40)}  # each node meets all and itself, a loop once
+    best = sorted(rows, key=lambda r: (-2, -r[3], -degree[r[1]] - degree[r[2]], r[0]))[:5]
+    assert got == ["edge:" + r[0] for r in best]
+    assert seen[0] == sum(r[3] == 9 for r in rows)
