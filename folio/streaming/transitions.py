@@ -27,20 +27,19 @@ class Transitions(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at long, seq long, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        sent = []
         for pdf in rows:
             at = pdf["ts"].astype("datetime64[us]").astype("int64") // 1000
-            for t, seq, status in zip(at, pdf["seq"], pdf["status"], strict=True):
-                self.waiting.appendValue((int(t), int(seq), status))
-                times.add(int(t))
-        if times:
-            self.handle.registerTimer(min(times))
+            sent.extend(zip(at.tolist(), pdf["seq"].tolist(), pdf["status"].tolist(), strict=True))
+        if sent:  # one call to the state store for all rows of a document, not one for each
+            self.waiting.appendList(sent)
+            self.handle.registerTimer(min(r[0] for r in sent))
         yield _changes([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         held = [tuple(r) for r in self.waiting.get()]
-        ready, later = sorted(r for r in held if r[0] <= now), [r for r in held if r[0] > now]
+        ready, later = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
         before = self.last.get()[0] if self.last.exists() else None
         out = []
         for _, seq, status in sorted(ready, key=lambda r: r[1]):
@@ -49,12 +48,13 @@ class Transitions(StatefulProcessor):
             before = status
         if ready:
             self.last.update((before,))
-        self.waiting.clear()
-        for r in later:
-            self.waiting.appendValue(r)
         if later:
+            self.waiting.put(later)
             self.handle.registerTimer(min(r[0] for r in later))
-        yield _changes(out)
+        else:
+            self.waiting.clear()
+        if out:
+            yield _changes(out)
 
     def close(self) -> None:
         pass

@@ -131,3 +131,20 @@ def test_transitions_in_any_split(spark, tmp_path, cuts, mixed):
         assert i >= 0
     got = sorted(map(tuple, spark.read.schema("doc_id long, seq long, before string, status string").parquet(f"{tmp_path}/out").collect()))
     assert got == want and want
+
+
+def test_rows_of_a_document_are_kept_in_one_call():
+    """The state store is asked once for a document's rows, however many there are."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from folio.streaming.transitions import Transitions
+
+    calls = []
+    p = Transitions()
+    p.handle = SimpleNamespace(registerTimer=lambda t: calls.append(("timer", t)))
+    p.waiting = SimpleNamespace(appendList=lambda rows: calls.append(("list", len(rows))), appendValue=lambda r: calls.append(("value", r)))
+    rows = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:00:02", "2024-01-01 00:00:01", "2024-01-01 00:00:03"]), "seq": [2, 1, 3], "status": ["a", "b", "c"]})
+    list(p.handleInputRows((1,), iter([rows, rows]), None))
+    assert calls == [("list", 6), ("timer", 1704067201000)]
