@@ -355,6 +355,17 @@ def test_suffix_order_from_disk(tmp_path, bound, batch, cap):
     assert bound > 100 or spilled
 
 
+def test_names_look_again_only_at_ties_that_go_on(tmp_path, monkeypatch):
+    """Many equal short substrings beside two equal long ones: the short ones are packed once; names keep the order, at the text's end too."""
+    text = np.array([1, 2] * 2000 + [*range(1, 90)] * 2 + [1, 2, 1], np.uint16)
+    packed, plain = [], induced_sort._packed
+    monkeypatch.setattr(induced_sort, "_packed", lambda *a: packed.append(len(a[-5])) or plain(*a))
+    disk = induced_sort.Disk(str(tmp_path))
+    order = induced_sort.suffix_order(text, disk)
+    assert order[:, 0].tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    assert sum(packed) < 2 * 2100, packed
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 def brute_components(rows, k, t):
     sets = {}
