@@ -14,8 +14,9 @@ def incident(edges: DataFrame, node: str) -> DataFrame:
 
 
 def incident_to(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges that touch one of many nodes: two equi joins, as a join on either end would compare all with all."""
-    out = edges.join(nodes.select(F.col("id").alias("src_id")), "src_id", "left_semi").unionByName(edges.join(nodes.select(F.col("id").alias("tgt_id")), "tgt_id", "left_semi"))
+    """Edges that touch one of many nodes: two equi joins, as a join on either end would compare all with all. Nodes may be many: see ``detach``."""
+    ids = lambda end: nodes.select(F.col("id").alias(end)).hint("merge")
+    out = edges.join(ids("src_id"), "src_id", "left_semi").unionByName(edges.join(ids("tgt_id"), "tgt_id", "left_semi"))
     return out.dropDuplicates(["rel_id"])
 
 
@@ -43,10 +44,13 @@ def search_labels(nodes: DataFrame, needle: str) -> DataFrame:
 
 
 def detach(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges whose ends are both among the nodes."""
+    """The edges whose ends are both among the nodes.
+
+    Joins are merged: ids look small in a shuffle, where they are packed, and a table of all of them in every task's memory grows with the graph.
+    """
     out = edges
     for end in ("src_id", "tgt_id"):
-        out = out.join(nodes.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+        out = out.join(nodes.select(F.col("id").alias(end)).distinct().hint("merge"), end, "left_semi")
     return out.select(*edges.columns)
 
 
@@ -55,8 +59,8 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Da
     gone = ids.select("id").distinct()
     left = edges
     for end in ("src_id", "tgt_id"):
-        left = left.join(gone.withColumnRenamed("id", end), end, "left_anti")
-    return nodes.join(gone, "id", "left_anti"), left.select(*edges.columns)
+        left = left.join(gone.withColumnRenamed("id", end).hint("merge"), end, "left_anti")
+    return nodes.join(gone.hint("merge"), "id", "left_anti"), left.select(*edges.columns)
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -35,3 +35,18 @@ def test_edges_are_contracted(spark, monkeypatch):
     assert got == {x: find(x) for x in root}
     assert sizes == sorted(sizes, reverse=True) and len(sizes) > 1 and sizes[-1] == 0 and sizes[1] < sizes[0] / 2
     assert graph.communities(spark.createDataFrame([], "src_id string, tgt_id string")).count() == 0
+
+
+def test_nodes_are_not_sent_to_all_tasks(spark):
+    """Edges are held against nodes by merged joins, however small the nodes look; the results are those of plain loops."""
+    names = ["a", "b", "c", "a"]
+    pairs = [("a", "b"), ("b", "z"), ("z", "y"), ("c", "c"), ("y", "a")]
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    edges = spark.createDataFrame([(f"{a}_{b}", a, b) for a, b in pairs], "rel_id string, src_id string, tgt_id string")
+    touched = {(a, b) for a, b in pairs if a in names or b in names}
+    left_nodes, left = graph.delete_nodes(spark.createDataFrame([(n,) for n in "abcyz"], "id string"), edges, nodes)
+    assert sorted(r.id for r in left_nodes.collect()) == ["y", "z"]
+    for got, want in ((graph.detach(edges, nodes), {(a, b) for a, b in pairs if a in names and b in names}), (graph.incident_to(edges, nodes), touched), (left, set(pairs) - touched)):
+        assert sorted((r.src_id, r.tgt_id) for r in got.collect()) == sorted(want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
