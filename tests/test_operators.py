@@ -151,6 +151,19 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
         assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == list(range(1, i + 1))
 
 
+def test_minhash_of_parts_is_that_of_the_whole(spark):
+    """Shingles are mapped a part at a time: texts of just under, just as many and more shingles than a part have the least of all maps."""
+    sizes = [dedup.MAPPED - 1, dedup.MAPPED, dedup.MAPPED + 1, 3 * dedup.MAPPED + 7]
+    docs = spark.createDataFrame([(i, "".join(chr(0x4E00 + j) for j in range(n + dedup.K - 1))) for i, n in enumerate(sizes)], "doc_id long, text string")
+    sets = {r.id: np.array(r.s, np.int64).view(np.uint64) for r in dedup.shingle_sets(docs).collect()}
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(1, 1 << 61, dedup.PERMS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 61, dedup.PERMS, dtype=np.uint64)
+    for r in dedup.minhash(docs).collect():
+        assert r.n == len(sets[r.id]) == sizes[r.id]
+        with np.errstate(over="ignore"):
+            assert r.signature == ((sets[r.id][:, None] * a + b) >> np.uint64(1)).min(0).astype(np.int64).tolist()
+
+
 def test_lsh_candidates_are_all_band_collisions(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BUCKET", 3, raising=False)
     rng, width = np.random.default_rng(2), dedup.PERMS // dedup.BANDS
