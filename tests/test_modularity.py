@@ -67,3 +67,41 @@ def test_nothing(spark):
 def test_graph_of_the_tables(spark):
     parts = catalog.QUERIES["modularity_parts"](spark, f"{TABLES}/sf0.001").collect()
     assert len(parts) > 3 and sum(r.part for r in parts) > 0.1
+
+
+def _graph(spark):
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(60)}", f"m{rng.randrange(12)}", float(rng.randrange(1, 9))) for _ in range(300)] + [(f"m{i}", "hub", 1.0) for i in range(12)]
+    return spark.createDataFrame(edges, "src_id string, tgt_id string, weight double")
+
+
+def test_rounds_see_numbers_not_names(spark, monkeypatch):
+    """Names are joined once, when they are numbered; no round sorts, shuffles or writes a string."""
+    kinds, staged = [], modularity.staged
+    monkeypatch.setattr(modularity, "staged", lambda df, name: kinds.append((name, {t for _, t in df.dtypes})) or staged(df, name))
+    modularity.communities(_graph(spark)).count()
+    links = [t for name, t in kinds if name == "links"]
+    assert len(links) > 3 and all("string" not in t for t in links[1:])
+    assert all("string" not in t for name, t in kinds if name in ("best", "merged", "moved", "label"))
+
+
+def test_merged_and_sent_joins_agree(spark, monkeypatch):
+    frame = _graph(spark)
+    rows = lambda: sorted((r.id, r.community) for r in modularity.communities(frame).collect())
+    want = rows()
+    for most in (0, 20):  # never, and from some round on
+        monkeypatch.setattr(modularity, "SENT", most)
+        assert rows() == want
+
+
+def test_parts_shuffle_no_table_of_pairs_of_nodes(spark, monkeypatch):
+    """Edges are added up by the communities of their ends; ends without a community count for the whole only."""
+    sizes, staged = [], modularity.staged
+    monkeypatch.setattr(modularity, "staged", lambda df, name: sizes.append((out := staged(df, name)).count()) or out)
+    edges = [("a", "b", 2.0), ("b", "a", 1.0), ("a", "a", 1.0), ("b", "c", 1.0), ("c", "d", 4.0), ("d", "x", 2.0), ("x", "y", 1.0), ("e", "f", None)]
+    label = [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+    frame = spark.createDataFrame(edges, "src_id string, tgt_id string, weight double")
+    out = {r.community: (r.nodes, r.inner, r.strength, r.part) for r in modularity.parts(frame, spark.createDataFrame(label, "id string, community string")).collect()}
+    twice = 24.0
+    assert out == {"a": (2, 4.0, 9.0, pytest.approx(8 / twice - (9 / twice) ** 2)), "c": (2, 4.0, 11.0, pytest.approx(8 / twice - (11 / twice) ** 2))}
+    assert max(sizes) <= 5
