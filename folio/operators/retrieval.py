@@ -72,20 +72,19 @@ def community_summary(edges: DataFrame) -> DataFrame:
     return summary_of(edges, communities(edges))
 
 
-def summary_of(edges: DataFrame, c: DataFrame) -> DataFrame:
-    inside = edges.join(c.withColumnRenamed("id", "src_id").hint("merge"), "src_id").groupBy("community").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
+def summary_of(edges: DataFrame, c: DataFrame, *more) -> DataFrame:
+    inside = edges.join(c.withColumnRenamed("id", "src_id").hint("merge"), "src_id").groupBy("community").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"), *more)
     return c.groupBy("community").agg(F.count("*").alias("nodes")).join(inside, "community", "left")
 
 
 def global_communities(edges: DataFrame, words: list[str], k: int, of=communities) -> DataFrame:
     """(item, rank, nodes, edges, weight): communities by how many of their edges have a query word, then by their weight. ``of`` makes (id, community) of edges."""
-    edges = staged(edges, "edges")
-    c = of(edges)
     text = F.split(F.lower(F.concat_ws(" ", "label", "keywords")), r"[^\p{L}\p{N}]+")
-    hits = edges.filter(F.size(F.array_intersect(text, F.array(*map(F.lit, words)))) > 0).select("rel_id", F.col("src_id").alias("id"))
-    matched = hits.join(c.hint("merge"), "id").groupBy("community").agg(F.count("*").alias("matched"))
+    hit = (F.size(F.array_intersect(text, F.array(*map(F.lit, words)))) > 0).alias("hit")
+    edges = staged(edges.select("src_id", "tgt_id", "weight", hit), "edges")  # the texts stay out of the joins
+    c = of(edges)
     order = (F.desc("matched"), F.desc("weight"), F.asc("community"))
-    top = summary_of(edges, c).join(matched, "community").orderBy(*order).limit(k)
+    top = summary_of(edges, c, F.count_if("hit").alias("matched")).filter("matched > 0").orderBy(*order).limit(k)
     return _ranked(top, *order).select(F.concat(F.lit("community:"), "community").alias("item"), "rank", "nodes", "edges", "weight")
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import lexical, vector_index, vectors
+from folio.operators import lexical, retrieval, vector_index, vectors
 from folio.plans import catalog
 from folio.session import table
 from tests.comparing import TABLES
@@ -217,3 +217,14 @@ def test_synonyms_of_rows_of_one_key_and_of_none(spark):
     got = {(r.word, r.synonym): r.pairs for r in lexical.synonyms(spark.createDataFrame(docs, "doc_id long, text string"), window=1, least=1, least_pmi=-9.0).collect()}
     want = {("abc", "def"): 2, ("abc", "jkl"): 1, ("ghi", "def"): 1, ("ghi", "jkl"): 1}
     assert got == want | {(b, a): n for (a, b), n in want.items()}
+
+
+def test_communities_join_no_texts(spark, monkeypatch):
+    """An edge's words are looked at once, where it is read; what is written and joined with communities is a flag."""
+    columns, staged = [], retrieval.staged
+    monkeypatch.setattr(retrieval, "staged", lambda df, name: columns.append(df.columns) or staged(df, name))
+    edges = [("r1", "a", "b", "USES", 2.0, "tool word"), ("r2", "b", "c", None, 1.0, None), ("r3", "d", "e", "WORD", 5.0, ""), ("r4", "f", "f", "none", 9.0, "none"), (None, "e", "d", "x", 1.0, "word word")]
+    frame = spark.createDataFrame(edges, "rel_id string, src_id string, tgt_id string, label string, weight double, keywords string")
+    out = [tuple(r) for r in retrieval.global_communities(frame, ["word"], 10).collect()]
+    assert out == [("community:d", 1, 2, 2, 6.0), ("community:a", 2, 3, 2, 3.0)]
+    assert columns == [["src_id", "tgt_id", "weight", "hit"]]
